@@ -129,6 +129,34 @@ def typed_catalog(df: DataFrame, fmt: str = X.DATE_FORMAT) -> DataFrame:
     )
 
 
+def annotate_validity(df: DataFrame, fmt: str = X.DATE_FORMAT) -> DataFrame:
+    """The stages after ``clean_identity`` as one pass without filtering: all
+    derived and typed columns plus ``valid``, true exactly for the rows the
+    filter chain keeps (every stage condition true, NULL counts as false)."""
+    derived = df.withColumns(
+        {
+            "duration_min": X.extract_int("duration", X.MINUTES_PATTERN),
+            "seasons": X.extract_int("duration", X.SEASONS_PATTERN),
+            "added_on": F.trim("added_on"),
+            "release_year": X.lenient_int("release_year"),
+            "rating": X.normalised_rating(F.trim("rating")),
+        }
+    )
+    conditions = [
+        ~X.matches_any(TEXT_COLUMNS, X.TEXT_PATTERNS),
+        ~X.matches_any(["title"], X.TITLE_PATTERNS),
+        F.col("duration_min").isNotNull() | F.col("seasons").isNotNull(),
+        X.lenient_date("added_on", fmt).isNotNull(),
+        F.col("release_year").isNotNull(),
+        F.col("rating").isNotNull(),
+        F.col("genres").isNotNull(),
+    ]
+    valid = F.lit(True)
+    for cond in conditions:
+        valid = valid & F.coalesce(cond, F.lit(False))
+    return derived.withColumn("valid", valid).transform(typed_catalog, fmt=fmt)
+
+
 # Stage name -> function, in chain order.
 STAGES = (
     ("identity", clean_identity),
