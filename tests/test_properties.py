@@ -97,3 +97,11 @@ def test_dedupe_survives_a_hot_key(spark):
     out = C.dedupe_by_key(df, "k")
     assert out.count() == 6001
     assert out.filter("k = 1").collect()[0].v == "t00000"
+
+
+def test_report_equals_queries(spark, sf001):
+    from marquee.plans.report import catalog_report
+
+    for key, df in catalog_report(spark, sf001).items():
+        want = QUERIES[key](spark, sf001)
+        assert df.exceptAll(want).count() == 0 and want.exceptAll(df).count() == 0, key
