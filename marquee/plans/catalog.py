@@ -274,7 +274,7 @@ def fn_regexp_extract(spark, sf):
 def fn_concat(spark, sf):
     return raw(spark, sf).select(
         "title_id",
-        F.concat("title", F.lit(" ("), "release_year", F.lit(")")).alias("title_year"),
+        F.expr("concat(title, ' (', release_year, ')')").alias("title_year"),
         F.concat("directors", F.lit(" - "), "title").alias("director_title"),
     )
 

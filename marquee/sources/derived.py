@@ -14,6 +14,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.sources.files import spread
 from marquee.sources.schema import RAW_COLUMNS
 
 # Fixed value: how dates are written in the catalogue text ("January 3, 2019").
@@ -25,17 +26,6 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over all cores when the file layout gives fewer
-    scan tasks than cores (one big row group, gzip text).  On a large input
-    the scan already has many more splits than cores and nothing changes, so
-    no shuffle is added where the scan is parallel by itself."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def _text(c: Column) -> Column:
     return c.cast("string")
 

@@ -37,6 +37,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over all cores when the file layout gives fewer
+    scan tasks than cores (one big row group, a few gzip files).  A large
+    input already has many more splits than cores and is returned unchanged,
+    so no shuffle is added where the scan is parallel by itself.  Rows are
+    sorted before the round robin (Spark's default), so a retried task
+    receives the same rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder."""
     return os.path.join(shared_dir(spark), "marquee", f"{name}-{uuid.uuid4().hex}")
@@ -48,9 +61,11 @@ def read_catalog_text(
     sep: str = "\t",
     infer_schema: bool = False,
     rename: bool = True,
+    spread_small: bool = True,
 ) -> DataFrame:
     """Headerless delimited text (a file, directory or glob; ``.gz`` files are
-    decompressed transparently, one task per gzip file).
+    decompressed transparently, one task per gzip file, so few gzip files are
+    spread over the cores after reading).
 
     With ``infer_schema=False`` the twelve columns are read as text with a
     fixed schema: no inference pass, and junk never changes the types.
@@ -58,8 +73,10 @@ def read_catalog_text(
     reader = spark.read.option("sep", sep).option("header", False).option("mode", "PERMISSIVE")
     if infer_schema:
         df = reader.option("inferSchema", True).csv(path)
-        return rename_columns(df) if rename else df
-    return reader.schema(RAW_SCHEMA if rename else POSITIONAL_SCHEMA).csv(path)
+        df = rename_columns(df) if rename else df
+    else:
+        df = reader.schema(RAW_SCHEMA if rename else POSITIONAL_SCHEMA).csv(path)
+    return spread(df) if spread_small else df
 
 
 def rename_columns(df: DataFrame, names: dict[str, str] = POSITIONAL_NAMES) -> DataFrame:
