@@ -69,9 +69,12 @@ def matches_any(columns, patterns) -> Column:
 
 
 def extract_int(c: str | Column, pattern: str) -> Column:
-    """Group 1 of ``pattern`` as int when the text matches, else NULL."""
-    c = col(c)
-    return F.when(c.rlike(pattern), lenient_int(F.regexp_extract(c, pattern, 1)))
+    """Group 1 of ``pattern`` as int when the text matches, else NULL.
+
+    One regex pass: ``regexp_extract`` gives '' when nothing matches, and ''
+    does not cast.  ``pattern``'s group 1 must not match the empty string.
+    """
+    return lenient_int(F.regexp_extract(col(c), pattern, 1))
 
 
 def item_count(c: str | Column, sep: str = ",") -> Column:
@@ -91,10 +94,12 @@ def normalised_rating(c: str | Column, ratings=VALID_RATINGS) -> Column:
     """Known rating -> itself; ``N min`` / ``N Season(s)`` -> ``N`` as text;
     anything else -> NULL.  All branches are strings (ANSI-safe CASE)."""
     c = col(c)
-    return (
-        F.when(c.isin(list(ratings)), c)
-        .when(c.rlike(MINUTES_PATTERN), extract_int(c, MINUTES_PATTERN).cast("string"))
-        .when(c.rlike(SEASONS_PATTERN), extract_int(c, SEASONS_PATTERN).cast("string"))
+    # Equal to CASE WHEN known / WHEN minutes text / WHEN seasons text: the two
+    # patterns end differently, so at most one of them can match.
+    return F.coalesce(
+        F.when(c.isin(list(ratings)), c),
+        extract_int(c, MINUTES_PATTERN).cast("string"),
+        extract_int(c, SEASONS_PATTERN).cast("string"),
     )
 
 

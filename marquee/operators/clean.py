@@ -187,17 +187,23 @@ def clean_catalog(
     min_year: int | None = None,
     max_year: int | None = None,
 ) -> DataFrame:
-    """Raw catalogue -> typed, validated, one row per id."""
+    """Raw catalogue -> typed, validated, one row per id.
+
+    Same stages as ``clean_until(df, "genre")`` followed by ``typed_catalog``,
+    except that the availability date is parsed once (the date column is
+    both the filter and the result) instead of once per step.
+    """
     return (
         df.transform(clean_identity)
         .transform(clean_text, patterns=text_patterns, null_policy=null_policy)
         .transform(clean_title, patterns=title_patterns, null_policy=null_policy)
         .transform(clean_duration)
-        .transform(clean_added_date)
+        .withColumn("added_on", X.lenient_date(F.trim("added_on")))
+        .filter(F.col("added_on").isNotNull())
         .transform(clean_year, min_year=min_year, max_year=max_year)
         .transform(clean_rating)
         .transform(clean_genre)
-        .transform(typed_catalog)
+        .withColumn("duration", X.lenient_int(X.first_token("duration")))
     )
 
 
