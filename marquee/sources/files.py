@@ -18,17 +18,27 @@ from marquee.sources.schema import POSITIONAL_NAMES, POSITIONAL_SCHEMA, RAW_SCHE
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir`` (set one if unset)."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = _context(spark)
+    if not path and sc is not None:
+        path = sc.getCheckpointDir()
     if not path:
         # Only a local session gets here; a cluster always names the folder.
         path = tempfile.mkdtemp(prefix="marquee-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    if not sc.getCheckpointDir():
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None where the session has none (Spark Connect)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect raises its own not-supported error
+        return None
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage with a reliable checkpoint in
     the shared folder: later jobs read the checkpoint files, and a lost
@@ -44,7 +54,10 @@ def spread(df: DataFrame) -> DataFrame:
     so no shuffle is added where the scan is parallel by itself.  Rows are
     sorted before the round robin (Spark's default), so a retried task
     receives the same rows."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    sc = _context(df.sparkSession)
+    if sc is None:
+        return df
+    cores = sc.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
