@@ -24,13 +24,12 @@ def dedupe_by_key(df: DataFrame, key: str, order: list[str] | None = None) -> Da
     aggregate combines map-side, so a key that holds a third of all rows
     still leaves each map task as one row, and only those rows are shuffled.
     """
-    rest = order or [c for c in df.columns if c != key]
-    packed = F.min(F.struct(*[F.col(c) for c in rest])).alias("_row")
-    return (
-        df.groupBy(key)
-        .agg(packed)
-        .select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
-        .select(*df.columns)
+    columns = df.columns
+    rest = order or [c for c in columns if c != key]
+    packed = F.min(F.struct(*rest)).alias("_row")
+    unpacked = {c: F.col(f"_row.{c}") for c in rest}
+    return df.groupBy(key).agg(packed).select(
+        *[F.col(key) if c == key else unpacked[c].alias(c) for c in columns]
     )
 
 
@@ -40,11 +39,11 @@ def clean_identity(
     """Valid kind -> integer id -> id present -> id of ``id_length`` characters
     -> one row per id (in this order)."""
     order = [c for c in RAW_COLUMNS if c not in ("title_id", "kind")] + ["kind"]
-    valid = (
-        df.filter(F.col("kind").isin(list(kinds)))
-        .withColumn("title_id", X.lenient_int("title_id"))
-        .filter(F.col("title_id").isNotNull())
-        .filter(F.length(F.col("title_id").cast("string")) == id_length)
+    title_id = F.col("title_id")
+    valid = df.withColumn("title_id", X.lenient_int(title_id)).filter(
+        F.col("kind").isin(list(kinds))
+        & title_id.isNotNull()
+        & (F.length(title_id.cast("string")) == id_length)
     )
     return dedupe_by_key(valid, "title_id", order)
 

@@ -11,11 +11,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from marquee.sources.files import spread
-from marquee.sources.schema import RAW_COLUMNS
 
 # Fixed value: how dates are written in the catalogue text ("January 3, 2019").
 CATALOG_DATE_FORMAT = "MMMM d, yyyy"
@@ -26,103 +24,63 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def _text(c: Column) -> Column:
-    return c.cast("string")
-
-
-def _case(*branches, otherwise=None) -> Column:
-    expr = None
-    for cond, value in branches:
-        expr = F.when(cond, value) if expr is None else expr.when(cond, value)
-    return expr if otherwise is None else expr.otherwise(otherwise)
+# The derivation of the dirty catalogue and of the fetched pages
+# (FIXTURES sections 2 and 4), as Spark SQL expressions over ``orders``.
+# ``k`` is the order key, ``c`` the customer key, ``d`` the order date.
+_FIRST_COUNTRY = (
+    "CASE k % 4 WHEN 0 THEN 'United States' WHEN 1 THEN 'India' WHEN 2 THEN 'Spain' "
+    "ELSE 'France' END"
+)
+_SECOND_COUNTRY = "CASE k % 3 WHEN 0 THEN 'Mexico' WHEN 1 THEN 'India' ELSE 'France' END"
+_DATE_TEXT = f"date_format(d, '{CATALOG_DATE_FORMAT}')"
+RAW_CATALOG_EXPRS = {
+    "title_id": "CASE WHEN k % 53 = 0 THEN 'n/a' WHEN k % 59 = 0 THEN CAST(k % 9999 AS STRING) "
+                "WHEN k % 41 = 0 THEN CAST(80000000 + k - 1 AS STRING) "
+                "ELSE CAST(80000000 + k AS STRING) END",
+    "kind": "CASE WHEN k % 47 = 0 THEN 'William Wyler' WHEN k % 3 = 0 THEN 'TV Show' "
+            "ELSE 'Movie' END",
+    "title": "CASE WHEN k % 61 = 0 THEN concat('HTTPS://x.example/', CAST(k AS STRING)) "
+             "WHEN k % 67 = 0 THEN CAST(k AS STRING) WHEN k % 101 = 0 THEN 'January 31, 2019' "
+             "ELSE concat('Title ', CAST(k AS STRING)) END",
+    "directors": "CASE WHEN k % 11 = 0 THEN NULL "
+                 "WHEN k % 71 = 0 THEN concat('a', CAST(k AS STRING), '@mail.example') "
+                 "ELSE concat('Director ', CAST(k % 97 AS STRING)) END",
+    "performers": "CASE WHEN k % 23 = 0 THEN NULL WHEN k % 73 = 0 THEN '12345' "
+                  "ELSE concat('Actor ', CAST(c % 50 AS STRING), ', Actor ', CAST(k % 37 AS STRING)) END",
+    "countries": f"CASE WHEN k % 19 = 0 THEN NULL "
+                 f"WHEN k % 4 = 0 THEN concat({_FIRST_COUNTRY}, ', ', {_SECOND_COUNTRY}) "
+                 f"ELSE {_FIRST_COUNTRY} END",
+    "added_on": f"CASE WHEN k % 79 = 0 THEN '2019-13-45' "
+                f"WHEN k % 5 = 0 THEN concat(' ', {_DATE_TEXT}, ' ') ELSE {_DATE_TEXT} END",
+    "release_year": "CASE WHEN k % 83 = 0 THEN 'abc' ELSE CAST(1990 + k % 30 AS STRING) END",
+    "rating": "CASE WHEN k % 89 = 0 THEN '90 min' WHEN k % 103 = 0 THEN '2 Seasons' "
+              "WHEN k % 13 = 0 THEN 'junk' WHEN k % 2 = 0 THEN ' TV-MA' ELSE 'PG-13' END",
+    "duration": "CASE WHEN k % 43 = 0 THEN 'Dramas' "
+                "WHEN k % 3 = 0 THEN (CASE WHEN k % 7 = 0 THEN '1 Season' "
+                "ELSE concat(CAST(k % 7 + 1 AS STRING), ' Seasons') END) "
+                "ELSE concat(CAST(60 + k % 120 AS STRING), ' min') END",
+    "genres": "CASE WHEN k % 29 = 0 THEN NULL WHEN k % 2 = 0 THEN 'Dramas, Music' "
+              "ELSE 'Comedies' END",
+    "synopsis": "CASE WHEN k % 6 = 1 THEN concat('A MUSIC story ', CAST(k AS STRING)) "
+                "ELSE concat('A plain story ', CAST(k AS STRING)) END",
+}
+RELEASE_PAGES_EXPRS = {
+    "title": "concat('Title ', CAST(k AS STRING))",
+    "status": "CASE WHEN k % 17 = 0 THEN 404 ELSE 200 END",
+    "html": "CASE WHEN k % 31 = 0 THEN '<html><p>no date</p></html>' "
+            "ELSE concat('<html><span class=\"x\">-</span><span class=\"a release b\"> ', "
+            f"date_format(date_add(to_date(d), 30), '{CATALOG_DATE_FORMAT}'), "
+            "' </span><span class=\"release\">January 1, 1900</span></html>') END",
+}
 
 
 def raw_catalog_from_orders(orders: DataFrame) -> DataFrame:
-    """Dirty catalogue, one row per order; all twelve columns are text."""
-    k = F.col("o_orderkey")
-    c = F.col("o_custkey")
-    date_text = F.date_format("o_orderdate", CATALOG_DATE_FORMAT)
-    first_country = _case(
-        (k % 4 == 0, F.lit("United States")),
-        (k % 4 == 1, F.lit("India")),
-        (k % 4 == 2, F.lit("Spain")),
-        otherwise=F.lit("France"),
-    )
-    second_country = _case(
-        (k % 3 == 0, F.lit("Mexico")), (k % 3 == 1, F.lit("India")), otherwise=F.lit("France")
-    )
-    null = F.lit(None).cast("string")
-    return orders.select(
-        _case(
-            (k % 53 == 0, F.lit("n/a")),
-            (k % 59 == 0, _text(k % 9999)),
-            (k % 41 == 0, _text(k + 80000000 - 1)),
-            otherwise=_text(k + 80000000),
-        ).alias("title_id"),
-        _case(
-            (k % 47 == 0, F.lit("William Wyler")),
-            (k % 3 == 0, F.lit("TV Show")),
-            otherwise=F.lit("Movie"),
-        ).alias("kind"),
-        _case(
-            (k % 61 == 0, F.concat(F.lit("HTTPS://x.example/"), _text(k))),
-            (k % 67 == 0, _text(k)),
-            (k % 101 == 0, F.lit("January 31, 2019")),
-            otherwise=F.concat(F.lit("Title "), _text(k)),
-        ).alias("title"),
-        _case(
-            (k % 11 == 0, null),
-            (k % 71 == 0, F.concat(F.lit("a"), _text(k), F.lit("@mail.example"))),
-            otherwise=F.concat(F.lit("Director "), _text(k % 97)),
-        ).alias("directors"),
-        _case(
-            (k % 23 == 0, null),
-            (k % 73 == 0, F.lit("12345")),
-            otherwise=F.concat(
-                F.lit("Actor "), _text(c % 50), F.lit(", Actor "), _text(k % 37)
-            ),
-        ).alias("performers"),
-        _case(
-            (k % 19 == 0, null),
-            (k % 4 == 0, F.concat(first_country, F.lit(", "), second_country)),
-            otherwise=first_country,
-        ).alias("countries"),
-        _case(
-            (k % 79 == 0, F.lit("2019-13-45")),
-            (k % 5 == 0, F.concat(F.lit(" "), date_text, F.lit(" "))),
-            otherwise=date_text,
-        ).alias("added_on"),
-        _case((k % 83 == 0, F.lit("abc")), otherwise=_text(k % 30 + 1990)).alias(
-            "release_year"
-        ),
-        _case(
-            (k % 89 == 0, F.lit("90 min")),
-            (k % 103 == 0, F.lit("2 Seasons")),
-            (k % 13 == 0, F.lit("junk")),
-            (k % 2 == 0, F.lit(" TV-MA")),
-            otherwise=F.lit("PG-13"),
-        ).alias("rating"),
-        _case(
-            (k % 43 == 0, F.lit("Dramas")),
-            (
-                k % 3 == 0,
-                _case(
-                    (k % 7 == 0, F.lit("1 Season")),
-                    otherwise=F.concat(_text(k % 7 + 1), F.lit(" Seasons")),
-                ),
-            ),
-            otherwise=F.concat(_text(k % 120 + 60), F.lit(" min")),
-        ).alias("duration"),
-        _case(
-            (k % 29 == 0, null),
-            (k % 2 == 0, F.lit("Dramas, Music")),
-            otherwise=F.lit("Comedies"),
-        ).alias("genres"),
-        _case(
-            (k % 6 == 1, F.concat(F.lit("A MUSIC story "), _text(k))),
-            otherwise=F.concat(F.lit("A plain story "), _text(k)),
-        ).alias("synopsis"),
-    ).select(*RAW_COLUMNS)
+    """Dirty catalogue, one row per order; all twelve columns are text.
+
+    Written as SQL expressions: one projection, parsed once in the JVM.
+    """
+    keyed = orders.selectExpr("o_orderkey AS k", "o_custkey AS c", "o_orderdate AS d")
+    return keyed.selectExpr(*[f"{e} AS {name}" for name, e in RAW_CATALOG_EXPRS.items()])
 
 
 def release_pages_from_orders(orders: DataFrame) -> DataFrame:
@@ -131,21 +89,8 @@ def release_pages_from_orders(orders: DataFrame) -> DataFrame:
     Stands in for the live pages the analysis downloads one by one on the
     driver; here they are a table, so extraction runs on the executors.
     """
-    k = F.col("o_orderkey")
-    later = F.date_format(F.date_add(F.to_date("o_orderdate"), 30), CATALOG_DATE_FORMAT)
-    html = _case(
-        (k % 31 == 0, F.lit("<html><p>no date</p></html>")),
-        otherwise=F.concat(
-            F.lit('<html><span class="x">-</span><span class="a release b"> '),
-            later,
-            F.lit(' </span><span class="release">January 1, 1900</span></html>'),
-        ),
-    )
-    return orders.filter(k % 2 == 1).select(
-        F.concat(F.lit("Title "), _text(k)).alias("title"),
-        _case((k % 17 == 0, F.lit(404)), otherwise=F.lit(200)).alias("status"),
-        html.alias("html"),
-    )
+    keyed = orders.selectExpr("o_orderkey AS k", "o_orderdate AS d").where("k % 2 = 1")
+    return keyed.selectExpr(*[f"{e} AS {name}" for name, e in RELEASE_PAGES_EXPRS.items()])
 
 
 def raw_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
