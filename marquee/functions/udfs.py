@@ -17,3 +17,8 @@ from pyspark.sql import types as T
 def count_items(texts: pd.Series) -> pd.Series:
     """Occurrences of "," + 1 per value; NULL stays NULL."""
     return (texts.str.count(",") + 1).astype("Int32")
+
+
+def register_udfs(spark) -> None:
+    """Make the UDF callable from SQL text: ``count_items(countries)``."""
+    spark.udf.register("count_items", count_items)

@@ -125,3 +125,11 @@ def test_udf_matches_native(spark):
     df = spark.createDataFrame([(v,) for v in ["A, B", "A,B", "A", "", None]], "countries string")
     rows = df.select(count_items("countries").alias("u"), X.item_count("countries").alias("n")).collect()
     assert all(r.u == r.n for r in rows)
+
+
+def test_udf_registered_for_sql(spark):
+    from marquee.functions.udfs import register_udfs
+
+    register_udfs(spark)
+    df = spark.createDataFrame([("A, B",), (None,)], "countries string")
+    assert [r.n for r in df.selectExpr("count_items(countries) AS n").collect()] == [2, None]
