@@ -2,8 +2,8 @@
 
 The script this library replaces ran 27 actions, each re-reading the text and
 re-running the de-duplication.  Here the clean catalogue is computed once and
-checkpointed to the shared folder; every exploration then reads that
-checkpoint.  Results are returned as lazy DataFrames keyed like ``queries()``.
+written as Parquet to the shared folder (``spark.checkpoint.dir``); every
+exploration then reads that table, pruned to the columns it needs.  Results are returned as lazy DataFrames keyed like ``queries()``.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from marquee.sources.files import materialize
 
 def catalog_report(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     raw = derived.raw_catalog(spark, sf_dir)
-    clean = materialize(C.clean_catalog(raw))
+    clean = materialize(C.clean_catalog(raw), "clean_catalog")
     music = E.music_titles(clean)
     titles = E.performer_titles(music, E.top_performer_name(music))
     dated = E.attach_dates(titles, E.release_dates(derived.release_pages(spark, sf_dir)))

@@ -106,6 +106,7 @@ def test_report_equals_queries(spark, sf001):
     for key, df in report.items():
         want = QUERIES[key](spark, sf001)
         assert df.exceptAll(want).count() == 0 and want.exceptAll(df).count() == 0, key
-    # explorations read the checkpoint, not the orders scan again
+    # explorations read the materialized table, not the orders scan again
     plan = report["compare_country_all"]._jdf.queryExecution().executedPlan().toString()
-    assert "FileScan parquet" not in plan and "Scan ExistingRDD" in plan
+    assert "orders.parquet" not in plan and "clean_catalog-" in plan
+    assert "ReadSchema: struct<countries:string,duration_min:int>" in plan
