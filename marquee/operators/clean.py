@@ -128,10 +128,20 @@ def typed_catalog(df: DataFrame, fmt: str = X.DATE_FORMAT) -> DataFrame:
     )
 
 
-def annotate_validity(df: DataFrame, fmt: str = X.DATE_FORMAT) -> DataFrame:
+# Funnel step names of the stages after de-duplication, in chain order.
+STEP_NAMES = ("text_valid", "title_valid", "duration_valid", "date_valid", "year_valid",
+              "rating_valid", "genre_valid")
+
+
+def annotate_validity(df: DataFrame, fmt: str = X.DATE_FORMAT, flags: bool = False) -> DataFrame:
     """The stages after ``clean_identity`` as one pass without filtering: all
     derived and typed columns plus ``valid``, true exactly for the rows the
-    filter chain keeps (every stage condition true, NULL counts as false)."""
+    filter chain keeps (every stage condition true, NULL counts as false).
+
+    With ``flags=True`` the cumulative result after each stage is kept as
+    well (one boolean column per ``STEP_NAMES`` entry), which is what the
+    funnel counts.
+    """
     derived = df.withColumns(
         {
             "duration_min": X.extract_int("duration", X.MINUTES_PATTERN),
@@ -150,10 +160,13 @@ def annotate_validity(df: DataFrame, fmt: str = X.DATE_FORMAT) -> DataFrame:
         F.col("rating").isNotNull(),
         F.col("genres").isNotNull(),
     ]
-    valid = F.lit(True)
-    for cond in conditions:
-        valid = valid & F.coalesce(cond, F.lit(False))
-    return derived.withColumn("valid", valid).transform(typed_catalog, fmt=fmt)
+    cumulative = F.lit(True)
+    steps = {}
+    for name, cond in zip(STEP_NAMES, conditions):
+        cumulative = cumulative & F.coalesce(cond, F.lit(False))
+        steps[name] = cumulative
+    out = derived.withColumns(steps) if flags else derived
+    return out.withColumn("valid", cumulative).transform(typed_catalog, fmt=fmt)
 
 
 # Stage name -> function, in chain order.
@@ -206,46 +219,26 @@ def clean_catalog(
     )
 
 
-def clean_funnel(df: DataFrame) -> DataFrame:
-    """Rows left after every cleaning step: (step_no, step, rows).
+def funnel_counts(raw: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(step_no, step, rows) from the raw rows and the de-duplicated rows
+    annotated by ``annotate_validity(..., flags=True)``.
 
-    Two scans of the input, no re-running of the chain per step: the steps
-    before de-duplication are counted in one aggregate over the raw rows,
-    the steps after it as cumulative ``count_if`` flags over the de-duplicated
-    rows.  Each aggregate is partial + final, so nothing large moves.
+    Two global aggregates (partial + final, nothing large moves): the steps
+    before de-duplication over the raw rows, the later ones as ``count_if``
+    over the cumulative flags.
     """
     kind_ok = F.col("kind").isin(list(X.VALID_KINDS))
     id_int = X.lenient_int("title_id")
     id_ok = kind_ok & id_int.isNotNull() & (F.length(id_int.cast("string")) == 8)
-    before = df.agg(
+    before = raw.agg(
         F.count(F.lit(1)).alias("raw"),
         F.count_if(kind_ok).alias("valid_kind"),
         F.count_if(id_ok).alias("valid_id"),
     )
-
-    after = clean_identity(df).withColumns(
-        {
-            "_text": F.coalesce(~X.matches_any(TEXT_COLUMNS, X.TEXT_PATTERNS), F.lit(False)),
-            "_title": F.coalesce(~X.matches_any(["title"], X.TITLE_PATTERNS), F.lit(False)),
-            "_duration": X.extract_int("duration", X.MINUTES_PATTERN).isNotNull()
-            | X.extract_int("duration", X.SEASONS_PATTERN).isNotNull(),
-            "_date": X.lenient_date(F.trim("added_on")).isNotNull(),
-            "_year": X.lenient_int("release_year").isNotNull(),
-            "_rating": X.normalised_rating(F.trim("rating")).isNotNull(),
-            "_genre": F.col("genres").isNotNull(),
-        }
+    after = flagged.agg(
+        F.count(F.lit(1)).alias("one_per_id"), *[F.count_if(n).alias(n) for n in STEP_NAMES]
     )
-    flags = ["_text", "_title", "_duration", "_date", "_year", "_rating", "_genre"]
-    names = ["text_valid", "title_valid", "duration_valid", "date_valid", "year_valid",
-             "rating_valid", "genre_valid"]
-    cumulative = []
-    cond = F.lit(True)
-    for flag, name in zip(flags, names):
-        cond = cond & F.col(flag)
-        cumulative.append(F.count_if(cond).alias(name))
-    after_counts = after.agg(F.count(F.lit(1)).alias("one_per_id"), *cumulative)
-
-    steps = ["raw", "valid_kind", "valid_id", "one_per_id"] + names
+    steps = ["raw", "valid_kind", "valid_id", "one_per_id", *STEP_NAMES]
 
     def long(wide: DataFrame) -> DataFrame:
         return wide.unpivot([], wide.columns, "step", "rows")
@@ -253,6 +246,14 @@ def clean_funnel(df: DataFrame) -> DataFrame:
     order = F.create_map(*[x for i, s in enumerate(steps) for x in (F.lit(s), F.lit(i + 1))])
     return (
         long(before)
-        .unionByName(long(after_counts))
+        .unionByName(long(after))
         .select(order[F.col("step")].cast("int").alias("step_no"), "step", "rows")
     )
+
+
+def clean_funnel(df: DataFrame) -> DataFrame:
+    """Rows left after every cleaning step: (step_no, step, rows).
+
+    Two scans of the input; the chain is not re-run per step.
+    """
+    return funnel_counts(df, annotate_validity(clean_identity(df), flags=True))

@@ -108,5 +108,5 @@ def test_report_equals_queries(spark, sf001):
         assert df.exceptAll(want).count() == 0 and want.exceptAll(df).count() == 0, key
     # explorations read the materialized table, not the orders scan again
     plan = report["compare_country_all"]._jdf.queryExecution().executedPlan().toString()
-    assert "orders.parquet" not in plan and "clean_catalog-" in plan
-    assert "ReadSchema: struct<countries:string,duration_min:int>" in plan
+    assert "orders.parquet" not in plan and "catalog_flagged-" in plan
+    assert "ReadSchema: struct<countries:string,duration_min:int,valid:boolean>" in plan
