@@ -39,14 +39,6 @@ def _context(spark: SparkSession):
         return None
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint in
-    the shared folder: later jobs read the checkpoint files, and a lost
-    executor costs a re-read, not a re-run of everything before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin the rows over all cores when the file layout gives fewer
     scan tasks than cores (one big row group, a few gzip files).  A large
