@@ -62,3 +62,28 @@ def test_every_aggregate_shuffle_is_pre_aggregated(spark, sf001, key):
         if "Exchange hashpartitioning" in line:
             below = lines[i + 1] if i + 1 < len(lines) else ""
             assert "partial_" in below, (key, line, below)
+
+
+def test_filters_reach_a_stored_catalogue_scan(spark, sf001):
+    """With the catalogue stored as Parquet (the raw text converted once), the
+    kind and genre tests are pushed into the scan."""
+    from marquee.operators import clean as C
+    from marquee.sources import derived, files
+
+    stored = files.materialize(derived.raw_catalog(spark, sf001), "raw_pushdown")
+    text = plan_text(C.clean_catalog(stored))
+    assert "PushedFilters: [IsNotNull(title_id), In(kind, [Movie,TV Show])" in text
+    assert "IsNotNull(genres)" not in text  # genre test stays after the de-duplication (Q6)
+    only_genres = plan_text(stored.filter("genres IS NOT NULL").select("title_id"))
+    assert "IsNotNull(genres)" in only_genres and "ReadSchema: struct<title_id:string,genres:string>" in only_genres
+
+
+def test_spread_leaves_parallel_scans_alone(spark, sf001):
+    from marquee.sources import derived, files
+
+    path = files.scratch_path(spark, "many")
+    derived.load_table(spark, sf001, "orders").repartition(16).write.parquet(path)
+    many = spark.read.parquet(path)
+    assert files.spread(many) is many
+    one = derived.load_table(spark, sf001, "orders")
+    assert files.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
