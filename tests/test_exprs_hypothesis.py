@@ -100,3 +100,27 @@ def test_first_token_and_arrays(spark, xs):
             assert r.f == x.split(" ")[0]
             assert r.a == x.split(",")
             assert r.t == re.split(r",\s*", x)
+
+
+ROWS = st.lists(
+    st.tuples(st.integers(0, 5), st.one_of(st.none(), st.sampled_from(["", "a", "b", "B", "ab"])),
+              st.one_of(st.none(), st.sampled_from(["x", "y", "z"]))),
+    min_size=1, max_size=40)
+
+
+@SETTINGS
+@given(ROWS)
+def test_dedupe_keeps_smallest_row_nulls_first(spark, rows):
+    from marquee.operators.clean import dedupe_by_key
+
+    df = spark.createDataFrame(rows, "k int, a string, b string").repartition(3)
+    got = {r.k: (r.a, r.b) for r in dedupe_by_key(df, "k", ["a", "b"]).collect()}
+
+    def order(row):
+        return tuple((v is not None, v or "") for v in row)
+
+    want = {}
+    for k, a, b in rows:
+        if k not in want or order((a, b)) < order(want[k]):
+            want[k] = (a, b)
+    assert got == want
