@@ -116,6 +116,17 @@ def compare_country_join(df: DataFrame, countries=None, value: str = "duration_m
     )
 
 
+def keep_values_in(df: DataFrame, column: str, values, values_column: str | None = None) -> DataFrame:
+    """Rows whose ``column`` is one of ``values``: a list (``isin``, pushed
+    into the scan where it can be) or a DataFrame (left-semi join; AQE
+    broadcasts the values only if their runtime size passes its threshold)."""
+    if isinstance(values, DataFrame):
+        other = values_column or column
+        right = values.select(F.col(other).alias("_value"))
+        return df.join(right, F.col(column) == F.col("_value"), "left_semi")
+    return df.filter(F.col(column).isin(list(values)))
+
+
 def music_titles(df: DataFrame, word: str = "music", min_minutes: int = 90) -> DataFrame:
     """Films whose synopsis mentions ``word`` (any case) and longer than
     ``min_minutes``."""

@@ -54,3 +54,14 @@ def test_pages_table_fields(spark, sf001):
 
     df = QUERIES["page_field"](spark, sf001)
     assert df.count() == 250 and df.filter(F.col("value").isNull()).count() == 0
+
+
+def test_keep_values_in_list_or_table(spark, sf001):
+    from marquee.plans.catalog import QUERIES
+
+    clean = QUERIES["clean_catalog"](spark, sf001)
+    listed = E.keep_values_in(clean, "countries", E.COMPARED_COUNTRIES)
+    table = spark.createDataFrame([(c,) for c in E.COMPARED_COUNTRIES], "name string")
+    joined = E.keep_values_in(clean, "countries", table, "name")
+    assert listed.count() == joined.count() == QUERIES["filter_in_list"](spark, sf001).count()
+    assert joined.columns == clean.columns
