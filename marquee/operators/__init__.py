@@ -1 +1 @@
-"""operators."""
+"""Operators: cleaning stages, profiling and explorations, each DataFrame -> DataFrame."""

@@ -1 +1 @@
-"""plans."""
+"""Plans: the query registry, its SQL oracles, and the one-run report."""

@@ -1 +1 @@
-"""streaming."""
+"""Structured Streaming: incremental cleaning of arriving catalogue files."""
