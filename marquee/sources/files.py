@@ -92,6 +92,9 @@ def read_catalog_text(
     reader = spark.read.option("sep", sep).option("header", False).option("mode", "PERMISSIVE")
     if infer_schema:
         df = reader.option("inferSchema", True).csv(path)
+        if not df.columns:
+            # No rows, so no evidence for any type: the fixed all-text schema.
+            df = reader.schema(POSITIONAL_SCHEMA).csv(path)
         df = rename_columns(df) if rename else df
     else:
         df = reader.schema(RAW_SCHEMA if rename else POSITIONAL_SCHEMA).csv(path)
