@@ -149,6 +149,8 @@ def unescape_basic(c: str | Column) -> Column:
 def first_element_text(html: str | Column, tag: str, css_class: str) -> Column:
     """Stripped, entity-decoded text of the first matching element; NULL when
     no element matches."""
-    h = col(html)
     pattern = element_text_pattern(tag, css_class)
-    return F.when(h.rlike(pattern), strip_ws(unescape_basic(F.regexp_extract(h, pattern, 1))))
+    # One pass over the (large) page: the first match, NULL when none.  The
+    # pattern applied again to that short match yields the same group 1.
+    first = F.regexp_substr(col(html), F.lit(pattern))
+    return strip_ws(unescape_basic(F.regexp_extract(first, pattern, 1)))
