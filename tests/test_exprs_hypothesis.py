@@ -124,3 +124,23 @@ def test_dedupe_keeps_smallest_row_nulls_first(spark, rows):
         if k not in want or order((a, b)) < order(want[k]):
             want[k] = (a, b)
     assert got == want
+
+
+COUNTRY_ROWS = st.lists(
+    st.tuples(
+        st.one_of(st.none(), st.sampled_from(
+            ["France", "India", "France, India", "India, France", "France, France", "", ", ",
+             "France,India", "Spain, ", "Mexico"])),
+        st.one_of(st.none(), st.integers(1, 300))),
+    min_size=1, max_size=40)
+
+
+@SETTINGS
+@given(COUNTRY_ROWS)
+def test_compare_country_one_pass_equals_join(spark, rows):
+    from marquee.operators import explore as E
+
+    df = spark.createDataFrame(rows, "countries string, duration_min int")
+    a = sorted(tuple(r) for r in E.compare_country(df).collect())
+    b = sorted(tuple(r) for r in E.compare_country_join(df).collect())
+    assert a == b
