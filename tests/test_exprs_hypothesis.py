@@ -144,3 +144,40 @@ def test_compare_country_one_pass_equals_join(spark, rows):
     a = sorted(tuple(r) for r in E.compare_country(df).collect())
     b = sorted(tuple(r) for r in E.compare_country_join(df).collect())
     assert a == b
+
+
+def _pool(*values):
+    return st.sampled_from(values)
+
+
+RAW_ROWS = st.lists(
+    st.tuples(
+        _pool("10000001", "10000002", "10000003", "1234567", "n/a", None),
+        _pool("Movie", "TV Show", "Other"),
+        _pool("T", "300", "https://x", "May 3, 2019", None),
+        _pool("D", "a@b.co", "12", None),
+        _pool("P, Q", "P", None),
+        _pool("France", "India, France", None),
+        _pool("January 3, 2019", " May 1, 2020 ", "2019-13-45", None),
+        _pool("1999", "abc", None),
+        _pool(" TV-MA", "90 min", "junk", None),
+        _pool("90 min", "2 Seasons", "Dramas", "99999999999 min", None),
+        _pool("Dramas", None),
+        _pool("A music story", "42", None),
+    ),
+    min_size=1, max_size=40)
+
+
+@settings(max_examples=6, deadline=None)
+@given(RAW_ROWS)
+def test_funnel_equals_stage_counts(spark, rows):
+    from marquee.operators import clean as C
+    from marquee.sources.schema import RAW_SCHEMA
+
+    raw = spark.createDataFrame(rows, RAW_SCHEMA)
+    funnel = {r.step: r.rows for r in C.clean_funnel(raw).collect()}
+    assert funnel["raw"] == len(rows)
+    stages = dict(zip(["one_per_id", *C.STEP_NAMES], [name for name, _ in C.STAGES]))
+    for step, stage in stages.items():
+        assert funnel[step] == C.clean_until(raw, stage).count(), step
+    assert funnel["genre_valid"] == C.clean_catalog(raw).count()
