@@ -181,3 +181,15 @@ def test_funnel_equals_stage_counts(spark, rows):
     for step, stage in stages.items():
         assert funnel[step] == C.clean_until(raw, stage).count(), step
     assert funnel["genre_valid"] == C.clean_catalog(raw).count()
+
+
+@settings(max_examples=8, deadline=None)
+@given(RAW_ROWS)
+def test_annotate_validity_equals_chain(spark, rows):
+    from marquee.operators import clean as C
+    from marquee.sources.schema import RAW_SCHEMA
+
+    raw = spark.createDataFrame(rows, RAW_SCHEMA)
+    flagged = C.annotate_validity(C.clean_identity(raw)).filter("valid").drop("valid")
+    chain = C.clean_catalog(raw)
+    assert sorted(map(tuple, flagged.collect()), key=repr) == sorted(map(tuple, chain.collect()), key=repr)
