@@ -1,9 +1,10 @@
 """The whole analysis as one run: clean once, explore many times.
 
 The script this library replaces ran 27 actions, each re-reading the text and
-re-running the de-duplication.  Here the de-duplicated catalogue is computed once
-and written as Parquet to the shared folder (``spark.checkpoint.dir``); every
-exploration then reads that table, pruned to the columns it needs.  Results are returned as lazy DataFrames keyed like ``queries()``.
+re-running the de-duplication.  Here the de-duplicated catalogue is computed
+once and written as Parquet to the shared folder (``spark.checkpoint.dir``);
+every exploration then reads that table, pruned to the columns it needs.
+Results are returned as lazy DataFrames keyed like ``queries()``.
 """
 
 from __future__ import annotations
