@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import exact_dedup, language_id, minhash_dedup, mixing, packing
+from marquee.llm import embedding_dedup, exact_dedup, language_id, minhash_dedup, mixing, packing, url_filter
 from marquee.llm.common import load
 
 QUERIES = {}
@@ -19,6 +19,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_pivot_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(load(spark, sf_dir, "embeddings"))
+
+
 @query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -38,6 +43,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_language(load(spark, sf_dir, "documents"))
 
 
+@query
+def op8_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(load(spark, sf_dir, "pages"))
+
+
+ORACLE_SQL["op8_url_language_model"] = url_filter.ORACLE
+
+
 @query
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash_dedup.near_duplicates(load(spark, sf_dir, "documents"), shingle=3, percent=85)
