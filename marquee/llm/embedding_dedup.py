@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marquee.llm.common import written
 from marquee.llm.components import connected_components
@@ -69,7 +70,8 @@ def _nearest(pivots: np.ndarray, nearest: int):
 def _links(classes: DataFrame, pivots: np.ndarray, threshold: float, nearest: int) -> DataFrame:
     """node, links, root from every block of every inverted list."""
     columns = classes.select("node", "label", "held", "vector")
-    indexed = written(columns.mapInArrow(_nearest(pivots, nearest), columns.schema.add("near", "array<int>")), "index")
+    schema = T.StructType([*columns.schema.fields, T.StructField("near", T.ArrayType(T.IntegerType()))])
+    indexed = written(columns.mapInArrow(_nearest(pivots, nearest), schema), "index")
     pair = F.flatten(
         F.transform("near", lambda x: F.transform(
             F.filter("near", lambda y: y > x), lambda y: F.struct(x.alias("one"), y.alias("other"))))

@@ -7,7 +7,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import embedding_dedup, exact_dedup, language_id, minhash_dedup, mixing, packing, url_filter
+from marquee.llm import (
+    embedding_dedup,
+    exact_dedup,
+    language_id,
+    license_scan,
+    minhash_dedup,
+    mixing,
+    packing,
+    substring_dedup,
+    token_files,
+    url_filter,
+)
 from marquee.llm.common import load
 
 QUERIES = {}
@@ -68,3 +79,23 @@ def op10_grace_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op10_grace_exact_dedup"] = exact_dedup.ORACLE
+
+
+@query
+def op3_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    manifest = token_files.write_token_files(load(spark, sf_dir, "documents"), path, end_id=1)
+    return token_files.read_token_files(manifest).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
+@query
+def op4_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_sentences(load(spark, sf_dir, "documents"))
+
+
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "licenses", F.size("blocks").alias("n_blocks"), F.to_json("blocks").alias("blocks"))

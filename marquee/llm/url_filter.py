@@ -8,8 +8,8 @@ less often the longer context was seen.  A URL's score is the log-likelihood
 difference of the two models over its number of characters; the threshold is
 calibrated on labelled URLs that were left out of the counts.  DataFrame operations only.
 
-The model is one integer (millionths) per character triple: an array of fixed size
-``len(SYMBOLS) ** 3``, whatever the data, so it is handed to the tasks as one value.
+The model is one integer (millionths) per character triple: a table of
+``len(SYMBOLS) ** 3`` rows, whatever the data, so it may be broadcast.
 """
 
 from __future__ import annotations
@@ -93,12 +93,16 @@ def model_table(labelled: DataFrame) -> DataFrame:
 
 
 def _scored(pages: DataFrame, model: DataFrame) -> DataFrame:
-    """Adds ``score``: thousandths of the log-likelihood difference a character."""
-    packed = model.agg(F.sort_array(F.collect_list(F.struct("triple", "weight"))).alias("w"))
-    weights = packed.select(F.transform("w", lambda x: x["weight"]).alias("w")).scalar()
-    total = F.aggregate("triples", F.lit(0).cast("long"), lambda done, t: done + F.get(weights, t))
-    characters = F.greatest(F.size("triples"), F.lit(1))
-    return pages.withColumn("score", F.floor(total / (characters * 1000.0)))
+    """Adds ``score``: thousandths of the log-likelihood difference a character.
+    The model has a fixed number of rows, so it may be broadcast.  A URL's triples meet again
+    before they leave their task."""
+    rows = pages.withColumn("row", F.monotonically_increasing_id())
+    columns = [c for c in rows.columns if c != "triples"]
+    each = rows.select(*columns, F.explode_outer("triples").alias("triple"))
+    weighed = each.join(F.broadcast(model), "triple", "left")
+    sums = weighed.groupBy(*columns).agg(F.sum("weight").alias("total"), F.count("triple").alias("characters"))
+    score = F.floor(F.coalesce("total", F.lit(0)) / (F.greatest("characters", F.lit(1)) * 1000.0))
+    return sums.withColumn("score", score).drop("row", "total", "characters")
 
 
 def _threshold(held_out: DataFrame) -> Column:
