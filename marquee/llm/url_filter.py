@@ -106,7 +106,8 @@ def _scored(pages: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def _threshold(held_out: DataFrame) -> Column:
-    """The least score to accept: the one of least balanced error; 0 without both kinds."""
+    """The least score to accept: between the neighbouring scores where the
+    balanced error is least; 0 without both kinds."""
     counts = held_out.groupBy("score").agg(
         F.count_if(F.col("verdict") == "allow").alias("a"), F.count_if(F.col("verdict") == "block").alias("b")
     )
@@ -115,12 +116,12 @@ def _threshold(held_out: DataFrame) -> Column:
     allowed, blocked = sum(r[1] for r in rows), sum(r[2] for r in rows)
     if not allowed or not blocked:
         return F.lit(0)
-    best, below, above = None, 0, blocked
+    best, below, above, last = None, 0, blocked, rows[0][0]
     for score, a, b in rows:
         error = above / blocked + below / allowed
         if best is None or error < best[0]:
-            best = (error, score)
-        below, above = below + a, above - b
+            best = (error, (last + score) // 2)
+        below, above, last = below + a, above - b, score
     return F.lit(best[1])
 
 
@@ -201,11 +202,12 @@ marks AS (
 errors AS (
   SELECT score, (SELECT sum(a) FROM marks) AS na, (SELECT sum(b) FROM marks) AS nb,
          coalesce(sum(a) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
-         sum(b) OVER (ORDER BY score ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above
+         sum(b) OVER (ORDER BY score ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above,
+         coalesce(lag(score) OVER (ORDER BY score), score) AS last
   FROM marks),
 threshold AS (
-  SELECT score FROM errors WHERE na > 0 AND nb > 0
-  ORDER BY above::DOUBLE / nb::DOUBLE + below::DOUBLE / na::DOUBLE, score LIMIT 1)
+  SELECT CAST(floor((last + score) / 2.0::DOUBLE) AS BIGINT) AS score FROM errors WHERE na > 0 AND nb > 0
+  ORDER BY above::DOUBLE / nb::DOUBLE + below::DOUBLE / na::DOUBLE, errors.score LIMIT 1)
 SELECT page_id, host, path, rule,
        coalesce(ruled, CASE WHEN score >= coalesce((SELECT score FROM threshold), 0) THEN 'allow' ELSE 'block' END)
          AS verdict, score
