@@ -1,0 +1,57 @@
+import json
+
+import pytest
+
+from marquee.llm import license_scan as L
+from marquee.llm import queries as Q
+
+ALL = tuple(L.TEMPLATES.items())
+
+
+@pytest.mark.parametrize("name, wording", ALL)
+def test_every_template_is_found_in_company(name, wording):
+    text = f"Some prose first, of no import.\n{wording}\nAnd prose after it."
+    found = [b for b in L.scan(text, ALL, 0.0) if b["confirmed"]]
+    assert [b["license"] for b in found] == [name]
+    assert text[found[0]["start"] : found[0]["start"] + found[0]["length"]] == wording
+
+
+def test_wording_decides():
+    near = "This work is licensed under the GNU General Public License, version 7."
+    (block,) = L.scan(near, ALL, 0.0)
+    assert not block["confirmed"] and block["differences"]
+    (block,) = L.scan("Licensed under the Apache\nLicense, Version 2.0.", ALL, 0.0)
+    assert block["confirmed"] and block["license"] == "Apache-2.0"
+    assert L.scan("A text about cats, without any notice.", ALL, 0.0) == []
+    (block,) = L.scan("Licensed under the kind Apache License, Version 2.0.", ALL, 0.0)
+    assert not block["confirmed"] and block["differences"] == ["+kind"]
+    (block,) = L.scan("Licensed under the kind Apache License, Version 2.0.", ALL, 0.2)
+    assert block["confirmed"]
+
+
+def test_dictionary_reduces_most_for_the_right_template():
+    for name, wording in ALL:
+        assert L.rank(wording, ALL)[0][1] == name
+
+
+def test_dirty_rows(spark, dirty):
+    notice = spark.createDataFrame([(20, "x " * 50_000 + "\nAll rights reserved.\n" + "y " * 50_000)], "doc_id long, text string")
+    docs = dirty.unionByName(notice, allowMissingColumns=True)
+    got = L.scan_licenses(docs).collect()
+    assert len(got) == docs.count()
+    assert {r.doc_id: list(r.licenses) for r in got}[20] == ["all-rights-reserved"]
+    assert all(r.blocks == [] for r in got if r.doc_id != 20)
+
+
+def test_empty_table(spark, no_docs):
+    assert L.scan_licenses(no_docs).collect() == []
+
+
+def test_query_finds_every_notice(spark, sf001):
+    docs = spark.read.parquet(f"{sf001}/documents.parquet").collect()
+    got = {r.doc_id: r for r in Q.QUERIES["op5_license_scan"](spark, sf001).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        want = sorted(n for n, w in ALL if any(line.strip() == w for line in r.text.split("\n")))
+        assert list(got[r.doc_id].licenses) == want
+        assert got[r.doc_id].n_blocks == len(json.loads(got[r.doc_id].blocks))
