@@ -117,26 +117,30 @@ def minutes_text(c: str | Column) -> Column:
 
 
 def strip_ws(c: str | Column) -> Column:
-    """Remove leading and trailing whitespace of any kind (not only spaces)."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """Remove leading and trailing white space of any kind, no-break spaces too."""
+    return F.regexp_replace(col(c), r"^[\s\u00a0]+|[\s\u00a0]+$", "")
 
 
-def element_text_pattern(tag: str, css_class: str) -> str:
-    """Regex for the text of a ``<tag class="... css_class ...">text<`` element.
+def element_pattern(tag: str, css_class: str) -> str:
+    """Regex of a ``<tag class="... css_class ...">`` element; group 1 is all
+    that stands up to its closing tag (or the page's end).
 
-    Only text before the first nested tag is captured.  The pattern keeps to
-    the subset shared by Java regex and RE2 so that SQL engines agree.
+    Tag and attribute names match in any case, classes exactly; the value may be
+    quoted either way or bare.  Single characters are all that the pattern repeats, so long
+    tags and texts need no deep recursion.  Limits: an element of the same tag nested
+    inside ends the match at its closing tag, and attribute values are taken not
+    to hold ``>`` or a class attribute of their own.
     """
-    t = re.escape(tag)
-    k = re.escape(css_class)
-    return (
-        rf'<{t}\s[^>]*class\s*=\s*"(?:[^"]*\s)?{k}(?:\s[^"]*)?"[^>]*>([^<]*)<'
-    )
+    t, k = re.escape(tag), re.escape(css_class)
+    value = rf"""(?:"(?:[^">]*\s)?{k}(?:\s[^">]*)?"|'(?:[^'>]*\s)?{k}(?:\s[^'>]*)?'|{k}(?=[\s/>]))"""
+    return rf"<(?i:{t})(?=\s)[^>]*?\s(?i:class)\s*=\s*{value}[^>]*>((?s:.*?))(?:</(?i:{t})\s*>|\z)"
 
 
-# The five basic character entities, decoded in this order
-# ("&amp;" last so that "&amp;lt;" stays "&lt;").
-HTML_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+# Basic character entities, decoded in this order ("&amp;" last so
+# that "&amp;lt;" stays "&lt;").
+HTML_ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"),
+)
 
 
 def unescape_basic(c: str | Column) -> Column:
@@ -147,10 +151,11 @@ def unescape_basic(c: str | Column) -> Column:
 
 
 def first_element_text(html: str | Column, tag: str, css_class: str) -> Column:
-    """Stripped, entity-decoded text of the first matching element; NULL when
-    no element matches."""
-    pattern = element_text_pattern(tag, css_class)
+    """Text of the first matching element with all tags inside it taken out,
+    entity-decoded and stripped; NULL when no element matches."""
+    pattern = element_pattern(tag, css_class)
     # One pass over the (large) page: the first match, NULL when none.  The
     # pattern applied again to that short match yields the same group 1.
     first = F.regexp_substr(col(html), F.lit(pattern))
-    return strip_ws(unescape_basic(F.regexp_extract(first, pattern, 1)))
+    inner = F.regexp_replace(F.regexp_extract(first, pattern, 1), r"<[^>]*>", "")
+    return strip_ws(unescape_basic(inner))

@@ -1,13 +1,15 @@
 """Cleaning stages of the title catalogue.
 
-Each stage is a pure ``DataFrame -> DataFrame`` function; ``clean_catalog``
-chains them in the order the analysis applies them.  Only ``clean_identity``
-shuffles (one row per id); every other stage is a narrow filter/projection
-that Catalyst fuses into the scan's codegen stage.
+After ``clean_identity`` (the only shuffle: one row per id) every stage is a
+``Rule``: columns it derives and the condition of the rows it keeps.  The filter chain,
+the validity flags and the funnel are all built from the same list of rules, with the
+same options.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +40,23 @@ def clean_identity(
 ) -> DataFrame:
     """Valid kind -> integer id -> id present -> id of ``id_length`` characters
     -> one row per id (in this order)."""
+    kind_ok, as_int, id_ok = _identity(kinds, id_length)
+    valid = df.filter(id_ok & kind_ok).withColumn("title_id", as_int)
+    return dedupe_by_key(valid, "title_id", _row_order(df))
+
+
+def _identity(kinds, id_length: int) -> tuple[Column, Column, Column]:
+    """Whether the kind is valid; the id as int; whether that is valid."""
+    as_int = X.lenient_int("title_id")
+    id_ok = F.col("title_id").isNotNull() & as_int.isNotNull() & (F.length(as_int.cast("string")) == id_length)
+    return F.col("kind").isin(list(kinds)), as_int, id_ok
+
+
+def _row_order(df: DataFrame) -> list[str]:
+    """Which of the rows of one id stays: the smallest by these columns, any
+    that are not the catalogue's own last."""
     order = [c for c in RAW_COLUMNS if c not in ("title_id", "kind")] + ["kind"]
-    title_id = F.col("title_id")
-    valid = df.withColumn("title_id", X.lenient_int(title_id)).filter(
-        F.col("kind").isin(list(kinds))
-        & title_id.isNotNull()
-        & (F.length(title_id.cast("string")) == id_length)
-    )
-    return dedupe_by_key(valid, "title_id", order)
+    return order + [c for c in df.columns if c not in RAW_COLUMNS]
 
 
 def _negated(cond: Column, null_policy: str) -> Column:
@@ -57,64 +68,100 @@ def _negated(cond: Column, null_policy: str) -> Column:
     raise ValueError(f"null_policy must be 'drop' or 'keep', not {null_policy!r}")
 
 
-def clean_text(
-    df: DataFrame,
-    columns=TEXT_COLUMNS,
-    patterns=X.TEXT_PATTERNS,
+class Rule(NamedTuple):
+    """One cleaning stage: its name, the funnel's name for it, the columns that
+    it derives, and the condition that rows must meet after that."""
+
+    stage: str
+    step: str
+    derived: dict[str, Column]
+    keep: Column
+
+
+def rules(
     null_policy: str = "drop",
+    text_columns=TEXT_COLUMNS,
+    text_patterns=X.TEXT_PATTERNS,
+    title_columns=("title",),
+    title_patterns=X.TITLE_PATTERNS,
+    fmt: str = X.DATE_FORMAT,
+    min_year: int | None = None,
+    max_year: int | None = None,
+    ratings=X.VALID_RATINGS,
+) -> list[Rule]:
+    """The stages after ``clean_identity``, in chain order.
+
+    text, title: not a URL, e-mail, date (text: nor a number); duration: ``N
+    min`` or ``N Season(s)``; date: the trimmed text parses; year: a number (and in
+    range); rating: known after normalising; genre: present.
+    """
+    year = F.col("release_year")
+    in_range = year.isNotNull()
+    if min_year is not None:
+        in_range = in_range & (year >= min_year)
+    if max_year is not None:
+        in_range = in_range & (year <= max_year)
+    durations = {
+        "duration_min": X.extract_int("duration", X.MINUTES_PATTERN),
+        "seasons": X.extract_int("duration", X.SEASONS_PATTERN),
+    }
+    known = F.col("duration_min").isNotNull() | F.col("seasons").isNotNull()
+    rating = X.normalised_rating(F.trim("rating"), ratings)
+    return [
+        Rule("text", "text_valid", {}, _negated(X.matches_any(text_columns, text_patterns), null_policy)),
+        Rule("title", "title_valid", {}, _negated(X.matches_any(title_columns, title_patterns), null_policy)),
+        Rule("duration", "duration_valid", durations, known),
+        Rule("added_date", "date_valid", {"added_on": F.trim("added_on")}, X.lenient_date("added_on", fmt).isNotNull()),
+        Rule("year", "year_valid", {"release_year": X.lenient_int("release_year")}, in_range),
+        Rule("rating", "rating_valid", {"rating": rating}, F.col("rating").isNotNull()),
+        Rule("genre", "genre_valid", {}, F.col("genres").isNotNull()),
+    ]
+
+
+def apply_rule(df: DataFrame, rule: Rule) -> DataFrame:
+    return (df.withColumns(rule.derived) if rule.derived else df).filter(rule.keep)
+
+
+def _stage(name: str, **options):
+    return next(r for r in rules(**options) if r.stage == name)
+
+
+def clean_text(
+    df: DataFrame, columns=TEXT_COLUMNS, patterns=X.TEXT_PATTERNS, null_policy: str = "drop"
 ) -> DataFrame:
     """Drop rows where a free-text column is a URL, e-mail, number or date."""
-    return df.filter(_negated(X.matches_any(columns, patterns), null_policy))
+    return apply_rule(df, _stage("text", text_columns=columns, text_patterns=patterns, null_policy=null_policy))
 
 
 def clean_title(
-    df: DataFrame,
-    columns=("title",),
-    patterns=X.TITLE_PATTERNS,
-    null_policy: str = "drop",
+    df: DataFrame, columns=("title",), patterns=X.TITLE_PATTERNS, null_policy: str = "drop"
 ) -> DataFrame:
     """As ``clean_text`` for titles, without the all-digits rule."""
-    return clean_text(df, columns, patterns, null_policy)
+    return apply_rule(df, _stage("title", title_columns=columns, title_patterns=patterns, null_policy=null_policy))
 
 
 def clean_duration(df: DataFrame) -> DataFrame:
     """``N min`` -> duration_min, ``N Season(s)`` -> seasons; drop the rest."""
-    return df.withColumns(
-        {
-            "duration_min": X.extract_int("duration", X.MINUTES_PATTERN),
-            "seasons": X.extract_int("duration", X.SEASONS_PATTERN),
-        }
-    ).filter(F.col("duration_min").isNotNull() | F.col("seasons").isNotNull())
+    return apply_rule(df, _stage("duration"))
 
 
 def clean_added_date(df: DataFrame, fmt: str = X.DATE_FORMAT) -> DataFrame:
     """Trim the availability date and keep rows whose text parses."""
-    return df.withColumn("added_on", F.trim("added_on")).filter(
-        X.lenient_date("added_on", fmt).isNotNull()
-    )
+    return apply_rule(df, _stage("added_date", fmt=fmt))
 
 
 def clean_year(df: DataFrame, min_year: int | None = None, max_year: int | None = None) -> DataFrame:
     """Release year -> int, keep rows where it is a number (and in range)."""
-    out = df.withColumn("release_year", X.lenient_int("release_year")).filter(
-        F.col("release_year").isNotNull()
-    )
-    if min_year is not None:
-        out = out.filter(F.col("release_year") >= min_year)
-    if max_year is not None:
-        out = out.filter(F.col("release_year") <= max_year)
-    return out
+    return apply_rule(df, _stage("year", min_year=min_year, max_year=max_year))
 
 
 def clean_rating(df: DataFrame, ratings=X.VALID_RATINGS) -> DataFrame:
     """Normalise the rating (see ``normalised_rating``), drop what stays NULL."""
-    return df.withColumn("rating", X.normalised_rating(F.trim("rating"), ratings)).filter(
-        F.col("rating").isNotNull()
-    )
+    return apply_rule(df, _stage("rating", ratings=ratings))
 
 
 def clean_genre(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("genres").isNotNull())
+    return apply_rule(df, _stage("genre"))
 
 
 def typed_catalog(df: DataFrame, fmt: str = X.DATE_FORMAT) -> DataFrame:
@@ -131,129 +178,109 @@ def typed_catalog(df: DataFrame, fmt: str = X.DATE_FORMAT) -> DataFrame:
 # Funnel step names of the stages after de-duplication, in chain order.
 STEP_NAMES = ("text_valid", "title_valid", "duration_valid", "date_valid", "year_valid",
               "rating_valid", "genre_valid")
+FIRST_STEPS = ("raw", "valid_kind", "valid_id", "one_per_id")
 
 
-def annotate_validity(df: DataFrame, fmt: str = X.DATE_FORMAT, flags: bool = False) -> DataFrame:
+def annotate_validity(
+    df: DataFrame, fmt: str = X.DATE_FORMAT, flags: bool = False, **options
+) -> DataFrame:
     """The stages after ``clean_identity`` as one pass without filtering: all
     derived and typed columns plus ``valid``, true exactly for the rows the
-    filter chain keeps (every stage condition true, NULL counts as false).
+    filter chain with the same ``options`` keeps (NULL counts as false).
 
     With ``flags=True`` the cumulative result after each stage is kept as
     well (one boolean column per ``STEP_NAMES`` entry), which is what the
     funnel counts.
     """
-    derived = df.withColumns(
-        {
-            "duration_min": X.extract_int("duration", X.MINUTES_PATTERN),
-            "seasons": X.extract_int("duration", X.SEASONS_PATTERN),
-            "added_on": F.trim("added_on"),
-            "release_year": X.lenient_int("release_year"),
-            "rating": X.normalised_rating(F.trim("rating")),
-        }
-    )
-    conditions = [
-        ~X.matches_any(TEXT_COLUMNS, X.TEXT_PATTERNS),
-        ~X.matches_any(["title"], X.TITLE_PATTERNS),
-        F.col("duration_min").isNotNull() | F.col("seasons").isNotNull(),
-        X.lenient_date("added_on", fmt).isNotNull(),
-        F.col("release_year").isNotNull(),
-        F.col("rating").isNotNull(),
-        F.col("genres").isNotNull(),
-    ]
+    chain = rules(fmt=fmt, **options)
+    derived = df.withColumns({name: c for rule in chain for name, c in rule.derived.items()})
     cumulative = F.lit(True)
     steps = {}
-    for name, cond in zip(STEP_NAMES, conditions):
-        cumulative = cumulative & F.coalesce(cond, F.lit(False))
-        steps[name] = cumulative
+    for rule in chain:
+        cumulative = cumulative & F.coalesce(rule.keep, F.lit(False))
+        steps[rule.step] = cumulative
     out = derived.withColumns(steps) if flags else derived
     return out.withColumn("valid", cumulative).transform(typed_catalog, fmt=fmt)
 
 
-# Stage name -> function, in chain order.
-STAGES = (
-    ("identity", clean_identity),
-    ("text", clean_text),
-    ("title", clean_title),
-    ("duration", clean_duration),
-    ("added_date", clean_added_date),
-    ("year", clean_year),
-    ("rating", clean_rating),
-    ("genre", clean_genre),
-)
+def clean_until(df: DataFrame, last_stage: str, kinds=X.VALID_KINDS, id_length: int = 8, **options) -> DataFrame:
+    """Apply the stages up to and including ``last_stage``."""
+    df = clean_identity(df, kinds, id_length)
+    if last_stage == "identity":
+        return df
+    chain = rules(**options)
+    names = [r.stage for r in chain]
+    if last_stage not in names:
+        raise ValueError(f"unknown stage {last_stage!r}")
+    for rule in chain[: names.index(last_stage) + 1]:
+        df = apply_rule(df, rule)
+    return df
 
 
-def clean_until(df: DataFrame, last_stage: str) -> DataFrame:
-    """Apply the stages up to and including ``last_stage``."""
-    for name, stage in STAGES:
-        df = stage(df)
-        if name == last_stage:
-            return df
-    raise ValueError(f"unknown stage {last_stage!r}")
+# Stage names, in chain order.
+STAGES = ("identity", "text", "title", "duration", "added_date", "year", "rating", "genre")
 
 
 def clean_catalog(
-    df: DataFrame,
-    null_policy: str = "drop",
-    text_patterns=X.TEXT_PATTERNS,
-    title_patterns=X.TITLE_PATTERNS,
-    min_year: int | None = None,
-    max_year: int | None = None,
+    df: DataFrame, kinds=X.VALID_KINDS, id_length: int = 8, fmt: str = X.DATE_FORMAT, **options
 ) -> DataFrame:
-    """Raw catalogue -> typed, validated, one row per id.
+    """Raw catalogue -> typed, validated, one row per id.  ``options`` are those
+    of ``rules``."""
+    df = clean_identity(df, kinds, id_length)
+    for rule in rules(fmt=fmt, **options):
+        df = apply_rule(df, rule)
+    return typed_catalog(df, fmt)
 
-    Same stages as ``clean_until(df, "genre")`` followed by ``typed_catalog``,
-    except that the availability date is parsed once (the date column is
-    both the filter and the result) instead of once per step.
-    """
-    return (
-        df.transform(clean_identity)
-        .transform(clean_text, patterns=text_patterns, null_policy=null_policy)
-        .transform(clean_title, patterns=title_patterns, null_policy=null_policy)
-        .transform(clean_duration)
-        .withColumn("added_on", X.lenient_date(F.trim("added_on")))
-        .filter(F.col("added_on").isNotNull())
-        .transform(clean_year, min_year=min_year, max_year=max_year)
-        .transform(clean_rating)
-        .transform(clean_genre)
-        .withColumn("duration", X.lenient_int(X.first_token("duration")))
-    )
+
+def _long(wide: DataFrame, steps) -> DataFrame:
+    """One row of counts -> (step_no, step, rows)."""
+    order = F.create_map(*[x for i, s in enumerate(steps) for x in (F.lit(s), F.lit(i + 1))])
+    out = wide.unpivot([], list(steps), "step", "rows")
+    return out.select(order[F.col("step")].cast("int").alias("step_no"), "step", "rows")
 
 
-def funnel_counts(raw: DataFrame, flagged: DataFrame) -> DataFrame:
-    """(step_no, step, rows) from the raw rows and the de-duplicated rows
-    annotated by ``annotate_validity(..., flags=True)``.
+def clean_funnel(
+    df: DataFrame, kinds=X.VALID_KINDS, id_length: int = 8, fmt: str = X.DATE_FORMAT, **options
+) -> DataFrame:
+    """Rows left after every cleaning step: (step_no, step, rows).
 
-    Two global aggregates (partial + final, nothing large moves): the steps
-    before de-duplication over the raw rows, the later ones as ``count_if``
-    over the cumulative flags.
+    One scan and one shuffle: rows are grouped by valid id (all others under
+    NULL), each group keeps its counts and the row that de-duplication would, and
+    one global aggregate adds them up.  ``options`` are those of ``clean_catalog``.
     """
-    kind_ok = F.col("kind").isin(list(X.VALID_KINDS))
-    id_int = X.lenient_int("title_id")
-    id_ok = kind_ok & id_int.isNotNull() & (F.length(id_int.cast("string")) == 8)
+    kind_ok, as_int, id_ok = _identity(kinds, id_length)
+    order = _row_order(df)
+    groups = df.withColumn("_id", F.when(kind_ok & id_ok, as_int)).groupBy("_id").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(kind_ok).alias("_kind_n"),
+        F.min(F.when(F.col("_id").isNotNull(), F.struct(*[F.col(f"`{c}`") for c in order]))).alias("_row"),
+    )
+    one = groups.select(F.col("_id").alias("title_id"), "_n", "_kind_n", "_row.*")
+    flagged = annotate_validity(one, fmt=fmt, flags=True, **options)
+    has_id = F.col("title_id").isNotNull()
+    counts = flagged.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("raw"),
+        F.coalesce(F.sum("_kind_n"), F.lit(0)).alias("valid_kind"),
+        F.coalesce(F.sum(F.when(has_id, F.col("_n"))), F.lit(0)).alias("valid_id"),
+        F.count("title_id").alias("one_per_id"),
+        *[F.count_if(has_id & F.col(n)).alias(n) for n in STEP_NAMES],
+    )
+    return _long(counts, (*FIRST_STEPS, *STEP_NAMES))
+
+
+def funnel_counts(raw: DataFrame, flagged: DataFrame, kinds=X.VALID_KINDS, id_length: int = 8) -> DataFrame:
+    """The same from the raw rows and the stored, de-duplicated rows annotated by
+    ``annotate_validity(..., flags=True)`` with the same options."""
+    kind_ok, _, id_ok = _identity(kinds, id_length)
     before = raw.agg(
         F.count(F.lit(1)).alias("raw"),
         F.count_if(kind_ok).alias("valid_kind"),
-        F.count_if(id_ok).alias("valid_id"),
+        F.count_if(kind_ok & id_ok).alias("valid_id"),
     )
     after = flagged.agg(
         F.count(F.lit(1)).alias("one_per_id"), *[F.count_if(n).alias(n) for n in STEP_NAMES]
     )
-    steps = ["raw", "valid_kind", "valid_id", "one_per_id", *STEP_NAMES]
-
-    def long(wide: DataFrame) -> DataFrame:
-        return wide.unpivot([], wide.columns, "step", "rows")
-
+    steps = (*FIRST_STEPS, *STEP_NAMES)
+    rows = _long(before, FIRST_STEPS[:3]).unionByName(_long(after, (FIRST_STEPS[3], *STEP_NAMES)))
     order = F.create_map(*[x for i, s in enumerate(steps) for x in (F.lit(s), F.lit(i + 1))])
-    return (
-        long(before)
-        .unionByName(long(after))
-        .select(order[F.col("step")].cast("int").alias("step_no"), "step", "rows")
-    )
-
-
-def clean_funnel(df: DataFrame) -> DataFrame:
-    """Rows left after every cleaning step: (step_no, step, rows).
-
-    Two scans of the input; the chain is not re-run per step.
-    """
-    return funnel_counts(df, annotate_validity(clean_identity(df), flags=True))
+    return rows.withColumn("step_no", order[F.col("step")].cast("int"))

@@ -9,9 +9,8 @@ Design notes for scale:
   with one exploded aggregate instead of two aggregates and a join.
 * The top performer is a one-row scalar subquery, not a driver ``collect()``;
   the plan stays lazy and the filter on it runs on the executors.
-* Nothing here broadcasts explicitly: the only joins are between aggregates
-  whose size depends on the data, so the choice is left to AQE's runtime
-  size check (``spark.sql.adaptive.autoBroadcastJoinThreshold``).
+* Nothing here broadcasts explicitly: Spark broadcasts a side only where its
+  estimated or, later, its measured size is below the session's threshold.
 """
 
 from __future__ import annotations
@@ -68,6 +67,7 @@ def compare_country(
     value: str = "duration_min",
     sep: str = ", ",
     digits: int = 2,
+    participation_value: str | None = None,
 ) -> DataFrame:
     """Per country: mean over titles made by that country alone (the whole
     countries text equals it) and mean over titles it takes part in.
@@ -75,9 +75,12 @@ def compare_country(
     Equivalent to joining ``avg_by(countries)`` with ``avg_by_item(countries)``
     on combination = country (a combination equal to a single element cannot
     contain the separator, so its titles explode into exactly that element),
-    but computed with one shuffle and no join.
+    but computed with one shuffle and no join.  The second mean may be over
+    another column (``participation_value``).
     """
-    exploded = explode_items(df.select("countries", value), "countries", "country", sep)
+    other = participation_value or value
+    columns = list(dict.fromkeys(["countries", value, other]))
+    exploded = explode_items(df.select(*columns), "countries", "country", sep)
     if countries is not None:
         exploded = exploded.filter(F.col("country").isin(list(countries)))
     alone = F.col("countries") == F.col("country")
@@ -85,7 +88,7 @@ def compare_country(
         exploded.groupBy("country")
         .agg(
             F.round(F.avg(F.when(alone, F.col(value))), digits).alias("combination_mean"),
-            F.round(F.avg(value), digits).alias("participation_mean"),
+            F.round(F.avg(other), digits).alias("participation_mean"),
             F.max(alone).alias("_alone"),
         )
         .filter(F.col("_alone"))
@@ -206,8 +209,14 @@ def release_dates(
 
 
 def attach_dates(titles: DataFrame, dates: DataFrame, on: str = "title") -> DataFrame:
-    """Left join of titles with a table holding at most one row per ``on``."""
-    return titles.join(dates, on=on, how="left")
+    """Left join of titles with a table holding at most one row per ``on``.
+
+    One title may hold any share of the rows: AQE splits a skewed partition
+    only where a shuffle stands directly under each side of the join.  The dates are
+    an aggregate over their own shuffle by title, which the join would reuse, so they are
+    dealt out by a hash of the title first; the join then adds its own shuffle.
+    """
+    return titles.join(dates.repartition(F.xxhash64(on)), on=on, how="left")
 
 
 def date_span(df: DataFrame, date_col: str = "release_date") -> DataFrame:

@@ -22,13 +22,17 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 
 def schema_report(df: DataFrame) -> DataFrame:
-    """(position, column_name, data_type) of ``df``'s schema.
-
-    Built from the analysed schema only; no job runs over the data.
-    """
-    spark = df.sparkSession
-    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
-    return spark.createDataFrame(rows, "position int, column_name string, data_type string")
+    """(position, column_name, data_type, non_null): the schema, and how many
+    rows hold a value in each column (one aggregate over the table)."""
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)])
+    rows = [
+        F.struct(
+            F.lit(i).alias("position"), F.lit(f.name).alias("column_name"),
+            F.lit(f.dataType.simpleString()).alias("data_type"), F.col(f"n{i}").alias("non_null"),
+        )
+        for i, f in enumerate(df.schema.fields)
+    ]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def preview(df: DataFrame, key: str | list[str], n: int = 20) -> DataFrame:

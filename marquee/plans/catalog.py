@@ -19,7 +19,7 @@ from marquee.operators import clean as C
 from marquee.operators import explore as E
 from marquee.operators import profile as P
 from marquee.sources import derived, files
-from marquee.sources.schema import POSITIONAL_NAMES
+from marquee.sources.schema import CLEAN_COLUMNS, POSITIONAL_NAMES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,25 +53,37 @@ def _roundtrip_text(spark: SparkSession, sf: str, compression: str | None, name:
     return path
 
 
+# The cleaning as the analysis script ran it: its date pattern matched nothing.
+AS_RUN = {
+    "text_patterns": tuple(p for p in X.TEXT_PATTERNS if p != X.DATE_TEXT_PATTERN),
+    "title_patterns": tuple(p for p in X.TITLE_PATTERNS if p != X.DATE_TEXT_PATTERN),
+}
+
+
 # --- 2.1 scans, sources, sinks, inspection ---------------------------------
 
 
 @query("scan_tsv")
 def scan_tsv(spark, sf):
     path = _roundtrip_text(spark, sf, None, "scan_tsv")
-    return files.read_catalog_text(spark, f"{path}/part-*.csv")
+    return files.read_catalog_text(spark, f"{path}/part-*.csv", multiline=True)
 
 
 @query("scan_tsv_gz")
 def scan_tsv_gz(spark, sf):
     path = _roundtrip_text(spark, sf, "gzip", "scan_tsv_gz")
-    return files.read_catalog_text(spark, f"{path}/part-*.csv.gz")
+    return files.read_catalog_text(spark, f"{path}/part-*.csv.gz", multiline=True)
 
 
 @query("infer_schema")
 def infer_schema(spark, sf):
-    path = _roundtrip_text(spark, sf, None, "infer_schema")
-    return P.schema_report(files.read_catalog_text(spark, f"{path}/part-*.csv", infer_schema=True))
+    # Over the clean catalogue, so that numbers and dates are there to be found.
+    path = files.scratch_path(spark, "infer_schema")
+    files.write_catalog_text(clean(spark, sf), path)
+    text = files.read_catalog_text(
+        spark, f"{path}/part-*.csv", infer_schema=True, multiline=True, columns=CLEAN_COLUMNS
+    )
+    return P.schema_report(text)
 
 
 @query("parquet_roundtrip")
@@ -439,7 +451,7 @@ def _stage_query(stage: str) -> Query:
     return run
 
 
-for _stage, _ in C.STAGES:
+for _stage in C.STAGES:
     query(f"clean_{_stage}")(_stage_query(_stage))
 
 
@@ -448,11 +460,26 @@ def clean_catalog(spark, sf):
     return clean(spark, sf)
 
 
+@query("clean_catalog_keep")
+def clean_catalog_keep(spark, sf):
+    return C.clean_catalog(raw(spark, sf), null_policy="keep")
+
+
+@query("clean_catalog_as_run")
+def clean_catalog_as_run(spark, sf):
+    return C.clean_catalog(raw(spark, sf), **AS_RUN)
+
+
 @query("clean_funnel")
 def clean_funnel(spark, sf):
     return C.clean_funnel(raw(spark, sf))
 
 
+@query("clean_funnel_keep")
+def clean_funnel_keep(spark, sf):
+    return C.clean_funnel(raw(spark, sf), null_policy="keep")
+
+
 @query("avg_by_combination")
 def avg_by_combination(spark, sf):
     return E.avg_by(clean(spark, sf), "countries")
@@ -488,6 +515,14 @@ def compare_country_all(spark, sf):
     return E.compare_country(clean(spark, sf))
 
 
+@query("compare_country_mixed")
+def compare_country_mixed(spark, sf):
+    # The second mean is over minutes and season counts alike.
+    return E.compare_country(
+        clean(spark, sf), E.COMPARED_COUNTRIES, as_text=True, participation_value="duration"
+    )
+
+
 @query("music_performers")
 def music_performers(spark, sf):
     return E.frequent_items(music(spark, sf))
@@ -575,3 +610,10 @@ def coproduction_counts_music(spark, sf):
 def export_clean(spark, sf):
     path = files.write_parquet(clean(spark, sf), files.scratch_path(spark, "clean_export"))
     return spark.read.parquet(path)
+
+
+@query("export_clean_counted")
+def export_clean_counted(spark, sf):
+    counted = clean(spark, sf).withColumn("country_count", X.item_count("countries"))
+    path = files.write_parquet(counted, files.scratch_path(spark, "clean_export"))
+    return spark.read.parquet(path)

@@ -55,12 +55,20 @@ def _minutes_text(m: str) -> str:
 
 
 def _element_text(html: str, tag: str, css_class: str) -> str:
-    p = X.element_text_pattern(tag, css_class)
-    text = f"regexp_extract({html}, '{p}', 1)"
-    for entity, char in X.HTML_ENTITIES:
-        char = char.replace("'", "''")
-        text = f"replace({text}, '{entity}', '{char}')"
-    return f"CASE WHEN regexp_matches({html}, '{p}') THEN regexp_replace({text}, '^\\s+|\\s+$', '', 'g') END"
+    """Text of the first element of a class, found by other means than the
+    Spark side: all elements of the tag as a list, the class attribute of each taken
+    apart, the first that has the class, its tags cut away."""
+    elements = f"regexp_extract_all({html}, '(?is)<{tag}(?:\\s[^>]*)?>.*?(?:</{tag}\\s*>|\\z)')"
+    opening = "regexp_extract(e, '^[^>]*')"
+    given = f"regexp_extract({opening}, '(?i)\\sclass\\s*=\\s*(.*)$', 1)"
+    quoted = f"CASE WHEN left({given}, 1) IN ('\"', chr(39)) THEN string_split(substr({given}, 2), left({given}, 1))[1] "
+    quoted += f"ELSE string_split({given}, ' ')[1] END"
+    has = f"list_contains(regexp_split_to_array({quoted}, '\\s+'), '{css_class}')"
+    first = f"list_filter({elements}, lambda e: {has})[1]"
+    text = f"regexp_replace({first}, '<[^>]*>', '', 'g')"
+    for entity, char in (("lt", "'<'"), ("gt", "'>'"), ("quot", "'\"'"), ("#39", "chr(39)"), ("nbsp", "chr(160)"), ("amp", "'&'")):
+        text = f"replace({text}, '&{entity};', {char})"
+    return f"trim({text}, ' ' || chr(9) || chr(10) || chr(13) || chr(160))"
 
 
 CTES = f"""
@@ -80,18 +88,23 @@ raw_catalog AS (
   CASE WHEN k%43=0 THEN 'Dramas' WHEN k%3=0 THEN (CASE WHEN k%7=0 THEN '1 Season' ELSE (k%7+1) || ' Seasons' END)
        ELSE (60+k%120) || ' min' END AS duration,
   CASE WHEN k%29=0 THEN NULL WHEN k%2=0 THEN 'Dramas, Music' ELSE 'Comedies' END AS genres,
-  CASE WHEN k%6=1 THEN 'A MUSIC story ' || k ELSE 'A plain story ' || k END AS synopsis
+  CASE WHEN k%222=0 THEN '' ELSE (CASE WHEN k%6=1 THEN 'A MUSIC story ' ELSE 'A plain story ' END) || k ||
+    (CASE WHEN k%211=0 THEN chr(10) || '"told"' || chr(9) || 'in two lines' ELSE '' END) END AS synopsis
  FROM (SELECT o_orderkey k, o_custkey c, strftime(o_orderdate, '%B %-d, %Y') AS dtxt,
   CASE o_orderkey%4 WHEN 0 THEN 'United States' WHEN 1 THEN 'India' WHEN 2 THEN 'Spain' ELSE 'France' END co1,
   CASE o_orderkey%3 WHEN 0 THEN 'Mexico' WHEN 1 THEN 'India' ELSE 'France' END co2 FROM orders) t),
 release_pages AS (
- SELECT 'Title ' || o_orderkey AS title,
-  CASE WHEN o_orderkey%17=0 THEN 404 ELSE 200 END AS status,
-  CASE WHEN o_orderkey%31=0 THEN '<html><p>no date</p></html>'
-       ELSE '<html><span class="x">-</span><span class="a release b"> '
-            || strftime(o_orderdate + INTERVAL 30 DAY, '%B %-d, %Y')
-            || ' </span><span class="release">January 1, 1900</span></html>' END AS html
- FROM orders WHERE o_orderkey%2=1),
+ SELECT 'Title ' || k AS title,
+  CASE WHEN k%2=0 THEN 0 WHEN k%17=0 THEN 404 ELSE 200 END AS status,
+  CASE WHEN k%2=0 THEN NULL WHEN k%31=0 THEN '<html><p>no date</p></html>'
+   WHEN k%7=1 THEN '<html><span data-class="release">WRONG</span><span id=r class="release">' || strftime(r, '%B')
+     || ' <b class="day">' || strftime(r, '%-d') || '</b>, <i>' || strftime(r, '%Y') || '</i></span></html>'
+   WHEN k%7=2 THEN '<HTML><SPAN CLASS=''x''>-</SPAN><SPAN ID="r" CLASS = ''a release''>'
+     || strftime(r, '%B %-d, %Y') || '&nbsp;</SPAN></HTML>'
+   WHEN k%7=3 THEN '<span class="release"><a href="/r">' || strftime(r, '%B %-d, %Y') || '</a></span>'
+   ELSE '<html><span class="x">-</span><span class="a release b"> ' || strftime(r, '%B %-d, %Y')
+     || ' </span><span class="release">January 1, 1900</span></html>' END AS html
+ FROM (SELECT o_orderkey AS k, o_orderdate + INTERVAL 30 DAY AS r FROM orders) t),
 s_identity AS (
  SELECT {RAW_COLUMNS} FROM (
   SELECT *, row_number() OVER (PARTITION BY title_id ORDER BY title NULLS FIRST, directors NULLS FIRST,
@@ -170,11 +183,6 @@ def _null_profile(table: str, columns) -> str:
     )
 
 
-def _schema_values(pairs) -> str:
-    rows = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(pairs))
-    return f'SELECT * FROM (VALUES {rows}) v("position", column_name, data_type)'
-
-
 def _compare(where: str, as_text: bool) -> str:
     if as_text:
         cols = (f"{_minutes_text('c.mean_minutes')} AS combination_text, "
@@ -211,15 +219,42 @@ _FUNNEL = " UNION ALL ".join(
     )
 )
 
+# The clean chain with other rules: the same SQL with one part exchanged.
+_NO_DATE = {
+    TEXT_BAD: " OR ".join(
+        _bad(c, [p for p in X.TEXT_PATTERNS if p != X.DATE_TEXT_PATTERN])
+        for c in ("directors", "performers", "synopsis", "countries")),
+    TITLE_BAD: _bad("title", [p for p in X.TITLE_PATTERNS if p != X.DATE_TEXT_PATTERN]),
+}
+_KEEP = {bad: f"coalesce(({bad}), false)" for bad in (TEXT_BAD, TITLE_BAD)}
+REPLACED = {"clean_catalog_as_run": _NO_DATE, "clean_catalog_keep": _KEEP, "clean_funnel_keep": _KEEP}
+
+
+def _inferred(table: str, columns) -> str:
+    """Types as the stored values suggest: whole numbers, dates, else text."""
+    def kind(c: str) -> str:
+        value = f"CAST({c} AS VARCHAR)"
+        return (f"CASE WHEN bool_and(try_cast({value} AS INTEGER) IS NOT NULL) THEN 'int' "
+                f"WHEN bool_and(regexp_matches({value}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$')) THEN 'date' "
+                f"ELSE 'string' END")
+    return _report(table, [(c, f"(SELECT {kind(c)} FROM {table} WHERE {c} IS NOT NULL)") for c in columns])
+
+
+def _report(table: str, pairs) -> str:
+    return " UNION ALL ".join(
+        f'SELECT {i} AS "position", \'{c}\' AS column_name, {t} AS data_type, count({c}) AS non_null FROM {table}'
+        for i, (c, t) in enumerate(pairs))
+
+
 _COUNT_ITEMS = "CAST(len(string_split(countries, ',')) AS INTEGER)"
 
 BODIES = {
     # 2.1
     "scan_tsv": "SELECT * FROM raw_catalog",
     "scan_tsv_gz": "SELECT * FROM raw_catalog",
-    "infer_schema": _schema_values([(c, "string") for c in RAW_COLUMNS.split(", ")]),
+    "infer_schema": _inferred("clean_catalog", CLEAN_COLUMNS),
     "parquet_roundtrip": "SELECT * FROM raw_catalog",
-    "schema_report": _schema_values([(c, CLEAN_TYPES.get(c, "string")) for c in CLEAN_COLUMNS]),
+    "schema_report": _report("clean_catalog", [(c, f"'{CLEAN_TYPES.get(c, 'string')}'") for c in CLEAN_COLUMNS]),
     "preview": "SELECT * FROM clean_catalog ORDER BY title_id LIMIT 20",
     "row_count": "SELECT 'raw_catalog' AS table_name, count(*) AS \"rows\" FROM raw_catalog "
                  "UNION ALL SELECT 'clean_catalog', count(*) FROM clean_catalog",
@@ -307,7 +342,10 @@ BODIES = {
     "clean_rating": "SELECT * FROM s_rating",
     "clean_genre": "SELECT * FROM s_genre",
     "clean_catalog": "SELECT * FROM clean_catalog",
+    "clean_catalog_keep": "SELECT * FROM clean_catalog",
+    "clean_catalog_as_run": "SELECT * FROM clean_catalog",
     "clean_funnel": _FUNNEL,
+    "clean_funnel_keep": _FUNNEL,
     "avg_by_combination": "SELECT * FROM combination_means",
     "avg_formatted": f"SELECT countries, {_minutes_text('mean_minutes')} AS mean_text FROM combination_means",
     "avg_by_country": "SELECT * FROM country_means",
@@ -317,6 +355,12 @@ BODIES = {
                             "FROM clean_catalog) e GROUP BY country",
     "compare_country": _compare(f"WHERE p.country IN {COUNTRIES}", as_text=True),
     "compare_country_all": _compare("", as_text=False),
+    "compare_country_mixed": "SELECT p.country, " + _minutes_text("c.mean_minutes") + " AS combination_text, "
+                             + _minutes_text("p.mean_minutes") + " AS participation_text "
+                             "FROM combination_means c JOIN "
+                             "(SELECT country, round(avg(duration), 2) AS mean_minutes FROM "
+                             "(SELECT unnest(string_split(countries, ', ')) AS country, duration "
+                             f"FROM clean_catalog) e GROUP BY country) p ON c.countries = p.country WHERE p.country IN {COUNTRIES}",
     "music_performers": "SELECT * FROM music_performers",
     "top_performer": "SELECT * FROM top_performer",
     "performer_titles": "SELECT * FROM performer_titles",
@@ -343,6 +387,15 @@ BODIES = {
     "coproduction_counts_music": f"SELECT count(*) FILTER (WHERE {_COUNT_ITEMS} = 1) AS solo_titles, "
                                  f"count(*) FILTER (WHERE {_COUNT_ITEMS} > 1) AS coproduced_titles FROM music",
     "export_clean": "SELECT * FROM clean_catalog",
+    "export_clean_counted": f"SELECT *, {_COUNT_ITEMS} AS country_count FROM clean_catalog",
 }
 
-ORACLE_SQL = {key: sql(body) for key, body in BODIES.items()}
+
+def _statement(key: str) -> str:
+    out = sql(BODIES[key])
+    for old, new in REPLACED.get(key, {}).items():
+        out = out.replace(old, new)
+    return out
+
+
+ORACLE_SQL = {key: _statement(key) for key in BODIES}

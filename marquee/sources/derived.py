@@ -13,8 +13,6 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.sources.files import spread
-
 # Fixed value: how dates are written in the catalogue text ("January 3, 2019").
 CATALOG_DATE_FORMAT = "MMMM d, yyyy"
 
@@ -26,7 +24,7 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # The derivation of the dirty catalogue and of the fetched pages
 # (FIXTURES sections 2 and 4), as Spark SQL expressions over ``orders``.
-# ``k`` is the order key, ``c`` the customer key, ``d`` the order date.
+# ``k`` is the order key, ``c`` the customer key, ``d`` the order date, ``r`` 30 days later.
 _FIRST_COUNTRY = (
     "CASE k % 4 WHEN 0 THEN 'United States' WHEN 1 THEN 'India' WHEN 2 THEN 'Spain' "
     "ELSE 'France' END"
@@ -61,15 +59,23 @@ RAW_CATALOG_EXPRS = {
                 "ELSE concat(CAST(60 + k % 120 AS STRING), ' min') END",
     "genres": "CASE WHEN k % 29 = 0 THEN NULL WHEN k % 2 = 0 THEN 'Dramas, Music' "
               "ELSE 'Comedies' END",
-    "synopsis": "CASE WHEN k % 6 = 1 THEN concat('A MUSIC story ', CAST(k AS STRING)) "
-                "ELSE concat('A plain story ', CAST(k AS STRING)) END",
+    "synopsis": "CASE WHEN k % 222 = 0 THEN '' ELSE concat("
+                "CASE WHEN k % 6 = 1 THEN 'A MUSIC story ' ELSE 'A plain story ' END, CAST(k AS STRING), "
+                "CASE WHEN k % 211 = 0 THEN concat(chr(10), '\"told\"', chr(9), 'in two lines') ELSE '' END) END",
 }
 RELEASE_PAGES_EXPRS = {
     "title": "concat('Title ', CAST(k AS STRING))",
-    "status": "CASE WHEN k % 17 = 0 THEN 404 ELSE 200 END",
-    "html": "CASE WHEN k % 31 = 0 THEN '<html><p>no date</p></html>' "
+    "status": "CASE WHEN k % 2 = 0 THEN 0 WHEN k % 17 = 0 THEN 404 ELSE 200 END",
+    "html": "CASE WHEN k % 2 = 0 THEN NULL WHEN k % 31 = 0 THEN '<html><p>no date</p></html>' "
+            "WHEN k % 7 = 1 THEN concat('<html><span data-class=\"release\">WRONG</span>"
+            "<span id=r class=\"release\">', date_format(r, 'MMMM'), ' <b class=\"day\">', "
+            "date_format(r, 'd'), '</b>, <i>', date_format(r, 'yyyy'), '</i></span></html>') "
+            "WHEN k % 7 = 2 THEN concat('<HTML><SPAN CLASS=''x''>-</SPAN><SPAN ID=\"r\" CLASS = ''a release''>', "
+            f"date_format(r, '{CATALOG_DATE_FORMAT}'), '&nbsp;</SPAN></HTML>') "
+            "WHEN k % 7 = 3 THEN concat('<span class=\"release\"><a href=\"/r\">', "
+            f"date_format(r, '{CATALOG_DATE_FORMAT}'), '</a></span>') "
             "ELSE concat('<html><span class=\"x\">-</span><span class=\"a release b\"> ', "
-            f"date_format(date_add(to_date(d), 30), '{CATALOG_DATE_FORMAT}'), "
+            f"date_format(r, '{CATALOG_DATE_FORMAT}'), "
             "' </span><span class=\"release\">January 1, 1900</span></html>') END",
 }
 
@@ -87,17 +93,18 @@ def release_pages_from_orders(orders: DataFrame) -> DataFrame:
     """Already-fetched release-info pages: (title, status, html).
 
     Stands in for the live pages the analysis downloads one by one on the
-    driver; here they are a table, so extraction runs on the executors.
+    driver; here they are a table, so extraction runs on the executors.  Titles
+    whose page was never fetched have status 0 and no text.
     """
-    keyed = orders.selectExpr("o_orderkey AS k", "o_orderdate AS d").where("k % 2 = 1")
+    keyed = orders.selectExpr("o_orderkey AS k", "date_add(to_date(o_orderdate), 30) AS r")
     return keyed.selectExpr(*[f"{e} AS {name}" for name, e in RELEASE_PAGES_EXPRS.items()])
 
 
 def raw_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return raw_catalog_from_orders(spread(orders))
+    return raw_catalog_from_orders(orders)
 
 
 def release_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    return release_pages_from_orders(spread(orders))
+    return release_pages_from_orders(orders)

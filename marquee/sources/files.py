@@ -1,29 +1,43 @@
 """File sources and sinks: headerless delimited text (plain or gzip), Parquet.
 
 Scratch output goes under the cluster's shared checkpoint folder
-(``spark.checkpoint.dir``), never a machine-local temporary folder.  Only when
-the session names no such folder (a local test session) is one created.
+(``spark.checkpoint.dir``).  A cluster session that names none is refused; only a
+session that runs in one process gets a temporary folder.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from marquee.sources.schema import POSITIONAL_NAMES, POSITIONAL_SCHEMA, RAW_SCHEMA
 
+# Stands for an unquoted empty value while reading, so that "" stays a value.
+UNQUOTED_EMPTY = "\x01"
+
+
+_SCRATCH: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir`` (set one if unset)."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    A session in one process may leave it unset and gets a temporary folder; on
+    a cluster an unset folder is an error, since executors would write to
+    their own disks and the read back would be incomplete.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = _context(spark)
     if not path and sc is not None:
         path = sc.getCheckpointDir()
     if not path:
-        # Only a local session gets here; a cluster always names the folder.
+        if sc is None or not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="marquee-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc is not None and not sc.getCheckpointDir():
@@ -39,25 +53,24 @@ def _context(spark: SparkSession):
         return None
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over all cores when the file layout gives fewer
-    scan tasks than cores (one big row group, a few gzip files).  A large
-    input already has many more splits than cores and is returned unchanged,
-    so no shuffle is added where the scan is parallel by itself.  Rows are
-    sorted before the round robin (Spark's default), so a retried task
-    receives the same rows."""
-    sc = _context(df.sparkSession)
-    if sc is None:
-        return df
-    cores = sc.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh, unique path under the shared folder, remembered for
+    ``clear_scratch``."""
+    path = os.path.join(shared_dir(spark), "marquee", f"{name}-{uuid.uuid4().hex}")
+    _SCRATCH.append(path)
+    return path
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared folder."""
-    return os.path.join(shared_dir(spark), "marquee", f"{name}-{uuid.uuid4().hex}")
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete every scratch path handed out in this process; returns how many
+    existed.  DataFrames that read them can no longer be computed."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed
 
 
 def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
@@ -80,25 +93,32 @@ def read_catalog_text(
     sep: str = "\t",
     infer_schema: bool = False,
     rename: bool = True,
-    spread_small: bool = True,
+    multiline: bool = False,
+    partitions: int | None = None,
+    columns: list[str] | None = None,
 ) -> DataFrame:
     """Headerless delimited text (a file, directory or glob; ``.gz`` files are
-    decompressed transparently, one task per gzip file, so few gzip files are
-    spread over the cores after reading).
-
-    With ``infer_schema=False`` the twelve columns are read as text with a
-    fixed schema: no inference pass, and junk never changes the types.
+    decompressed transparently, one task per gzip file).
+
+    With ``infer_schema=False`` the columns are read as text with a fixed
+    schema: no inference pass, and junk never changes the types.  ``columns``
+    names them (default: the twelve of the catalogue).  ``multiline`` accepts line
+    breaks inside quoted values, at the price that a file is one task.  A quoted empty
+    value is the empty string, an unquoted one NULL.  ``partitions`` deals
+    the rows out anew after reading, for few large gzip files; it is the caller's choice
+    and never derived from the input.
     """
     reader = spark.read.option("sep", sep).option("header", False).option("mode", "PERMISSIVE")
+    reader = reader.option("multiLine", multiline).option("emptyValue", "").option("nullValue", UNQUOTED_EMPTY)
+    named = columns or (RAW_SCHEMA if rename else POSITIONAL_SCHEMA).fieldNames()
+    text = T.StructType([T.StructField(c, T.StringType()) for c in named])
     if infer_schema:
         df = reader.option("inferSchema", True).csv(path)
-        if not df.columns:
-            # No rows, so no evidence for any type: the fixed all-text schema.
-            df = reader.schema(POSITIONAL_SCHEMA).csv(path)
-        df = rename_columns(df) if rename else df
+        # No rows are no evidence for any type: the fixed all-text schema.
+        df = df.toDF(*named) if df.columns else reader.schema(text).csv(path)
     else:
-        df = reader.schema(RAW_SCHEMA if rename else POSITIONAL_SCHEMA).csv(path)
-    return spread(df) if spread_small else df
+        df = reader.schema(text).csv(path)
+    return df.repartition(partitions) if partitions else df
 
 
 def rename_columns(df: DataFrame, names: dict[str, str] = POSITIONAL_NAMES) -> DataFrame:

@@ -23,14 +23,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marquee.operators import clean as C
+from marquee.sources.files import UNQUOTED_EMPTY
 from marquee.sources.schema import CLEAN_COLUMNS, RAW_SCHEMA
 
 
 def catalog_stream(
-    spark: SparkSession, source_dir: str, sep: str = "\t", max_files_per_trigger: int | None = None
+    spark: SparkSession,
+    source_dir: str,
+    sep: str = "\t",
+    max_files_per_trigger: int | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
-    """Streaming DataFrame of raw catalogue rows from files in ``source_dir``."""
+    """Streaming DataFrame of raw catalogue rows from files in ``source_dir``,
+    read as ``files.read_catalog_text`` reads them."""
     reader = spark.readStream.schema(RAW_SCHEMA).option("sep", sep).option("header", False)
+    reader = reader.option("multiLine", multiline).option("emptyValue", "").option("nullValue", UNQUOTED_EMPTY)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.csv(source_dir)

@@ -28,7 +28,7 @@ def test_query_on_empty_input(spark, empty_dir, key):
         assert len(rows) == 1
     elif key in ("null_profile", "null_profile_clean"):
         assert rows and all(r.nulls == 0 for r in rows)
-    elif key in ("schema_report", "row_count", "clean_funnel", "infer_schema"):
+    elif key in ("schema_report", "row_count", "clean_funnel", "clean_funnel_keep", "infer_schema"):
         assert rows
     else:
         assert rows == [], key

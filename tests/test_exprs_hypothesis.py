@@ -177,7 +177,7 @@ def test_funnel_equals_stage_counts(spark, rows):
     raw = spark.createDataFrame(rows, RAW_SCHEMA)
     funnel = {r.step: r.rows for r in C.clean_funnel(raw).collect()}
     assert funnel["raw"] == len(rows)
-    stages = dict(zip(["one_per_id", *C.STEP_NAMES], [name for name, _ in C.STAGES]))
+    stages = dict(zip(["one_per_id", *C.STEP_NAMES], C.STAGES))
     for step, stage in stages.items():
         assert funnel[step] == C.clean_until(raw, stage).count(), step
     assert funnel["genre_valid"] == C.clean_catalog(raw).count()

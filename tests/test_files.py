@@ -13,17 +13,70 @@ def test_text_round_trip_keeps_padding(spark, sf001, compression):
     raw = derived.raw_catalog(spark, sf001)
     path = files.write_catalog_text(raw, files.scratch_path(spark, "rt"), compression=compression)
     suffix = ".csv.gz" if compression else ".csv"
-    back = files.read_catalog_text(spark, f"{path}/part-*{suffix}")
+    back = files.read_catalog_text(spark, f"{path}/part-*{suffix}", multiline=True)
     assert back.count() == raw.count()
     assert back.exceptAll(raw).count() == 0
     # padded dates survive the writer (it trims by default)
     assert back.filter(F.col("added_on").startswith(" ")).count() > 0
 
 
+@pytest.mark.parametrize("compression", [None, "gzip"])
+def test_text_round_trip_is_lossless(spark, compression):
+    values = ["two\nlines", 'say "hi"', "a\tb", "back\\slash", "", None, " padded ", "\n", "'"]
+    rows = [(str(i), *[v] * 11) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, files.RAW_SCHEMA)
+    path = files.write_catalog_text(df, files.scratch_path(spark, "lossless"), compression=compression)
+    back = files.read_catalog_text(spark, path, multiline=True)
+    assert sorted(back.collect(), key=lambda r: r[0]) == sorted(df.collect(), key=lambda r: r[0])
+
+
+def test_partitions_are_the_callers_choice(spark, sf0001):
+    path = files.write_catalog_text(derived.raw_catalog(spark, sf0001), files.scratch_path(spark, "parts"))
+    assert files.read_catalog_text(spark, path, multiline=True, partitions=5).rdd.getNumPartitions() == 5
+
+
+class _Session:
+    """A session whose cluster names no shared folder."""
+
+    def __init__(self, master):
+        self.conf = self
+        self.sparkContext = type("Context", (), {"master": master, "getCheckpointDir": lambda _: None})()
+
+    def get(self, key, default=None):
+        return default
+
+
+@pytest.mark.parametrize("master", ["spark://h:7077", "yarn", "local-cluster[3,2,1024]", "k8s://x"])
+def test_a_cluster_must_name_the_shared_folder(master):
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        files.shared_dir(_Session(master))
+
+
+def test_clear_scratch_removes_what_was_handed_out(spark, sf0001):
+    import os
+
+    path = files.write_parquet(derived.raw_catalog(spark, sf0001), files.scratch_path(spark, "gone"))
+    remembered = list(files._SCRATCH)
+    files._SCRATCH[:] = [path]
+    try:
+        assert os.path.isdir(path) and files.clear_scratch(spark) == 1
+        assert not os.path.exists(path) and files._SCRATCH == []
+    finally:
+        files._SCRATCH[:] = [p for p in remembered if p != path]
+
+
+def test_inferred_types_of_clean_data(spark, sf001):
+    from marquee.plans.catalog import QUERIES
+
+    types = {r.column_name: r.data_type for r in QUERIES["infer_schema"](spark, sf001).collect()}
+    assert types["title_id"] == types["duration_min"] == types["release_year"] == "int"
+    assert types["added_on"] == "date" and types["synopsis"] == "string"
+
+
 def test_inferred_schema_is_text_on_dirty_data(spark, sf0001):
     raw = derived.raw_catalog(spark, sf0001)
     path = files.write_catalog_text(raw, files.scratch_path(spark, "infer"))
-    report = P.schema_report(files.read_catalog_text(spark, path, infer_schema=True)).collect()
+    report = P.schema_report(files.read_catalog_text(spark, path, infer_schema=True, multiline=True)).collect()
     assert [r.column_name for r in report] == list(POSITIONAL_NAMES.values())
     assert {r.data_type for r in report} == {"string"}
 

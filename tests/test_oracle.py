@@ -9,12 +9,14 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as entry  # noqa: E402
 import oracle_check  # noqa: E402
+from marquee.plans.catalog import QUERIES  # noqa: E402
 
-KEYS = sorted(entry.queries())
+KEYS = sorted(QUERIES)
 
 
-def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(KEYS)
+def test_every_query_is_registered_with_an_oracle():
+    assert set(KEYS) <= set(entry.queries())
+    assert set(KEYS) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("key", KEYS)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from marquee.functions import exprs as X
@@ -29,6 +30,25 @@ def test_extract_field_cases(spark):
     assert got == {"T1": "March 5, 2020", "T2": None, "T3": None, "T4": None, "T5": None}
 
 
+@pytest.mark.parametrize("html, text", [
+    ('<span class="release">January <b>5</b>, 2020</span>', "January 5, 2020"),
+    ('<span class="release"><a>May 1, 2020</a></span>', "May 1, 2020"),
+    ('<span data-class="release">WRONG</span><span class="release">right</span>', "right"),
+    ("<span class='b release'>x</span>", "x"),
+    ("<SPAN CLASS=release ID=q>x</SPAN>", "x"),
+    ('<span class="b"><i>WRONG</i></span><span\n  id="q"\n  class="release"\n>x</span>', "x"),
+    ('<spanner class="release">WRONG</spanner><span class="release">x</span>', "x"),
+    ('<span class="release">&nbsp;a &amp;lt; b\n</span>', "a &lt; b"),
+    ('<span class="release">open to the end', "open to the end"),
+    ('<span class="Release">x</span>', None),
+    ("<span " + "a=1 " * 5000 + 'class="release">x</span>', "x"),
+    ('<span class="release">' + "y" * 200_000 + "</span>", "y" * 200_000),
+])
+def test_whole_element_text(spark, html, text):
+    df = spark.createDataFrame([(html,)], "html string")
+    assert df.select(X.first_element_text("html", "span", "release")).first()[0] == text
+
+
 def test_release_dates_one_per_title(spark):
     doubled = pages(spark).unionByName(
         spark.createDataFrame([("T1", 200, PAGE.format(d="March 1, 2020"))], PAGES_SCHEMA))

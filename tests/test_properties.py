@@ -110,3 +110,32 @@ def test_report_equals_queries(spark, sf001):
     plan = report["compare_country_all"]._jdf.queryExecution().executedPlan().toString()
     assert "orders.parquet" not in plan and "catalog_flagged-" in plan
     assert "ReadSchema: struct<countries:string,duration_min:int,valid:boolean>" in plan
+
+
+def test_funnels_end_where_their_chains_end(spark, sf001):
+    for funnel, chain in (("clean_funnel", "clean_catalog"), ("clean_funnel_keep", "clean_catalog_keep")):
+        left = min(r.rows for r in QUERIES[funnel](spark, sf001).collect())
+        assert left == QUERIES[chain](spark, sf001).count()
+    assert QUERIES["clean_catalog_keep"](spark, sf001).count() == 11177
+    assert QUERIES["clean_catalog_as_run"](spark, sf001).count() == 9340
+
+
+@pytest.mark.parametrize("options", [
+    {"kinds": ("Movie",)}, {"id_length": 7}, {"min_year": 2000, "max_year": 2010}, {"ratings": ("PG-13",)},
+    {"fmt": "yyyy-MM-dd"}, {"null_policy": "keep", "text_patterns": (r"^[0-9]+$",)},
+])
+def test_options_reach_chain_flags_and_funnel_alike(spark, sf001, options):
+    raw = derived.raw_catalog(spark, sf001)
+    chain = C.clean_catalog(raw, **options)
+    rest = {k: v for k, v in options.items() if k not in ("kinds", "id_length")}
+    ident = C.clean_identity(raw, **{k: v for k, v in options.items() if k not in rest})
+    flagged = C.annotate_validity(ident, **rest).filter("valid").drop("valid").select(*chain.columns)
+    assert chain.exceptAll(flagged).isEmpty() and flagged.exceptAll(chain).isEmpty()
+    assert min(r.rows for r in C.clean_funnel(raw, **options).collect()) == chain.count()
+
+
+def test_extra_columns_stay(spark, sf001):
+    raw = derived.raw_catalog(spark, sf001).withColumn("source file", F.lit("a.tsv"))
+    clean = C.clean_catalog(raw)
+    assert "source file" in clean.columns and clean.count() == 9253
+    assert min(r.rows for r in C.clean_funnel(raw).collect()) == 9253

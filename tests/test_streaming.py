@@ -21,7 +21,7 @@ def test_stream_equals_batch(spark, sf0001):
     ckpt = os.path.join(base, "ckpt")
     for name, part in (("a", first), ("b", second)):
         files.write_catalog_text(part, os.path.join(src, name))
-        q = S.start_clean_stream(S.catalog_stream(spark, f"{src}/*/part-*.csv"), out, ckpt)
+        q = S.start_clean_stream(S.catalog_stream(spark, f"{src}/*/part-*.csv", multiline=True), out, ckpt)
         q.awaitTermination()
     got = S.read_clean(spark, out)
     want = C.clean_catalog(raw.unionByName(raw.limit(200)))
