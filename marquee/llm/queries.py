@@ -92,7 +92,8 @@ def op3_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_sentences(load(spark, sf_dir, "documents"))
+    found = substring_dedup.repeated_sentences(load(spark, sf_dir, "documents"))
+    return found.withColumn("n_removed", F.size("removed"))
 
 
 @query

@@ -26,8 +26,10 @@ from marquee.llm.common import written
 LEAST_SENTENCES, LEAST_WORDS = 2, 24  # a span has at least so many of both,
 ALONE_WORDS = 40  # or so many words in one sentence
 
-# A sentence ends after its marks and the white space that follows, or at a line's end.
-_SENTENCE = re.compile(r"[^\n.!?…。！？]*(?:[.!?…。！？]+(?=\s|$)|[.!?…。！？]|\n|$)\s*")
+# A sentence, or a clause of one, ends after its marks and the white space that
+# follows, or at a line's end.  Clauses keep the parts short, so that little of a passage
+# is lost where it begins and ends within a sentence.
+_SENTENCE = re.compile(r"[^\n.!?…。！？,;:]*(?:[.!?…。！？,;:]+(?=\s|$)|[.!?…。！？,;:]|\n|$)\s*")
 _WORDS = re.compile(r"\w+")
 
 

@@ -50,7 +50,7 @@ def result(df):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab .!?\n1。", max_size=60))
+@given(st.text(alphabet="ab .!?\n1。,;", max_size=60))
 def test_sentences_are_all_of_the_text(text):
     assert "".join(S.sentences(text)) == text
 
