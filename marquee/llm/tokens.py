@@ -10,7 +10,7 @@ from array import array
 # new pre-token in the tokenizers used here, so a text may be encoded piece by piece.
 _PIECES = re.compile(r"(?<=\S) (?=\S)")
 _UNEVEN = re.compile(r"\s |\ \s|\A | \Z")
-CACHE_LIMIT = 600_000  # pieces remembered by one Python worker
+CACHE_LIMIT = 500_000  # pieces remembered by one Python worker
 
 
 class _Pieces(dict):
@@ -19,9 +19,17 @@ class _Pieces(dict):
     def __init__(self, tokenizer, prefix: str):
         super().__init__()
         self.tokenizer, self.prefix = tokenizer, prefix
+        self.marks = {mark: self._encode(mark) for mark in ".,;:!?"}
+
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array("I", self.tokenizer.encode(self.prefix + piece, add_special_tokens=False).ids).tobytes()
+        if piece[-1:] in self.marks and piece[-2:-1].isascii() and piece[-2:-1].isalpha():
+            # A mark after a letter is a pre-token of its own.
+            ids = self[piece[:-1]] + self.marks[piece[-1]]
+        else:
+            ids = self._encode(self.prefix + piece)
         if len(self) >= CACHE_LIMIT:
             self.clear()
         if len(piece) < 100:
