@@ -83,18 +83,18 @@ def _rank(doc_id, row: int) -> tuple:
     return (doc_id is not None, doc_id if doc_id is not None else 0, -row)
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS_AT_ONCE):
             part = batch.slice(at, ROWS_AT_ONCE)
             yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
 
-def _emit(rows: list[list], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _emit(rows: list[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     size, chunk = 0, []
     for row in rows:
         chunk.append(row)
-        size += len(row["content"] if "content" in row else b"") + 64
+        size += len(row["content"]) + 64
         if size > 8 << 20:
             yield pa.RecordBatch.from_pylist(chunk, schema=schema)
             size, chunk = 0, []

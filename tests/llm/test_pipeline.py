@@ -1,13 +1,13 @@
 import corpus_pipeline
-from test_packing import check  # noqa: F401  (same folder)
+from marquee.sources.files import scratch_path
+
+from .test_packing import check
 
 
 def test_stages_in_turn(spark, sf0001):
     docs = spark.read.parquet(f"{sf0001}/documents.parquet")
     first = docs.dtypes
     for name, stage in corpus_pipeline.STAGES:
-        from marquee.sources.files import scratch_path
-
         out = stage(spark, docs, sf0001)
         if name != "packing":
             assert out.dtypes == first
