@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 from marquee.llm import packing as P
 from marquee.llm import queries as Q
+from marquee.llm import tokens
 from marquee.llm.tokens import Encoder
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -25,6 +26,13 @@ def same(pair, text):
     return np.frombuffer(pair[0].encode(text), "<u4").tolist() == pair[1].encode(text, add_special_tokens=False).ids
 
 
+def test_words_marks_and_old_pieces(pair, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_LIMIT", 5)
+    words = ["plain", "İstanbul", "Straße", "ﬁne", "ΣΑΣ", "naïve", "中文字", "e\u0301t", "don't", "x1", "", "ǅ", "ᾳ", "İİ"]
+    for w in words * 2:
+        assert same(pair, " ".join([w, *words, w + ",", w.upper() + ".", w + "?!"]))
+
+
 @settings(max_examples=300, deadline=None)
 @given(text=st.text(alphabet=st.sampled_from("ab'sT1 ,.\n\t ́é　\x1c\x85\U0001f600ΣßİǅⅫ½<|>endoftx"), max_size=40))
 def test_piecewise_ids_equal_whole_text_ids(pair, text):
