@@ -41,7 +41,8 @@ def prefix_sum(df: DataFrame, keys: list[str], lane: str, order: list, value: st
 
     A key may hold any share of the rows: its rows are summed lane by lane, and
     only one row per (key, lane) meets in the window over lanes.  The number
-    of lanes per key is the caller's bound.  Keys and lanes are not null.
+    of lanes per key is the caller's bound.  Keys and lanes are not null.  The
+    join is never a broadcast: rows made by ``explode`` are not in Spark's size estimates.
     """
     within = Window.partitionBy(*keys, lane).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*keys).orderBy(lane).rowsBetween(Window.unboundedPreceding, -1)
@@ -49,7 +50,7 @@ def prefix_sum(df: DataFrame, keys: list[str], lane: str, order: list, value: st
     sums = sums.select(*keys, lane, F.coalesce(F.sum("_lane_sum").over(before), F.lit(0)).alias("_lane_start"))
     local = df.withColumn("_local", F.coalesce(F.sum(value).over(within), F.lit(0)))
     return (
-        local.join(sums, [*keys, lane])
+        local.join(sums.hint("merge"), [*keys, lane])
         .withColumn(out, F.col("_lane_start") + F.col("_local"))
         .drop("_lane_start", "_local")
     )

@@ -109,7 +109,9 @@ def mix(sized: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
     parts = cut.select(
         "source_rank", "block", "row", "pass", (low - F.col("begin")).alias("first_word"), (high - low).alias("words")
     )
-    return parts.join(_slots(targets, block), ["source_rank", "block"])
+    # Slots are made from a few rows by explode, which Spark's size estimates do
+    # not count: without the hint it would broadcast them all.
+    return parts.join(_slots(targets, block).hint("merge"), ["source_rank", "block"])
 
 
 def sized_documents(docs: DataFrame, *more: Column) -> DataFrame:
