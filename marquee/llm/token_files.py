@@ -46,7 +46,11 @@ def repair(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarra
         if len(symbols) < 2:
             break
         pairs = symbols[:-1] << 32 | symbols[1:]
-        found, counts = np.unique(pairs, return_counts=True)
+        # A pair cannot be frequent unless all pairs of its bin together are.
+        bins = (symbols[:-1] * 40503 + symbols[1:] * 10007) & 0xFFFFF
+        busy = (np.bincount(bins, minlength=1 << 20) >= LEAST_COUNT)[bins]
+        busy_at = np.flatnonzero(busy)
+        found, counts = np.unique(pairs[busy_at], return_counts=True)
         often = counts >= LEAST_COUNT
         found, counts = found[often], counts[often]
         if len(found) > MOST_RULES:
@@ -54,19 +58,21 @@ def repair(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarra
             found = np.sort(found[top])
         if not len(found):
             break
-        place = np.searchsorted(found, pairs)
+        place = np.searchsorted(found, pairs[busy_at])
         place[place == len(found)] = 0
-        at = np.flatnonzero(found[place] == pairs)
+        hit = found[place] == pairs[busy_at]
+        at, place = busy_at[hit], place[hit]
         # Of a run of overlapping occurrences every second one is replaced.
         fresh = np.diff(at, prepend=-2) > 1
         run_start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - run_start) % 2 == 0]
+        left = (np.arange(len(at)) - run_start) % 2 == 0
+        at, place = at[left], place[left]
         new = np.stack([found >> 32, found & 0xFFFFFFFF], axis=1)
         each = np.where(new < FIRST_RULE, 1, 0)
         nested = new >= FIRST_RULE
         each[nested] = lengths[new[nested] - FIRST_RULE]
         symbols = symbols.copy()
-        symbols[at] = FIRST_RULE + len(rules) + place[at]
+        symbols[at] = FIRST_RULE + len(rules) + place
         rules, lengths = np.concatenate([rules, new]), np.concatenate([lengths, each.sum(axis=1)])
         symbols = np.delete(symbols, at + 1)
     return rules.astype("<u4"), lengths.astype("<u4"), symbols.astype("<u4")

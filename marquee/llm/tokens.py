@@ -9,28 +9,53 @@ from array import array
 # A single space between two characters that are not white space always starts a
 # new pre-token in the tokenizers used here, so a text may be encoded piece by piece.
 _PIECES = re.compile(r"(?<=\S) (?=\S)")
-_UNEVEN = re.compile(r"\s |\ \s|\A | \Z")
-CACHE_LIMIT = 500_000  # pieces remembered by one Python worker
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+CACHE_LIMIT = 400_000  # pieces used of late that one Python worker remembers; up to as many older ones
+
+
+def split_pieces(text: str) -> list[str]:
+    """The pieces of ``text`` between its cuts, without the spaces there."""
+    pieces = text.split(" ")
+    even = "" not in pieces and not any(c in text and (f" {c}" in text or f"{c} " in text) for c in _OTHER_SPACE)
+    return pieces if even else _PIECES.split(text)
 
 
 class _Pieces(dict):
-    """piece -> little-endian unsigned 32-bit ids, encoded once when first seen."""
+    """piece -> little-endian unsigned 32-bit ids, encoded when first seen."""
 
     def __init__(self, tokenizer, prefix: str):
         super().__init__()
-        self.tokenizer, self.prefix = tokenizer, prefix
-        self.marks = {mark: self._encode(mark) for mark in ".,;:!?"}
-
-    def _encode(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self.tokenizer, self.prefix, self.model = tokenizer, prefix, tokenizer.model
+        self.normalize = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
+        self.pre_tokenize = tokenizer.pre_tokenizer.pre_tokenize_str
+        # How the prefix is written before a word of ASCII letters, and whether case counts.
+        letter = self.normalize(prefix + "A")
+        self.written, self.folds = self.pre_tokenize(letter)[0][0][:-1], letter.endswith("a")
+        self.old: dict[str, bytes] = {}
+        ids = {mark: tokenizer.encode(mark, add_special_tokens=False).ids for mark in ".,;:!?"}
+        self.marks = {mark: array("I", found).tobytes() for mark, found in ids.items()}
+
+    def _encode(self, piece: str) -> bytes:
+        """The tokenizer's own steps without the record of offsets that a whole
+        call makes; special tokens (``<...>``) are left to the whole call."""
+        if piece.isascii() and piece.isalpha():
+            parts = [self.written + (piece.lower() if self.folds else piece)]
+        elif "<" in piece:
+            return array("I", self.tokenizer.encode(self.prefix + piece, add_special_tokens=False).ids).tobytes()
+        else:
+            parts = [part for part, _ in self.pre_tokenize(self.normalize(self.prefix + piece))]
+        return array("I", [token.id for part in parts for token in self.model.tokenize(part)]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if piece[-1:] in self.marks and piece[-2:-1].isascii() and piece[-2:-1].isalpha():
+        if piece in self.old:
+            ids = self.old[piece]
+        elif piece[-1:] in self.marks and piece[-2:-1].isascii() and piece[-2:-1].isalpha():
             # A mark after a letter is a pre-token of its own.
             ids = self[piece[:-1]] + self.marks[piece[-1]]
         else:
-            ids = self._encode(self.prefix + piece)
+            ids = self._encode(piece)
         if len(self) >= CACHE_LIMIT:
+            self.old = dict(self)
             self.clear()
         if len(piece) < 100:
             self[piece] = ids
@@ -48,9 +73,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of ``text``."""
-        pieces = _PIECES.split(text) if _UNEVEN.search(text) else text.split(" ")
-        first = self.head[pieces[0]]
-        return first + b"".join(map(self.tail.__getitem__, pieces[1:])) if len(pieces) > 1 else first
+        pieces = split_pieces(text)
+        return self.head[pieces[0]] + b"".join(map(self.tail.__getitem__, pieces[1:]))
 
 
 @functools.cache
