@@ -17,17 +17,16 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm import shingles as S
-from marquee.llm.common import code_points, written
+from marquee.llm.common import code_points, shuffle_partitions, written
 from marquee.llm.components import connected_components
 
-BANDS, ROWS = 30, 6  # a pair at 0.85 is missed once in 1.4 million, at 0.8 once in 7,000
+BANDS, ROWS = 30, 6  # a pair at 0.85 is missed once in 1.4 million, at 0.8 once in 9,000
 SLACK = 6.0  # standard deviations below the threshold at which a signature rejects
 BLOCK = 256
 
@@ -96,9 +95,7 @@ def _equal_enough(size: int, percent: int):
             for a, b in S.slices(batch.column(2)):
                 columns = (c.slice(a, b - a).to_pylist() for c in batch.columns)
                 for u, v, tu, tv in zip(*columns, strict=True):
-                    x, y = shingle_set(u, tu), shingle_set(v, tv)
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * shared >= percent * (len(x) + len(y) - shared):
+                    if _alike(shingle_set(u, tu), shingle_set(v, tv), percent):
                         us.append(u)
                         vs.append(v)
             yield pa.RecordBatch.from_arrays(
@@ -121,45 +118,171 @@ def _verified(pairs: DataFrame, nodes: DataFrame, size: int, percent: int, hashe
     return written(whole.mapInArrow(_equal_enough(size, percent), "u long, v long"), "links")
 
 
-def _likely_in_block(threshold: float, hashes: int):
-    """Pairs across components of one block pair of a bucket, by signature."""
-    least = threshold - SLACK * (threshold * (1 - threshold) / hashes) ** 0.5
+_BLOCK_PAIR = ["key", "kind", "i", "j"]
+
+
+def _block_pairs(batches):
+    """(table, cuts) of complete block pairs, from rows sorted by block pair."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
+        changed = np.zeros(max(0, len(table) - 1), bool)
+        for name in _BLOCK_PAIR:
+            values = table.column(name).to_numpy()
+            changed |= values[1:] != values[:-1]
+        cuts = [0, *(np.flatnonzero(changed) + 1).tolist()]
+        if len(cuts) > 1:
+            yield table.slice(0, cuts[-1]), cuts
+        held = table.slice(cuts[-1])
+    if held is not None and len(held):
+        yield held.combine_chunks(), [0, len(held)]
+
+
+class _Likely:
+    """Likely pairs of rows across components, each in one of its buckets only."""
+
+    def __init__(self, threshold: float, bands: int, hashes: int):
+        self.threshold, self.bands, self.hashes = threshold, bands, hashes
+        self.least = threshold - SLACK * (threshold * (1 - threshold) / hashes) ** 0.5
+
+    def load(self, table: pa.Table) -> None:
+        self.columns = {c: table.column(c).to_numpy() for c in ["kind", "i", "j", "side", "band", "node", "component", "n"]}
+        raw = b"".join(table.column("signature").to_pylist())
+        self.signatures = np.frombuffer(raw, np.uint32).reshape(-1, self.hashes)
+
+    def pairs(self, a: int, b: int) -> np.ndarray:
+        """Row pairs (i, j) of the block pair at rows a to b, most alike first."""
+        c = {k: v[a:b] for k, v in self.columns.items()}
+        rows = np.arange(b - a)
+        x, y = rows[c["side"] == 0], rows[c["side"] == 1]
+        if c["kind"][0] == 1 and c["i"][0] == c["j"][0]:
+            y = x
+        apart = c["component"][x][:, None] != c["component"][y][None, :]
+        small = np.minimum(c["n"][x][:, None], c["n"][y][None, :])
+        apart &= small >= self.threshold * np.maximum(c["n"][x][:, None], c["n"][y][None, :]) - 1
+        if y is x:
+            apart &= x[:, None] < y[None, :]
+        i, j = np.nonzero(apart)
+        found, scores = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
+        for at in range(0, len(i), 4096):
+            u, v = x[i[at : at + 4096]], y[j[at : at + 4096]]
+            same = self.signatures[a + u] == self.signatures[a + v]
+            share = same.mean(axis=1)
+            likely = share >= self.least
+            # The first band in which two rows agree is responsible for them.
+            first = same[likely].reshape(-1, self.bands, self.hashes // self.bands).all(axis=2).argmax(axis=1)
+            likely[np.flatnonzero(likely)] = first == c["band"][0]
+            found.append(np.stack([u[likely], v[likely]], axis=1))
+            scores.append(share[likely])
+        return a + np.concatenate(found)[np.argsort(-np.concatenate(scores), kind="stable")]
+
+
+def _with_partner(*likely):
+    """The rows that have a likely partner in their block pair."""
+
+    def run(batches):
+        one = _Likely(*likely)
+        for table, cuts in _block_pairs(batches):
+            one.load(table)
+            rows = [np.unique(one.pairs(a, b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield from table.select([*_BLOCK_PAIR, "side", "band", "node", "component"]).take(
+                pa.array(np.concatenate(rows))
+            ).to_batches()
+
+    return run
+
 
-    def run(block):
-        def side(name):
-            part = block[block["side"] == name]
-            signatures = np.frombuffer(b"".join(part["signature"]), np.uint32).reshape(-1, hashes)
-            return part["node"].to_numpy(), part["component"].to_numpy(), part["n"].to_numpy(), signatures
-
-        left, lc, ln, ls = side(0)
-        right, rc, rn, rs = side(1)
-        found = []
-        for i in range(len(left)):
-            apart = (rc != lc[i]) & (np.minimum(rn, ln[i]) >= threshold * np.maximum(rn, ln[i]) - 1)
-            at = np.flatnonzero(apart)
-            at = at[(rs[at] == ls[i]).mean(axis=1) >= least] if len(at) else at
-            found += [(min(left[i], w), max(left[i], w)) for w in right[at] if w != left[i]]
-        return pd.DataFrame(sorted(set(found)), columns=["u", "v"]).astype("int64")
+def _links_in_blocks(size: int, percent: int, *likely):
+    """Links across components, checked on full sets.  A pair is left out only if
+    links found before in the same block pair join its components already."""
+
+    def run(batches):
+        one = _Likely(*likely)
+        for table, cuts in _block_pairs(batches):
+            one.load(table)
+            contents, nodes = table.column("content"), one.columns["node"]
+            links = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                sets, root = {}, {}
+
+                def find(x, root=root):
+                    while root.get(x, x) != x:
+                        x = root[x]
+                    return x
+
+                for i, j in one.pairs(a, b).tolist():
+                    left, right = find(one.columns["component"][i]), find(one.columns["component"][j])
+                    if left == right:
+                        continue
+                    for r in (i, j):
+                        if r not in sets:
+                            sets[r] = S.shingle_sets(contents.slice(r, 1).combine_chunks(), size)[0]
+                    if _alike(sets[i], sets[j], percent):
+                        root[max(left, right)] = min(left, right)
+                        links.append((nodes[i], nodes[j]))
+            pairs = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
     return run
 
 
-def _across(entries: DataFrame, nodes: DataFrame, found: DataFrame, threshold: float, hashes: int) -> DataFrame:
-    """Likely pairs of classes that share a bucket but not a component."""
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.sort(np.concatenate([x, y]))
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
+
+
+def _across(entries: DataFrame, nodes: DataFrame, found: DataFrame, size: int, percent: int, bands: int, hashes: int) -> DataFrame:
+    """Links (u, v) between classes that share a bucket but not a component.
+
+    The classes of a bucket's largest component are only held against the others
+    (kind 0), these also against each other (kind 1), block by block: first by
+    signature, and the rows that have a likely partner then on full sets.  No pairs leave a
+    task but links.
+    """
     label = entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = label.groupBy("key").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held")
+    parts = label.groupBy("key", "component").agg(F.count("*").alias("part"))
+    mixed = parts.groupBy("key").agg(
+        F.max(F.struct("part", "component")).alias("top"), F.sum("part").alias("held"), F.count("*").alias("parts")
     )
-    mixed = written(mixed.filter("lo < hi").select("key", "held"), "mixed")
-    open_ = label.join(mixed, "key").join(nodes.select("node", "n", "signature"), "node")
-    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    left = dealt.filter("own <= other").withColumn("side", F.lit(0)).withColumnsRenamed({"own": "i", "other": "j"})
-    right = dealt.filter("own >= other").withColumn("side", F.lit(1)).withColumnsRenamed({"own": "j", "other": "i"})
-    both = left.unionByName(right).select("key", "i", "j", "side", "node", "component", "n", "signature")
-    likely = both.groupBy("key", "i", "j").applyInPandas(_likely_in_block(threshold, hashes), "u long, v long")
-    return written(likely.distinct(), "across")
+    mixed = mixed.filter("parts > 1").select(
+        "key", F.col("top.component").alias("main"),
+        F.ceil(F.col("top.part") / BLOCK).cast("int").alias("main_blocks"),
+        F.ceil((F.col("held") - F.col("top.part")) / BLOCK).cast("int").alias("rest_blocks"),
+        (F.col("parts") > 2).alias("several"),
+    )
+    open_ = label.join(written(mixed, "mixed"), "key")
+    spread = F.xxhash64("node")
+    main = open_.filter("component = main").withColumn("j", F.pmod(spread, "main_blocks").cast("int"))
+    rest = open_.filter("component != main").withColumn("own", F.pmod(spread, "rest_blocks").cast("int"))
+
+    def blocks(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    other = rest.filter("several").withColumn("other", blocks("rest_blocks"))
+    row = ["band", "node", "component"]
+    dealt = (
+        main.withColumn("i", blocks("rest_blocks")).selectExpr("key", "0 AS kind", "i", "j", "1 AS side", *row)
+        .union(rest.withColumn("j", blocks("main_blocks")).selectExpr("key", "0 AS kind", "own AS i", "j", "0 AS side", *row))
+        .union(other.selectExpr(
+            "key", "1 AS kind", "least(own, other) AS i", "greatest(own, other) AS j",
+            "if(own <= other, 0, 1) AS side", *row))
+    )
+    likely = (percent / 100, bands, hashes)
+    light = _in_blocks(dealt, nodes.select("node", "n", "signature"))
+    partnered = written(light.mapInArrow(_with_partner(*likely), dealt.schema), "partnered")
+    heavy = _in_blocks(partnered, nodes.select("node", "n", "signature", "content"))
+    links = heavy.mapInArrow(_links_in_blocks(size, percent, *likely), "u long, v long")
+    return written(links, "across")
+
+
+def _in_blocks(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` with what ``nodes`` has, dealt out and sorted by block pair."""
+    parts = shuffle_partitions(rows.sparkSession)
+    return rows.join(nodes, "node").select(
+        *rows.columns, *[c for c in nodes.columns if c != "node"]
+    ).repartition(parts, *_BLOCK_PAIR).sortWithinPartitions(*_BLOCK_PAIR)
 
 
 def near_duplicates(
@@ -192,7 +315,7 @@ def _grouped(docs, shingle, percent, bands, rows, carried) -> tuple[DataFrame, D
         F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda b: F.xxhash64(b, F.substring(F.col("signature"), b * width + 1, F.lit(width))),
     )
-    entries = nodes.select("node", F.explode(key).alias("key"))
+    entries = nodes.select("node", F.posexplode(key).alias("band", "key"))
     buckets = entries.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("held"))
     buckets = written(buckets.filter("held > 1").select("key", "hub"), "buckets")
     entries = written(entries.join(buckets, "key"), "bucketed")
@@ -202,10 +325,9 @@ def _grouped(docs, shingle, percent, bands, rows, carried) -> tuple[DataFrame, D
     stars = entries.filter("node != hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     links = _verified(stars, nodes, shingle, percent, hashes)
     found = connected_components(links)
-    across = _across(entries.select("key", "node"), nodes, found, percent / 100, hashes)
+    across = _across(entries.drop("hub"), nodes, found, shingle, percent, bands, hashes)
     if not across.isEmpty():
-        more = _verified(across, nodes, shingle, percent, hashes)
-        found = connected_components(links.union(more))
+        found = connected_components(links.union(across))
     return described, _labelled(described, classes, found)
 
 
