@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from marquee.llm.common import written
+from marquee.llm.shingles import slices
 
 LEAST_SENTENCES, LEAST_WORDS = 2, 24  # a span has at least so many of both,
 ALONE_WORDS = 40  # or so many words in one sentence
@@ -82,23 +83,27 @@ def spans(text: str, least_sentences: int, least_words: int, alone_words: int) -
 
 
 def _spans_of(least_sentences: int, least_words: int, alone_words: int):
-    span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("hash", pa.int64())]))
+    names = ["first", "last", "hash"]
 
     def run(batches):
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            found, counts = [], []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                made = spans(text, least_sentences, least_words, alone_words)
-                found.append([{"first": a, "last": b, "hash": h} for a, b, h in made])
-                counts.append(len(sentences(text)))
-            rows = pa.array(np.arange(row, row + batch.num_rows))
-            row += batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [rows, *batch.columns, pa.array(counts, pa.int32()), pa.array(found, span)],
-                names=["row", *batch.schema.names, "n_sentences", "spans"],
-            )
+            for a, b in slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                found, ends, counts = [], [0], []
+                for text in part.column(1).to_pylist():
+                    found += spans(text or "", least_sentences, least_words, alone_words)
+                    ends.append(len(found))
+                    counts.append(len(sentences(text or "")))
+                table = np.array(found, np.int64).reshape(-1, 3)
+                fields = [pa.array(table[:, i].astype(t)) for i, t in enumerate((np.int32, np.int32, np.int64))]
+                rows = pa.array(np.arange(row, row + b - a))
+                row += b - a
+                yield pa.RecordBatch.from_arrays(
+                    [rows, *part.columns, pa.array(counts, pa.int32()),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, names))],
+                    names=["row", *part.schema.names, "n_sentences", "spans"],
+                )
 
     return run
 
