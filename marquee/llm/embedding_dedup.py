@@ -1,6 +1,6 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-A bounded sample of vectors serves as pivots.  Every vector is described by the
+Vectors of a bounded sample that are far from one another serve as pivots.  Every vector is described by the
 ordered list of its nearest pivots; inverted lists hold, per label and pair of
 pivots, the vectors that have both in their list, so vectors meet when they share
 at least two pivots.  Shared-pivot counts tell which of their common lists is
@@ -22,6 +22,7 @@ from marquee.llm.common import written
 from marquee.llm.components import connected_components
 
 PIVOTS, NEAREST = 48, 5
+SAMPLE, APART = 4096, 0.7  # vectors that pivots are chosen from; pivots' cosines are below
 BLOCK = 512
 
 
@@ -32,12 +33,29 @@ def _usable(vector) -> F.Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
-def choose_pivots(classes: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
-    """The unit vectors of ``pivots`` classes, by hash of their ids (bounded sample)."""
-    rows = classes.select("vector", F.xxhash64("node").alias("h"), "node").orderBy("h", "node").limit(pivots).collect()
+def choose_pivots(classes: DataFrame, pivots: int = PIVOTS, nearest: int = NEAREST) -> np.ndarray:
+    """Up to ``pivots`` unit vectors that are far from one another.
+
+    From a sample of classes by hash of their ids (``SAMPLE`` at most), the vector that is
+    farthest from all pivots so far is taken next, and none with a cosine of ``APART`` or more to one;
+    so a family of near copies has one pivot, whatever its share of the rows.  No more
+    pivots than a list holds would put all vectors into every list: then two are enough.
+    """
+    rows = classes.select("vector", F.xxhash64("node").alias("h"), "node").orderBy("h", "node").limit(SAMPLE).collect()
     widths = pd.Series([len(r.vector) for r in rows]).mode()
     vectors = np.array([r.vector for r in rows if len(r.vector) == widths[0]], float) if rows else np.zeros((0, 0))
-    return _unit(vectors)
+    chosen = farthest_first(_unit(vectors), pivots)
+    return chosen if len(chosen) > nearest else chosen[:2]
+
+
+def farthest_first(vectors: np.ndarray, pivots: int) -> np.ndarray:
+    if not len(vectors):
+        return vectors
+    chosen, closest = [0], vectors @ vectors[0]
+    while len(chosen) < pivots and closest.min() < APART:
+        chosen.append(int(closest.argmin()))
+        closest = np.maximum(closest, vectors @ vectors[chosen[-1]])
+    return vectors[chosen]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -174,7 +192,7 @@ def near_vectors(
         F.min("row").alias("node"), F.min("vec_id").alias("least"), F.count("*").alias("held")
     )
     classes = written(classes, "vector_classes")
-    chosen = choose_pivots(classes, pivots)
+    chosen = choose_pivots(classes, pivots, nearest)
     found = _links(classes, chosen, threshold, nearest)
 
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -52,6 +52,24 @@ def test_recall_against_brute_force(spark, monkeypatch):
     assert sum(r.n_links for r in got) >= 0.9 * sum(want.values()) > 0
 
 
+@pytest.mark.parametrize("share", [1 / 3, 0.9])
+def test_recall_with_one_large_family(spark, share):
+    """A family of near copies, pairs at about the threshold, among small ones."""
+    rng = np.random.default_rng(4)
+    n, width = 2400, 64
+    centres = rng.normal(size=(n // 4, width))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    hot = rng.random(n) < share
+    noise = rng.normal(size=(n, width))
+    noise *= np.where(hot, 0.27, 0.2)[:, None] / np.linalg.norm(noise, axis=1, keepdims=True)
+    x = centres[np.where(hot, 0, rng.integers(1, n // 4, n))] + noise
+    got = E.near_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)).collect()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.93).sum(axis=1) - 1
+    assert all(r.n_links <= want[r.vec_id] for r in got)
+    assert sum(r.n_links for r in got if hot[r.vec_id]) >= 0.95 * want[hot].sum() > 0
+
+
 def test_dirty_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
