@@ -5,6 +5,11 @@ enough to matter are hashed, forwards from it and backwards to it; so a repeated
 passage is covered whichever sentences stand around it.  Spans whose hash occurs more
 than once are joined globally; sentences covered by any span that is not the first of its
 kind are removed.
+
+A passage that begins and ends inside sentences is found word by word: every window of
+``RUN_WORDS`` words that occurred before goes.  Windows are told by the least hash of their short
+word runs, which equal windows share; only where that least hash occurs more than once are
+the windows themselves hashed and joined, so none is missed.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ from marquee.llm.shingles import slices
 
 LEAST_SENTENCES, LEAST_WORDS = 2, 24  # a span has at least so many of both,
 ALONE_WORDS = 40  # or so many words in one sentence
+RUN_WORDS, SEED_WORDS = 50, 20  # a repeated run wherever it begins has so many words; words of a short run
+KNOWN_WORDS = 1 << 19  # bound on the word hashes that a Python worker remembers
 
 # A sentence, or a clause of one, ends after its marks and the white space that
 # follows, or at a line's end.  Clauses keep the parts short, so that little of a passage
@@ -108,15 +115,147 @@ def _spans_of(least_sentences: int, least_words: int, alone_words: int):
     return run
 
 
-@pandas_udf(T.StringType())
-def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
-    def cut(text, removed):
-        if text is None or removed is None or not len(removed):
-            return text
-        drop = set(removed)
-        return "".join(s for i, s in enumerate(sentences(text)) if i not in drop)
+class _Hashes(dict):
+    """Word, case aside -> 64-bit hash."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word.lower())
+        return found
+
+
+_hashes = _Hashes()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _joined(x: np.ndarray, n: int, join) -> np.ndarray:
+    """``join`` over every ``n`` neighbours, made of runs of doubling length."""
+    out, held, size = None, 0, 1
+    while True:
+        if n & size:
+            if out is None:
+                out = x
+            else:
+                out = join(out[: max(len(out) - size, 0)], x[held : held + max(len(out) - size, 0)])
+            held += size
+        if held == n:
+            return out
+        x = join(x[: max(len(x) - size, 0)], x[size:])
+        size *= 2
+
+
+def _runs(text: str, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all windows of ``run_words`` words, the least hash of a short
+    run in each, and the least hashes, once for every place where one stands."""
+    words = np.fromiter(map(_hashes.__getitem__, _WORDS.findall(text)), np.uint64)
+    none = np.zeros(0, np.int64)
+    if len(words) < run_words:
+        return none, none, none
+    seed = min(SEED_WORDS, run_words)
+    short = _joined(words, seed, lambda x, y: _mixed(x * np.uint64(3) + y))
+    whole = _joined(words, run_words, lambda x, y: _mixed(x * np.uint64(3) + y))
+    width = run_words - seed + 1
+    least = _joined(short, width, np.minimum)
+    edge = np.zeros(width - 1, np.uint64)
+    stands = short == _joined(np.concatenate([edge, least, edge]), width, np.maximum)
+    return whole.view(np.int64), least.view(np.int64), short[stands].view(np.int64)
+
+
+def _lists(names: list[str], columns, found: list[np.ndarray]) -> pa.RecordBatch:
+    ends = pa.array(np.cumsum([0] + [len(f) for f in found]), pa.int32())
+    return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))], names)
+
+
+def _seeds_of(run_words: int):
+    """row, seeds: the least hashes of each text's windows."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                found = [_runs(t or "", run_words)[2] for t in part.column(1).to_pylist()]
+                yield _lists(["row", "seeds"], [part.column(0)], found)
+
+    return run
+
+
+def _windows_of(run_words: int):
+    """row, doc_id, at, hash of the windows with one of the repeated least hashes."""
+
+    def run(batches):
+        for batch in batches:
+            for row, doc_id, text, again in zip(*(batch.column(i) for i in range(4)), strict=True):
+                whole, least, _ = _runs(text.as_py() or "", run_words)
+                at = np.flatnonzero(np.isin(least, again.values.to_numpy(zero_copy_only=False)))
+                for i in range(0, len(at), 1 << 16):
+                    here = at[i : i + (1 << 16)]
+                    same = [pa.array([x.as_py()], pa.int64()).take(pa.array(np.zeros(len(here), np.int64))) for x in (row, doc_id)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*same, pa.array(here), pa.array(whole[here])], names=["row", "doc_id", "at", "hash"])
+
+    return run
+
+
+def _repeated_runs(made: DataFrame, run_words: int) -> DataFrame:
+    """row, starts: the windows that are not the first of their kind.  A window
+    that overlaps the first one is no copy of it."""
+    texts = made.select("row", "doc_id", "text")
+    seeds = written(texts.select("row", "text").mapInArrow(_seeds_of(run_words), "row long, seeds array<long>"), "seeds")
+    each = seeds.select("row", F.explode("seeds").alias("seed"))
+    often = written(each.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "often")
+    # A text has no more seeds than words.
+    again = each.join(often.hint("merge"), "seed").groupBy("row").agg(F.collect_set("seed").alias("again"))
+    held = texts.join(written(again, "again").hint("merge"), "row").select("row", "doc_id", "text", "again")
+    windows = held.mapInArrow(_windows_of(run_words), "row long, doc_id long, at long, hash long")
+    windows = written(windows, "windows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at")
+    first = windows.groupBy("hash").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1")
+    first = written(first.select("hash", F.col("first.row").alias("of"), F.col("first.at").alias("from")), "first")
+    copies = windows.join(first.hint("merge"), "hash").filter(
+        (F.col("row") != F.col("of")) | (F.col("at") >= F.col("from") + run_words))
+    return copies.groupBy("row").agg(F.collect_set("at").alias("starts"))
+
+
+_AFTER = re.compile(r"[^\w\s]*\s*")
+
+
+def without(text: str, removed, starts, run_words: int) -> str:
+    """``text`` without the sentences ``removed`` and the windows at ``starts``,
+    each with the marks and the white space after it."""
+    gone, at = [], 0
+    drop = set(removed)
+    for i, s in enumerate(sentences(text) if drop else []):
+        if i in drop:
+            gone.append((at, at + len(s)))
+        at += len(s)
+    if len(starts):
+        places = [m.span() for m in _WORDS.finditer(text)]
+        starts = np.sort(starts)
+        for group in np.split(starts, np.flatnonzero(np.diff(starts) > run_words) + 1):
+            last = places[group[-1] + run_words - 1][1]
+            gone.append((places[group[0]][0], _AFTER.match(text, last).end()))
+    out, at = [], 0
+    for a, b in sorted(gone):
+        out.append(text[at:a])
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def _without(run_words: int):
+    @pandas_udf(T.StringType())
+    def cut(texts: pd.Series, gone: pd.Series, starts: pd.Series) -> pd.Series:
+        return pd.Series([
+            t if t is None or not (len(g) or len(s)) else without(t, g, s, run_words)
+            for t, g, s in zip(texts, gone, starts, strict=True)
+        ], dtype=object)
 
-    return pd.Series([cut(t, g) for t, g in zip(texts, gone, strict=True)], dtype=object)
+    return cut
 
 
 def repeated_sentences(
@@ -124,13 +263,15 @@ def repeated_sentences(
     least_sentences: int = LEAST_SENTENCES,
     least_words: int = LEAST_WORDS,
     alone_words: int = ALONE_WORDS,
+    run_words: int = RUN_WORDS,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_sentences, removed
     (numbers of the sentences that go, from 0, ascending), clean_text.
 
     Spans are equal when their words are, case aside.  The first of equal spans is that
     of the smallest doc_id (null last), then the earliest row and sentence; the same passage
-    twice in one document counts as repeated.  Null text stays null, with no sentence; texts too short
+    twice in one document counts as repeated.  ``clean_text`` is also without every other run of
+    ``run_words`` words or more that occurred before, wherever in a sentence it begins.  Null text stays null, with no sentence; texts too short
     for a span stay whole; of repeated rows the first keeps its text.  Other columns
     are ignored; an empty table gives no rows.
     """
@@ -152,6 +293,9 @@ def repeated_sentences(
     # A document has no more sentences than its own text.
     gone = gone.groupBy("row").agg(F.array_sort(F.collect_set("i")).alias("removed"))
     gone = written(gone, "removed")
-    out = made.select("row", "doc_id", "text", "n_sentences").join(gone, "row", "left")
+    runs = written(_repeated_runs(made, run_words), "repeated_runs")
+    out = made.select("row", "doc_id", "text", "n_sentences").join(gone, "row", "left").join(runs, "row", "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.select("doc_id", "n_sentences", removed.alias("removed"), _without("text", removed).alias("clean_text"))
+    starts = F.coalesce("starts", F.array().cast("array<long>"))
+    clean = _without(run_words)("text", removed, starts)
+    return out.select("doc_id", "n_sentences", removed.alias("removed"), clean.alias("clean_text"))

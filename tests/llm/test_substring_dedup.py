@@ -74,6 +74,28 @@ def test_passage_in_other_company(spark):
     assert got[3].clean_text == "Only the case is changed in this one."
 
 
+def test_planted_passages_inside_sentences(spark):
+    """51 words without a mark, or with marks elsewhere, in the middle of other sentences."""
+    words = [f"w{i}" for i in range(51)]
+    marked = " ".join(w + ("," if i in (17, 34) else "") for i, w in enumerate(words))
+    own = [" ".join(f"d{d}x{i}" for i in range(30)) for d in range(4)]
+    rows = [(d, f"{own[d]} {p} {own[d][::-1]}.") for d, p in enumerate([" ".join(words), " ".join(words), marked, " ".join(words[1:50])])]
+    got = {r.doc_id: r.clean_text for r in S.repeated_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: rows[0][1], 1: f"{own[1]} {own[1][::-1]}.", 2: f"{own[2]} {own[2][::-1]}.", 3: rows[3][1]}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "C c", "d."]), max_size=80), st.integers(2, 30))
+def test_equal_windows_share_a_least_hash(parts, n):
+    words = [w.lower() for w in re.findall(r"\w+", " ".join(parts))]
+    whole, least, seeds = S._runs(" ".join(parts), n)
+    windows = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+    assert len(whole) == len(least) == len(windows) and len(set(whole.tolist())) == len(set(windows))
+    for i, w in enumerate(windows):
+        if windows.count(w) > 1:
+            assert seeds.tolist().count(least[i]) > 1
+
+
 def test_dirty_rows(spark, dirty):
     got = result(S.repeated_sentences(dirty))
     assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in brute_force(dirty.collect())]
