@@ -37,8 +37,17 @@ KNOWN_WORDS = 1 << 19  # bound on the word hashes that a Python worker remembers
 # A sentence, or a clause of one, ends after its marks and the white space that
 # follows, or at a line's end.  Clauses keep the parts short, so that little of a passage
 # is lost where it begins and ends within a sentence.
-_SENTENCE = re.compile(r"[^\n.!?…。！？,;:]*(?:[.!?…。！？,;:]+(?=\s|$)|[.!?…。！？,;:]|\n|$)\s*")
-_WORDS = re.compile(r"\w+")
+# Full-width marks end it wherever they stand: no white space follows them.
+_FULL_WIDTH = "。！？，、；：．｡､"
+_SENTENCE = re.compile(
+    rf"[^\n.!?…,;:{_FULL_WIDTH}]*"
+    rf"(?:[.!?…,;:]*[{_FULL_WIDTH}][.!?…,;:{_FULL_WIDTH}」』）】》〉”’]*|[.!?…,;:]+(?=\s|$)|[.!?…,;:]|\n|$)\s*"
+)
+# Where words are written without spaces between them, a character is a word: Thai to
+# Myanmar, Khmer, kana, Han.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_WORDS = re.compile(rf"(?=\w)[{_UNSPACED}]|[^\W{_UNSPACED}]+")
+_CLOSED = re.compile(rf"[{_FULL_WIDTH}][.!?…,;:{_FULL_WIDTH}」』）】》〉”’]*$")
 
 
 def sentences(text: str) -> list[str]:
@@ -46,8 +55,8 @@ def sentences(text: str) -> list[str]:
     out, held = [], ""
     for m in _SENTENCE.finditer(text):
         part = held + m.group()
-        # A mark inside a word or number does not end a sentence.
-        if part and (part[-1].isspace() or m.end() == len(text)):
+        # A mark inside a word or number does not end a sentence, but a full-width one does.
+        if part and (part[-1].isspace() or m.end() == len(text) or _CLOSED.search(m.group())):
             out.append(part)
             held = ""
         else:

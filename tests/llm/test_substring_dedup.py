@@ -84,6 +84,17 @@ def test_planted_passages_inside_sentences(spark):
     assert got == {0: rows[0][1], 1: f"{own[1]} {own[1][::-1]}.", 2: f"{own[2]} {own[2][::-1]}.", 3: rows[3][1]}
 
 
+def test_text_without_spaces(spark):
+    """A passage inside a longer line, and one of under 40 stretches on a line of its own."""
+    passage = "老港口在山的后面，每天早晨船在日出之前离开。码头上没有人说话，直到它们都走了！然后市场开门，一天的喧闹就开始了。"
+    assert S.sentences("他说：「好。」我走了，再见") == ["他说：", "「好。」", "我走了，", "再见"]
+    own = [f"{c * 12}。" for c in "甲乙丙丁"]
+    rows = [(0, own[0] + passage + own[0]), (1, own[1] + passage + own[1]), (2, passage), (3, own[3])]
+    got = {r.doc_id: r for r in S.repeated_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[d].clean_text for d in range(4)] == [rows[0][1], own[1] * 2, "", own[3]]
+    assert list(got[1].removed) == list(range(1, 1 + len(S.sentences(passage))))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["a", "b", "C c", "d."]), max_size=80), st.integers(2, 30))
 def test_equal_windows_share_a_least_hash(parts, n):
