@@ -1,10 +1,10 @@
 """License scan by conditional compression.
 
-A text's lines that mention licensing are candidate blocks.  Each block is compressed
+A text's sentences that mention licensing are candidate blocks.  Each block is compressed
 alone and with every license template as a raw zstandard dictionary; the template that
-saves most of the block's size ranks first.  A winner is confirmed by its exact wording: all
-of the template's words stand in the block, in order and together, but for a stated
-number of differences.
+saves most of the block's size ranks first.  Templates are confirmed by their wording: all
+of a template's words stand in and around the block, in order and together, but for a stated
+share of differences, none of them in the identifying words (names and versions).
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee.llm.license_texts import FORMS, SPDX_SUFFIX
+
 # Names and notices by which public licenses are granted.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -33,29 +35,48 @@ TEMPLATES = {
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0.",
     "all-rights-reserved": "All rights reserved.",
 }
-MENTION = re.compile(r"licen[sc]|copyright|rights reserved|redistribut|public domain|\bSPDX\b|\bCC[ -]?(?:BY|0)", re.I)
-MOST_DIFFERENCES = 0.0  # share of a template's words that may differ
+ALL_FORMS = tuple(TEMPLATES.items()) + FORMS
+MENTION = re.compile(
+    r"licen[sc]|copyright|rights reserved|redistribut|public domain|\bSPDX\b|\bCC[ -]?(?:BY|0)|creative commons"
+    r"|permission (?:is|to use)|\b[AL]?GPL", re.I)
+MOST_DIFFERENCES = 0.1  # share of a template's words, identifying ones aside, that may differ
+NEGATIONS = {"not", "no", "nor", "never", "except"}  # never among the differences
+NAMED_WORDS = 40  # up to so many words, a template's capitalised words identify it, else only those with digits
 _WORD = re.compile(r"[\w.\-]*\w")
 
 
+# Not at "v. 2.0" or the number of a paragraph; a block that goes on too far loses no notice.
+_SENTENCE_END = re.compile(r"(?<!\s\d)[.!?]+[\"')\]]*(?=\s+[^\s\da-z])")
+_CLOSING = re.compile(r"[.!?)\]\"']*")
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([\w.+() \t-]+)")
+
+
 def blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the lines with a mention, each joined to the next line
-    while it does not end as a sentence does."""
+    """(start, end) of the sentences with a mention, within lines or each joined
+    to the next line while it does not end as a sentence does."""
     out: list[tuple[int, int]] = []
-    lines = [(m.start(), m.end()) for m in re.finditer(r"[^\n]+", text)]
+    parts = []
+    for line in re.finditer(r"[^\n]+", text):
+        at = line.start()
+        for m in _SENTENCE_END.finditer(text, line.start(), line.end()):
+            parts.append((at, m.end()))
+            at = m.end()
+        if text[at : line.end()].strip():
+            parts.append((at, line.end()))
     i = 0
-    while i < len(lines):
-        start, end = lines[i]
+    while i < len(parts):
+        start, end = parts[i]
         if MENTION.search(text, start, end):
-            while i + 1 < len(lines) and text[start:end].rstrip()[-1:] not in ".!?":
+            while i + 1 < len(parts) and text[max(start, end - 80) : end].rstrip().rstrip("\"')]")[-1:] not in (".", "!", "?"):
                 i += 1
-                end = lines[i][1]
+                end = parts[i][1]
+            start += len(text[start:end]) - len(text[start:end].lstrip())
             out.append((start, end))
         i += 1
     return out
 
 
-@functools.cache
+@functools.lru_cache(maxsize=64)
 def _compressors(templates: tuple) -> tuple:
     plain = zstandard.ZstdCompressor(level=3)
     made = []
@@ -87,26 +108,117 @@ def wording_differences(block: str, wording: str) -> list[str]:
     return out + [f"-{w}" for w in wants[inside:]]
 
 
+@functools.lru_cache(maxsize=1024)
+def _wanted(wording: str) -> tuple[list[str], list[bool]]:
+    """A template's words, and which of them identify it."""
+    words = [m.group() for m in _WORD.finditer(wording)]
+    named = len(words) <= NAMED_WORDS
+    # In a long text only dates and versions do, and not the numbers of its paragraphs.
+    own = [
+        named and (any(c.isdigit() for c in w) or (w[0].isupper() and (i > 0 or w[1:] != w[1:].lower() or w in _FIRST_NAMES)))
+        for i, w in enumerate(words)
+    ]
+    return [w.lower() for w in words], own
+
+
+_FIRST_NAMES = {"Apache", "Mozilla", "Creative"}
+
+
+def stretches(has: list[str], wording: str, most_differences: float) -> list[tuple[int, int, list[str]]]:
+    """(first word, end, differences) of every place in ``has`` that holds ``wording``."""
+    wants, own = _wanted(wording)
+    allowed = int(most_differences * len(wants) + 1e-9)
+    if len(set(wants) - set(has)) > allowed:
+        return []
+    # With so few differences, some run of equal words is at least so long.
+    least = max(1, (len(wants) - allowed) // (allowed + 1))
+    matcher = difflib.SequenceMatcher(None, has, wants, autojunk=False)
+    out, todo = [], [(0, len(has))]
+    while todo:
+        low, high = todo.pop()
+        a, b, n = matcher.find_longest_match(low, high, 0, len(wants))
+        if n < least:
+            continue
+        start, end = max(low, a - b - allowed), min(high, a + len(wants) - b + allowed)
+        near = difflib.SequenceMatcher(None, has[start:end], wants, autojunk=False)
+        pieces = [p for p in near.get_matching_blocks() if p.size]
+        differences, wrong, inside, place = [], False, 0, None
+        for p in [*pieces, None]:
+            until = p.b if p else len(wants)
+            differences += [f"-{w}" for w in wants[inside:until]]
+            wrong = wrong or any(own[inside:until])
+            if p:
+                if place is not None and place < p.a:
+                    extra = has[start + place : start + p.a]
+                    differences += [f"+{w}" for w in extra]
+                    wrong = wrong or bool(NEGATIONS & set(extra)) or (own[inside - 1] and own[p.b])
+                inside, place = p.b + p.size, p.a + p.size
+        if len(differences) <= allowed and not wrong:
+            a, end = start + pieces[0].a, start + place
+            out.append((a, end, differences))
+        else:
+            end = a + n
+        todo += [(low, a), (end, high)]
+    return sorted(out)
+
+
 def scan(text: str, templates: tuple, most_differences: float) -> list[dict]:
-    """One entry per candidate block of a text."""
-    out = []
-    wording = dict(templates)
+    """One entry per confirmed stretch; one, unconfirmed, per candidate block without any."""
+    out, found = [], {}
     for start, end in blocks(text):
         block = text[start:end]
-        order = rank(block, templates)
-        best = None
-        for saved, name in order:
-            differences = wording_differences(block, wording[name])
-            close = len(differences) <= most_differences * len(_WORD.findall(wording[name]))
-            if best is None or close:
-                best = {
-                    "start": start, "length": end - start, "license": name, "saved_bytes": saved,
-                    "differences": differences, "confirmed": close,
-                }
-            if close:
-                break
-        out.append(best)
-    return out
+        known = templates + tuple(
+            (_spdx_name(x), f"SPDX-License-Identifier: {x}")
+            for m in _SPDX.finditer(block) for x in re.findall(r"[\w.+-]+", m.group(1))
+            if x not in ("OR", "AND", "WITH") and re.search(r"(?:^|\W)(?:OR|AND)?\W*$", m.group(1)[: m.group(1).find(x)])
+        )
+        saved = dict.fromkeys(known, 0)
+        plain, made = _compressors(known)
+        data = block.encode("utf-8", "surrogatepass")
+        alone = len(plain.compress(data))
+        for pair, (_, compressor) in zip(known, made, strict=True):
+            saved[pair] = alone - len(compressor.compress(data))
+        held = False
+        for reach in sorted({0, *(len(w) for _, w in templates if len(w) > 200)}):
+            # A template of several sentences goes on around the block.
+            low, high = max(0, start - 2 * reach), end + 2 * reach
+            places = [m.span() for m in _WORD.finditer(text, low, high)]
+            has = [text[a:b].lower() for a, b in places]
+            for name, wording in known:
+                if reach != (len(wording) if len(wording) > 200 else 0):
+                    continue
+                if wording.startswith("SPDX-"):
+                    spots = [(m.start(), m.end(), []) for m in _SPDX.finditer(text, start, end) if wording[24:].strip() in m.group(1)]
+                else:
+                    spots = [
+                        (places[a][0], _CLOSING.match(text, places[b - 1][1]).end(), d)
+                        for a, b, d in stretches(has, wording, most_differences)
+                    ]
+                for a, b, differences in spots:
+                    held = held or (a < end and b > start)
+                    entry = {
+                        "start": a, "length": b - a, "license": name, "saved_bytes": saved[name, wording],
+                        "differences": differences, "confirmed": True,
+                    }
+                    found.setdefault((a, b, name), entry)
+        if not held:
+            name, wording = min(known, key=lambda pair: (-saved[pair], pair[0]))
+            out.append({
+                "start": start, "length": end - start, "license": name, "saved_bytes": saved[name, wording],
+                "differences": wording_differences(block, wording), "confirmed": False,
+            })
+    # A notice that is part of a longer confirmed one is not a notice of its own.
+    out += [
+        e for (a, b, name), e in found.items()
+        if not any(x <= a and b <= y and y - x > b - a and "SPDX" not in text[x:y] for x, y, _ in found)
+    ]
+    return sorted(out, key=lambda e: (e["start"], e["length"], e["license"]))
+
+
+def _spdx_name(identifier: str) -> str:
+    for suffix in SPDX_SUFFIX:
+        identifier = identifier.removesuffix(suffix)
+    return identifier
 
 
 _FOUND = "array<struct<start:int, length:int, license:string, saved_bytes:int, differences:array<string>, confirmed:boolean>>"
@@ -129,17 +241,18 @@ def _scan_batches(templates: tuple, most_differences: float):
 
 
 def scan_licenses(
-    docs: DataFrame, templates: dict[str, str] = TEMPLATES, most_differences: float = MOST_DIFFERENCES
+    docs: DataFrame, templates: dict[str, str] | tuple = ALL_FORMS, most_differences: float = MOST_DIFFERENCES
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, licenses (confirmed
     ones, sorted, each once), blocks (start, length, license, saved_bytes, differences, confirmed).
 
-    A block reports the best-ranked template that its wording confirms, or else the
+    A block reports every template that its wording confirms, each with its own stretch, or else the
     best-ranked one, unconfirmed, with the differences; ties go to the first name.  Null
     and empty texts have no block.  Repeated rows are scanned alike; other columns are ignored;
     an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.mapInArrow(_scan_batches(tuple(templates.items()), most_differences), f"doc_id long, blocks {_FOUND}")
+    pairs = tuple(templates.items() if isinstance(templates, dict) else templates)
+    found = rows.mapInArrow(_scan_batches(pairs, most_differences), f"doc_id long, blocks {_FOUND}")
     confirmed = F.transform(F.filter("blocks", lambda b: b["confirmed"]), lambda b: b["license"])
     return found.select("doc_id", F.array_sort(F.array_distinct(confirmed)).alias("licenses"), "blocks")

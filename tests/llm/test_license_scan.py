@@ -34,6 +34,36 @@ def test_dictionary_reduces_most_for_the_right_template():
         assert L.rank(wording, ALL)[0][1] == name
 
 
+def confirmed(text):
+    return {b["license"] for b in L.scan(text, L.ALL_FORMS, L.MOST_DIFFERENCES) if b["confirmed"]}
+
+
+@pytest.mark.parametrize("name, wording", L.FORMS)
+def test_every_form_is_found(name, wording):
+    assert name in confirmed(f"Some prose first.\n{wording}\nAnd prose after it.")
+
+
+def test_texts_headers_and_common_wordings():
+    mit = L.FORMS[0][1].replace(", ", ",\n").replace("AUTHORS", "WRITERS")
+    assert confirmed("Copyright (c) 2020 A. Person\n\n" + mit) == {"MIT"}
+    assert confirmed("This project is licensed under the MIT License.") == {"MIT"}
+    assert confirmed("# SPDX-License-Identifier: MIT OR GPL-3.0-or-later\nimport os") == {"MIT", "GPL-3.0"}
+    assert confirmed("Shared as Creative Commons Attribution 4.0 International.") == {"CC-BY-4.0"}
+    gpl = "modify it under the terms of the GNU General Public License as published by the Free Software\nFoundation, either version 3 of the License, or (at your option) any later version."
+    assert confirmed("You can redistribute it and/or " + gpl) == {"GPL-3.0"}
+    assert confirmed(gpl.replace("version 3", "version 7")) == set()
+    assert confirmed(gpl.replace("General", "Lesser General")) == {"LGPL-3.0"}
+    assert confirmed(L.FORMS[2][1]) == {"BSD-2-Clause"}
+
+
+def test_several_notices_in_one_line():
+    text = "x " * 5000 + "Released under the MIT License. Licensed under the Apache License, Version 2.0. All rights reserved. More"
+    found = L.scan(text, ALL, 0.0)
+    assert [text[b["start"] : b["start"] + b["length"]] for b in found if b["confirmed"]] == [
+        "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "All rights reserved."]
+    assert confirmed("Released under the MIT License and licensed under the Apache License 2.0") == {"MIT", "Apache-2.0"}
+
+
 def test_dirty_rows(spark, dirty):
     notice = spark.createDataFrame([(20, "x " * 50_000 + "\nAll rights reserved.\n" + "y " * 50_000)], "doc_id long, text string")
     docs = dirty.unionByName(notice, allowMissingColumns=True)
