@@ -2,7 +2,7 @@
 
 Documents are dealt out in ascending order of doc_id; every task writes one file
 of blocks.  A block holds the ids of whole documents, compressed by Re-Pair: frequent
-pairs of neighbouring symbols are replaced by new symbols, round after round.  Each
+pairs of neighbouring symbols are replaced by new symbols, round after round until none is.  Each
 round counts all pairs of the block and replaces the most frequent ones together; where
 chosen pairs overlap, the left one wins.  Rules and the number of ids that each symbol
 expands to are stored, so a document is decoded without the rest of its block.
@@ -34,17 +34,15 @@ from marquee.sources.files import scratch_path
 
 FIRST_RULE = 1 << 24
 BLOCK_IDS = 1 << 20  # a block ends with the document that reaches so many ids
-ROUNDS, LEAST_COUNT, MOST_RULES = 6, 8, 4096  # rounds; uses that a rule must have; rules a round
+LEAST_COUNT, MOST_RULES = 8, 4096  # uses that a rule must have; rules a round
 MANIFEST = "file string, shard long, block long, at long, rules long, symbols long, docs long, ids long"
 
 
-def repair(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, expansion lengths, symbols) of a block's ids."""
     symbols, rules = ids.astype(np.int64), np.zeros((0, 2), np.int64)
     lengths = np.zeros(0, np.int64)
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:  # every round replaces something or is the last
         pairs = symbols[:-1] << 32 | symbols[1:]
         # A pair cannot be frequent unless all pairs of its bin together are.
         bins = (symbols[:-1] * 40503 + symbols[1:] * 10007) & 0xFFFFF

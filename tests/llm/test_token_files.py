@@ -11,6 +11,13 @@ from marquee.llm import token_files as R
 WORD = public_tokenizers.path("word_bpe_49k.json")
 
 
+def test_rounds_go_on_while_pairs_are_frequent():
+    ids = np.tile(np.arange(1024), 20).astype("<u4")
+    rules, lengths, symbols = R.repair(ids)
+    assert (R.expand(rules, symbols) == ids).all()
+    assert lengths.max() >= 1024 and len(symbols) < 20
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_grammar_round_trip(seed):
     rng = np.random.default_rng(seed)
