@@ -1,6 +1,6 @@
 """License texts, headers, titles and common wordings: (license, wording), a license in many forms.
 
-Short licenses stand here whole.  Of the long ones (Apache, GNU, Mozilla, Creative Commons) there are
+MIT and Zlib stand here whole; ISC, BSD and Unlicense up to a part of their disclaimers or grounds.  Of the long ones (Apache, GNU, Mozilla, Creative Commons) there are
 the headers that their texts prescribe and the title lines that begin the texts.
 """
 
