@@ -54,3 +54,28 @@ def prefix_sum(df: DataFrame, keys: list[str], lane: str, order: list, value: st
         .withColumn(out, F.col("_lane_start") + F.col("_local"))
         .drop("_lane_start", "_local")
     )
+
+
+def label_totals(df: DataFrame, label: str, value: str, out: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows of equal ``label`` (nulls together; null values count 0), at
+    most the largest long.
+
+    Labels that hold more than a shuffle partition's share of the rows (so at most as many as there are
+    partitions) are split: their rows go to as many salts as they hold shares, and
+    their one total is sent to each.  All other labels meet their total under salt 0.
+    ``df`` reads a written table, so rows keep their salts when a task runs again.
+    """
+    spark = df.sparkSession
+    totals = df.groupBy(label).agg(
+        F.least(F.coalesce(F.sum(F.col(value).cast("decimal(38,0)")), F.lit(0)), F.lit(2**63 - 1).cast("decimal(38,0)"))
+        .cast("long").alias(out), F.count("*").alias("_rows"))
+    totals = written(totals, "label_totals")
+    share = (totals.agg(F.sum("_rows")).first()[0] or 0) // shuffle_partitions(spark) + 1
+    salts = F.ceil(F.col("_rows") / share).cast("int")
+    hot = totals.filter(F.col("_rows") > share).select(F.col(label).alias("_hot"), salts.alias("_salts"))
+    dealt = df.join(F.broadcast(hot), F.col(label).eqNullSafe(F.col("_hot")), "left")
+    dealt = dealt.withColumn("_salt", F.coalesce(F.expr("int(monotonically_increasing_id() % _salts)"), F.lit(0)))
+    each = totals.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).select(F.col(label).alias("_label"), out, "_salt")
+    met = dealt.withColumnRenamed("_salt", "_own").join(
+        each.hint("merge"), F.col(label).eqNullSafe(F.col("_label")) & (F.col("_own") == F.col("_salt")))
+    return met.select(*df.columns, out)

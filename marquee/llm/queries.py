@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm import (
+    collocations,
     embedding_dedup,
     exact_dedup,
     language_id,
@@ -18,6 +19,8 @@ from marquee.llm import (
     substring_dedup,
     token_files,
     url_filter,
+    vector_codes,
+    vector_search,
 )
 from marquee.llm.common import load
 
@@ -100,3 +103,27 @@ def op4_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(load(spark, sf_dir, "documents"))
     return found.select("doc_id", "licenses", F.size("blocks").alias("n_blocks"), F.to_json("blocks").alias("blocks"))
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(load(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op11_collocations"] = collocations.ORACLE
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(load(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op12_vector_codes"] = vector_codes.ORACLE
+
+
+@query
+def op13_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(load(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op13_voronoi_top_k"] = vector_search.ORACLE
