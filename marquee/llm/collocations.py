@@ -13,8 +13,8 @@ round leaves out the words that hold more than one ``HEAVY``-th of a language (f
 them): their bounds are the lowest, and they are grown only if they stay open.
 
 A phrase that is always preceded (or always followed) by one word lies in a longer candidate that is
-as frequent, and only then; so the first and last neighbour seen, as 64-bit hashes, tell what is dropped,
-and no longer phrase has to be counted for it.
+as frequent, and only then; so the least and largest neighbour seen, as 64-bit hashes, tell what is dropped.
+They are gathered while a phrase is grown; a phrase that is not grown is out of reach itself.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from marquee.llm.common import written
 
 LONGEST = 5  # words of a phrase
 HEAVY = 100
-CHUNK = 8 << 20  # bytes of text that a task looks at together
+CHUNK = 4 << 20  # bytes of text that a task looks at together
 FILTER_BITS = 1 << 26  # at most, 8 MB; beyond it filters let more through, and results stay the same
 LANES = 8  # a language's ranking is cut to `top` rows in so many lanes first
 
@@ -189,52 +189,54 @@ def _count_words(batches):
         )
 
 
-COUNTED = "lang string, phrase string, words int, a long, l_min long, l_max long, r_min long, r_max long"
+SIDES = ["l_min", "l_max", "r_min", "r_max"]
+COUNTED = "lang string, phrase string, words int, a long, " + ", ".join(f"{x} long" for x in SIDES)
 
 
 def _count_phrases(frequent: Filter, filters: dict[tuple[str, int], Filter]):
-    """Counts of one-word continuations of the nodes to ``grow`` (filters by kind and number of words) and of
-    the phrases to ``count``, with the least and largest hash of the neighbours on both sides
-    (both ends of the range where an occurrence has none)."""
-    nodes = {length: f for (kind, length), f in filters.items() if kind == "grow"}
-    needed = {length: f for (kind, length), f in filters.items() if kind == "count"}
+    """Counts (``a``) of one-word continuations of the nodes to ``grow`` (filters by kind and number of words) and of
+    the phrases to ``count``; and for nodes of two words or more, with ``a`` 0, the least and largest hash of the
+    neighbours on both sides (both ends of the range where an occurrence has none)."""
+
+    def counted(chunk, at, length, sides=None):
+        at, first = chunk.groups(at, length)
+        counts = np.zeros(len(first), np.int64) if sides else np.diff(np.append(first, len(at)))
+        seen = [pa.nulls(len(first), pa.int64())] * 4
+        if sides:
+            follows, near = sides
+            last = len(near) - 1
+            left = follows[at], near[np.maximum(at - 1, 0)]
+            right = follows[at + length], near[np.minimum(at + length, last)]
+            seen = [pa.array(pick.reduceat(np.where(there, value, end), first))
+                    for there, value in (left, right) for pick, end in ((np.minimum, _LOW), (np.maximum, _HIGH))]
+        rows = at[first]
+        return pa.RecordBatch.from_arrays(
+            [chunk.langs_of(rows), chunk.texts_of(rows, length), pa.array(np.full(len(rows), length, np.int32)),
+             pa.array(counts), *seen], names=["lang", "phrase", "words", "a", *SIDES])
 
     def run(batches):
         for chunk in _chunks(batches):
             chunk.hashed()
             size = len(chunk.codes)
-            near = chunk.hash.view(np.int64)
             follows = np.zeros(size + 1, bool)  # word i belongs to the piece of word i - 1
             follows[1:size] = chunk.piece[1:] == chunk.piece[:-1]
             often = frequent.has(chunk.phrase_hash(np.arange(size), 1))
-            for length in range(2, LONGEST + 1):
-                at = np.arange(max(size - length + 1, 0))
-                keep = chunk.piece[at] == chunk.piece[at + length - 1]
-                for j in range(length):
-                    keep &= often[at + j]
-                at = at[keep]
-                chosen = np.zeros(len(at), bool)
-                if length - 1 in nodes:
-                    chosen |= nodes[length - 1].has(chunk.phrase_hash(at, length - 1))
-                if length in needed:
-                    chosen |= needed[length].has(chunk.phrase_hash(at, length))
-                at = at[chosen]
-                if not len(at):
-                    continue
-                at, first = chunk.groups(at, length)
-                counts = np.diff(np.append(first, len(at)))
-                sides = []
-                for there, value in (
-                    (follows[at], near[np.maximum(at - 1, 0)]),
-                    (follows[at + length], near[np.minimum(at + length, size - 1)]),
-                ):
-                    sides.append(np.minimum.reduceat(np.where(there, value, _LOW), first))
-                    sides.append(np.maximum.reduceat(np.where(there, value, _HIGH), first))
-                rows = at[first]
-                yield pa.RecordBatch.from_arrays(
-                    [chunk.langs_of(rows), chunk.texts_of(rows, length), pa.array(np.full(len(rows), length, np.int32)),
-                     pa.array(counts), *map(pa.array, sides)],
-                    names=["lang", "phrase", "words", "a", "l_min", "l_max", "r_min", "r_max"])
+            at = np.flatnonzero(often)
+            for length in range(1, LONGEST):
+                # at: where `length` frequent words stand in one piece
+                longer = at[follows[at + length]]
+                longer = longer[often[longer + length]]
+                chosen = np.zeros(len(longer), bool)
+                if node := filters.get(("grow", length)):
+                    grown = node.has(chunk.phrase_hash(at, length))
+                    if length > 1 and grown.any():
+                        yield counted(chunk, at[grown], length, (follows, chunk.hash.view(np.int64)))
+                    chosen[np.searchsorted(longer, at[grown & np.isin(at, longer, assume_unique=True)])] = True
+                if part := filters.get(("count", length + 1)):
+                    chosen |= part.has(chunk.phrase_hash(longer, length + 1))
+                if chosen.any():
+                    yield counted(chunk, longer[chosen], length + 1)
+                at = longer
 
     return run
 
@@ -311,6 +313,7 @@ def collocations(documents: DataFrame, least: int = 100, top: int = 2000) -> Dat
     todo = nodes.filter("NOT heavy").select(F.lit("grow").alias("kind"), "words", "lang", "phrase")
     waiting = nodes.filter("heavy").drop("heavy")
     found = scored = None
+    lasting = words.select("lang", "phrase").filter("false")
     while True:
         filters = phrase_filters(todo)
         if not filters and waiting is not None:  # all frequent words are heavy
@@ -320,25 +323,26 @@ def collocations(documents: DataFrame, least: int = 100, top: int = 2000) -> Dat
             break
         rows = texts.mapInArrow(_count_phrases(frequent, filters), COUNTED)
         rows = rows.groupBy("lang", "phrase", "words").agg(
-            F.sum("a").alias("a"), F.min("l_min").alias("l_min"), F.max("l_max").alias("l_max"),
-            F.min("r_min").alias("r_min"), F.max("r_max").alias("r_max"))
+            F.sum("a").alias("a"), *[getattr(F, x[2:])(x).alias(x) for x in SIDES])
+        rows = written(rows.filter((F.col("a") >= least) | F.col("l_min").isNotNull()), "counted")
         mixed = (F.col("l_min") < F.col("l_max")) & (F.col("r_min") < F.col("r_max"))
-        rows = rows.filter(F.col("a") >= least).select(
-            "lang", "phrase", "words", "a", ((F.col("words") == LONGEST) | mixed).alias("survives"))
-        if found is not None:  # what is counted in two rounds has the same count in both
-            rows = rows.join(found.select("lang", "phrase"), ["lang", "phrase"], "left_anti")
-        new = written(rows, "phrases")
-        found = new if found is None else found.union(new)
+        lasting = lasting.union(rows.filter(mixed).select("lang", "phrase"))
+        new = rows.filter(F.col("a") >= least).select("lang", "phrase", "words", "a")
+        # What is counted in two rounds has the same count in both.
+        new = written(new.join(counts, ["lang", "phrase"], "left_anti"), "phrases")
         counts = counts.union(new.select("lang", "phrase", "a"))
-        scored = written(_scored(found.filter("survives"), counts, langs), "scored")
+        found = new if found is None else found.union(new)
+        survivors = found.filter(F.col("words") < LONGEST).join(lasting, ["lang", "phrase"], "left_semi")
+        survivors = survivors.union(found.filter(F.col("words") == LONGEST))
+        scored = written(_scored(survivors, counts, langs), "scored")
         # The score that has to be reached: 0 until a language has `top` phrases.
         last = _first_rows(scored.filter("exact"), top).filter(F.col("rank") == top)
         reached = langs.join(last.select("lang", "score"), "lang", "left")
         reached = reached.select("lang", "n", F.coalesce("score", F.lit(0)).alias("reached"))
         children = new.filter(F.col("words") < LONGEST).withColumn("word", F.substring_index("phrase", " ", 1))
         children = children.join(first, ["lang", "word"]).join(langs, "lang").select("lang", "phrase", "words", bound)
-        if waiting is not None:
-            children, waiting = children.union(waiting.select("lang", "phrase", "words", "bound")), None
+        if waiting is not None and any(length > 1 for _, length in filters):  # there may be a score to reach now
+            children, waiting = children.union(waiting), None
         grow = children.join(reached, "lang").filter("bound >= reached").select(
             F.lit("grow").alias("kind"), "words", "lang", "phrase")
         parts = scored.filter("NOT exact").join(reached.drop("n"), "lang").filter("score >= reached")
