@@ -70,12 +70,15 @@ def _negated(cond: Column, null_policy: str) -> Column:
 
 class Rule(NamedTuple):
     """One cleaning stage: its name, the funnel's name for it, the columns that
-    it derives, and the condition that rows must meet after that."""
+    it derives, and the condition that rows must meet after that.  Where the chain's
+    final type of a column tells whether its row is kept, ``typed`` has its expression over the
+    raw columns; the condition is then that it is not null."""
 
     stage: str
     step: str
     derived: dict[str, Column]
     keep: Column
+    typed: dict[str, Column] = {}  # noqa: RUF012 - never changed
 
 
 def rules(
@@ -111,7 +114,8 @@ def rules(
         Rule("text", "text_valid", {}, _negated(X.matches_any(text_columns, text_patterns), null_policy)),
         Rule("title", "title_valid", {}, _negated(X.matches_any(title_columns, title_patterns), null_policy)),
         Rule("duration", "duration_valid", durations, known),
-        Rule("added_date", "date_valid", {"added_on": F.trim("added_on")}, X.lenient_date("added_on", fmt).isNotNull()),
+        Rule("added_date", "date_valid", {"added_on": F.trim("added_on")}, X.lenient_date("added_on", fmt).isNotNull(),
+             {"added_on": X.lenient_date(F.trim("added_on"), fmt)}),
         Rule("year", "year_valid", {"release_year": X.lenient_int("release_year")}, in_range),
         Rule("rating", "rating_valid", {"rating": rating}, F.col("rating").isNotNull()),
         Rule("genre", "genre_valid", {}, F.col("genres").isNotNull()),
@@ -227,9 +231,30 @@ def clean_catalog(
     """Raw catalogue -> typed, validated, one row per id.  ``options`` are those
     of ``rules``."""
     df = clean_identity(df, kinds, id_length)
-    for rule in rules(fmt=fmt, **options):
-        df = apply_rule(df, rule)
-    return typed_catalog(df, fmt)
+    return once(df, rules(fmt=fmt, **options), {"duration": X.lenient_int(X.first_token("duration"))})
+
+
+def once(df: DataFrame, chain: list[Rule], typed: dict[str, Column]) -> DataFrame:
+    """The rows that all rules of ``chain`` keep, with derived and ``typed`` columns, every expression
+    evaluated once a row.
+
+    Catalyst pushes a filter on a derived column below the projection that derives it, so that both
+    evaluate the column.  A generator stops that: conditions on raw columns come first, what
+    they leave makes one array of one struct of all derived columns, and ``explode`` yields it as a row whose
+    fields are filtered and returned as they are.
+    """
+    values = {name: c for rule in chain for name, c in (rule.derived | rule.typed).items()} | typed
+    early = [rule for rule in chain if not rule.derived]
+    for rule in early:
+        df = df.filter(rule.keep)
+    made = F.array(F.struct(*[c.alias(name) for name, c in values.items()]))
+    df = df.withColumn("_made", F.explode(made))
+    columns = {name: F.col(f"_made.{name}") for name in values}
+    out = df.withColumns(columns).drop("_made")
+    for rule in chain:
+        if rule.derived:
+            out = out.filter(F.col(next(iter(rule.typed))).isNotNull() if rule.typed else rule.keep)
+    return out
 
 
 def _long(wide: DataFrame, steps) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions import exprs as X
+from marquee.operators.skew import split_left_join
 
 COMPARED_COUNTRIES = ("United States", "France", "India", "Spain")  # fixed value
 
@@ -209,14 +210,9 @@ def release_dates(
 
 
 def attach_dates(titles: DataFrame, dates: DataFrame, on: str = "title") -> DataFrame:
-    """Left join of titles with a table holding at most one row per ``on``.
-
-    One title may hold any share of the rows: AQE splits a skewed partition
-    only where a shuffle stands directly under each side of the join.  The dates are
-    an aggregate over their own shuffle by title, which the join would reuse, so they are
-    dealt out by a hash of the title first; the join then adds its own shuffle.
-    """
-    return titles.join(dates.repartition(F.xxhash64(on)), on=on, how="left")
+    """Left join of titles with a table holding at most one row per ``on``.  One title may
+    hold any share of the rows: its rows are salted (``skew.split_left_join``)."""
+    return split_left_join(titles, dates, on)
 
 
 def date_span(df: DataFrame, date_col: str = "release_date") -> DataFrame:

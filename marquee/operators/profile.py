@@ -51,3 +51,50 @@ def row_counts(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# Text forms of the types that delimited text is tested for, narrowest first, each with the value
+# that must exist besides; a value of a type is one of every wider number or time type too.
+_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_DAY = r"\d{4}-\d{2}-\d{2}"
+_FORMS = (
+    ("int", r"^[+-]?\d+$", "try_cast(`{c}` AS INT)"),
+    ("bigint", r"^[+-]?\d+$", "try_cast(`{c}` AS BIGINT)"),
+    ("double", _NUMBER, "try_cast(`{c}` AS DOUBLE)"),
+    ("date", rf"^{_DAY}$", "try_cast(`{c}` AS DATE)"),
+    ("timestamp", rf"^{_DAY}([T ]\d{{2}}:\d{{2}}(:\d{{2}}(\.\d{{1,6}})?)?(Z|[+-]\d{{2}}:\d{{2}})?)?$", "try_cast(`{c}` AS TIMESTAMP)"),
+    ("boolean", r"^(?i)(true|false)$", "try_cast(`{c}` AS BOOLEAN)"),
+)
+
+
+def infer_types(text: DataFrame) -> DataFrame:
+    """(position, column_name, data_type, non_null, fits, counter_example), one row a text column.
+
+    The type is the narrowest that all values of the column have: int, bigint, double; date, timestamp;
+    boolean; else (or without any value) string.  ``fits`` counts the values of each type, and
+    ``counter_example`` is the least value that the most fitting type does not have (NULL where all fit).
+    One aggregate over the table, whose counts merge: partial in every task, one row after the shuffle.
+    """
+    sums = []
+    for i, c in enumerate(text.columns):
+        value = F.col(f"`{c}`")
+        sums.append(F.count(value).alias(f"n{i}"))
+        for kind, form, cast in _FORMS:
+            fits = F.coalesce(value.rlike(form) & F.expr(cast.format(c=c.replace("`", "``"))).isNotNull(), F.lit(False))
+            sums.append(F.count_if(fits).alias(f"{kind}{i}"))
+            sums.append(F.min(F.when(~fits, value)).alias(f"not_{kind}{i}"))
+    rows = []
+    for i, c in enumerate(text.columns):
+        n, found = F.col(f"n{i}"), [kind for kind, _, _ in _FORMS]
+        kind = F.lit("string")
+        for name in reversed(found):
+            kind = F.when((n > 0) & (F.col(f"{name}{i}") == n), name).otherwise(kind)
+        fits = F.create_map(*[x for name in found for x in (F.lit(name), F.col(f"{name}{i}"))])
+        best = F.greatest(*[F.col(f"{name}{i}") for name in found])
+        example = F.lit(None).cast("string")
+        for name in reversed(found):
+            example = F.when(F.col(f"{name}{i}") == best, F.col(f"not_{name}{i}")).otherwise(example)
+        rows.append(F.struct(
+            F.lit(i).alias("position"), F.lit(c).alias("column_name"), kind.alias("data_type"),
+            n.alias("non_null"), fits.alias("fits"), example.alias("counter_example")))
+    return text.agg(*sums).select(F.inline(F.array(*rows)))

@@ -18,8 +18,8 @@ from marquee.functions.udfs import count_items
 from marquee.operators import clean as C
 from marquee.operators import explore as E
 from marquee.operators import profile as P
-from marquee.sources import derived, files
-from marquee.sources.schema import CLEAN_COLUMNS, POSITIONAL_NAMES
+from marquee.sources import delimited, derived, files
+from marquee.sources.schema import CLEAN_COLUMNS, POSITIONAL_NAMES, RAW_COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,8 +35,17 @@ def query(key: str):
     return register
 
 
+def spread(spark: SparkSession) -> int:
+    """Tasks that the derived tables are dealt out to: as many as a shuffle has."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def raw(spark: SparkSession, sf: str) -> DataFrame:
-    return derived.raw_catalog(spark, sf)
+    return derived.raw_catalog(spark, sf, spread(spark))
+
+
+def release_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return derived.release_pages(spark, sf, spread(spark))
 
 
 def clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,7 +75,7 @@ AS_RUN = {
 @query("scan_tsv")
 def scan_tsv(spark, sf):
     path = _roundtrip_text(spark, sf, None, "scan_tsv")
-    return files.read_catalog_text(spark, f"{path}/part-*.csv", multiline=True)
+    return delimited.read_delimited(spark, f"{path}/part-*.csv", RAW_COLUMNS)
 
 
 @query("scan_tsv_gz")
@@ -80,10 +89,8 @@ def infer_schema(spark, sf):
     # Over the clean catalogue, so that numbers and dates are there to be found.
     path = files.scratch_path(spark, "infer_schema")
     files.write_catalog_text(clean(spark, sf), path)
-    text = files.read_catalog_text(
-        spark, f"{path}/part-*.csv", infer_schema=True, multiline=True, columns=CLEAN_COLUMNS
-    )
-    return P.schema_report(text)
+    text = delimited.read_delimited(spark, f"{path}/part-*.csv", CLEAN_COLUMNS)
+    return P.infer_types(text).select("position", "column_name", "data_type", "non_null")
 
 
 @query("parquet_roundtrip")
@@ -402,7 +409,7 @@ def join_inner(spark, sf):
 @query("join_left_outer")
 def join_left_outer(spark, sf):
     titles = clean(spark, sf).select("title_id", "title")
-    return E.attach_dates(titles, E.release_dates(derived.release_pages(spark, sf)))
+    return E.attach_dates(titles, E.release_dates(release_pages(spark, sf)))
 
 
 # --- 2.6 sort, limit, top-k -----------------------------------------------------
@@ -561,7 +568,7 @@ def performer_titles_named_exact(spark, sf):
 
 @query("page_release_date")
 def page_release_date(spark, sf):
-    return E.extract_field(derived.release_pages(spark, sf), "span", "release", alias="release_text")
+    return E.extract_field(release_pages(spark, sf), "span", "release", alias="release_text")
 
 
 @query("page_field")
@@ -572,7 +579,7 @@ def page_field(spark, sf):
 
 def _attached(spark, sf):
     return E.attach_dates(
-        _performer_titles(spark, sf), E.release_dates(derived.release_pages(spark, sf))
+        _performer_titles(spark, sf), E.release_dates(release_pages(spark, sf))
     )
 
 

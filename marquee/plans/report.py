@@ -20,8 +20,10 @@ from marquee.sources.files import materialize
 from marquee.sources.schema import CLEAN_COLUMNS
 
 
-def catalog_report(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return report_from(derived.raw_catalog(spark, sf_dir), derived.release_pages(spark, sf_dir))
+def catalog_report(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> dict[str, DataFrame]:
+    """``report_from`` the derived tables; ``partitions`` as for ``derived.raw_catalog``."""
+    return report_from(
+        derived.raw_catalog(spark, sf_dir, partitions), derived.release_pages(spark, sf_dir, partitions))
 
 
 def report_from(raw: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
