@@ -121,19 +121,32 @@ def strip_ws(c: str | Column) -> Column:
     return F.regexp_replace(col(c), r"^[\s\u00a0]+|[\s\u00a0]+$", "")
 
 
-def element_pattern(tag: str, css_class: str) -> str:
-    """Regex of a ``<tag class="... css_class ...">`` element; group 1 is all
-    that stands up to its closing tag (or the page's end).
-
-    Tag and attribute names match in any case, classes exactly; the value may be
-    quoted either way or bare.  Single characters are all that the pattern repeats, so long
-    tags and texts need no deep recursion.  Limits: an element of the same tag nested
-    inside ends the match at its closing tag, and attribute values are taken not
-    to hold ``>`` or a class attribute of their own.
+# Elements of HTML that have no content and no closing tag.
+VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+
+# What stands in a tag after its name, quoted values with any character but their quote.  Possessive
+# repeats only: no deep recursion on long tags and no backtracking over them.
+_IN_TAG = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_COMMENT = r"<!--(?s:.*?-->|.*+)"
+_MARK = "\u0000"
+_ANY_TAG = rf"</?[A-Za-z!]{_IN_TAG}"
+
+
+def element_start(tag: str, css_class: str) -> str:
+    """Regex of an opening tag ``<tag class="... css_class ...">``.
+
+    Tag and attribute names match in any case, classes exactly; values may be quoted
+    either way or bare, and a tag's first class attribute counts.
     """
     t, k = re.escape(tag), re.escape(css_class)
-    value = rf"""(?:"(?:[^">]*\s)?{k}(?:\s[^">]*)?"|'(?:[^'>]*\s)?{k}(?:\s[^'>]*)?'|{k}(?=[\s/>]))"""
-    return rf"<(?i:{t})(?=\s)[^>]*?\s(?i:class)\s*=\s*{value}[^>]*>((?s:.*?))(?:</(?i:{t})\s*>|\z)"
+    other = r"""\s++(?!(?i:class)\s*+=)[^\s"'>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+"""
+    value = rf"""(?:"(?:[^"]*\s)?{k}(?:\s[^"]*)?"|'(?:[^']*\s)?{k}(?:\s[^']*)?'|{k}(?=[\s/>]))"""
+    return rf"<(?i:{t})(?:{other})*+\s++(?i:class)\s*+=\s*+{value}{_IN_TAG}"
+
+
+def same_tag(tag: str) -> str:
+    """Regex of an opening or closing tag of that name."""
+    return rf"</?(?i:{re.escape(tag)})(?=[\s/>]){_IN_TAG}"
 
 
 # Basic character entities, decoded in this order ("&amp;" last so
@@ -152,10 +165,34 @@ def unescape_basic(c: str | Column) -> Column:
 
 def first_element_text(html: str | Column, tag: str, css_class: str) -> Column:
     """Text of the first matching element with all tags inside it taken out,
-    entity-decoded and stripped; NULL when no element matches."""
-    pattern = element_pattern(tag, css_class)
-    # One pass over the (large) page: the first match, NULL when none.  The
-    # pattern applied again to that short match yields the same group 1.
-    first = F.regexp_substr(col(html), F.lit(pattern))
-    inner = F.regexp_replace(F.regexp_extract(first, pattern, 1), r"<[^>]*>", "")
-    return strip_ws(unescape_basic(inner))
+    entity-decoded and stripped; NULL when no element matches.
+
+    The page is cut at its tags of that name, and a fold over them counts depth: the element ends where
+    its own closing tag brings depth back to zero, whatever elements of the same name it holds, or
+    at the page's end.  Comments and other tags are taken out first, ``>`` and tags inside quoted values end nothing, and a
+    void element has the empty text.  Limit: script and style text is read like any other.
+    """
+    cut = same_tag(tag)
+    # One pass from left to right, so that nothing inside a tag or a comment is taken for a tag.  A mark stays
+    # where something was taken out, so that what stood around it makes no new tag.
+    page = F.regexp_replace(col(html), rf"(?=<)(?:{_COMMENT}|({cut})|{_ANY_TAG})", f"$1{_MARK}")
+    rest = F.regexp_substr(page, F.lit(rf"{element_start(tag, css_class)}(?s:.*+)"))
+    if tag.lower() in VOID_TAGS:
+        return F.when(rest.isNotNull(), "")
+
+    def text(r: Column) -> Column:
+        tags = F.regexp_extract_all(r, F.lit(cut), F.lit(0))
+        ended = F.aggregate(
+            tags,
+            F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen")),
+            lambda s, t: F.when((s.seen > 0) & (s.depth == 0), s).otherwise(F.struct(
+                (s.depth + F.when(F.startswith(t, F.lit("</")), -1).otherwise(1)).alias("depth"),
+                (s.seen + 1).alias("seen"))),
+            # How many pieces after the opening tag belong to the element.
+            lambda s: F.when(s.depth == 0, s.seen - 1).otherwise(F.size(tags)),
+        )
+        return F.array_join(F.slice(F.split(r, cut), F.lit(2), F.greatest(ended, F.lit(0))), "")
+
+    # A lambda's argument is computed once, though it is used three times.
+    inner = F.get(F.transform(F.array(rest), text), 0)
+    return strip_ws(unescape_basic(F.replace(inner, F.lit(_MARK), F.lit(""))))
