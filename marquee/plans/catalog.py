@@ -18,6 +18,7 @@ from marquee.functions.udfs import count_items
 from marquee.operators import clean as C
 from marquee.operators import explore as E
 from marquee.operators import profile as P
+from marquee.operators import substring_index, topk
 from marquee.sources import delimited, derived, files
 from marquee.sources.schema import CLEAN_COLUMNS, POSITIONAL_NAMES, RAW_COLUMNS
 
@@ -540,6 +541,18 @@ def top_performer(spark, sf):
     return E.top_performer(music(spark, sf))
 
 
+@query("top_performers_bounded")
+def top_performers_bounded(spark, sf):
+    stored = files.materialize(clean(spark, sf).select("performers"), "performers")
+    return topk.top_items_bounded(E.explode_items(stored, "performers", "performer"), 10, "performer")
+
+
+@query("top_words_bounded")
+def top_words_bounded(spark, sf):
+    texts = derived.load_table(spark, sf, "documents").select("text")
+    return topk.top_items_bounded(E.explode_items(texts, "text", "word", sep=" "), 100, "word")
+
+
 def _performer_titles(spark, sf, name=None, exact=False):
     titles = music(spark, sf)
     who = E.top_performer_name(titles) if name is None else name
@@ -561,6 +574,12 @@ def performer_titles_named(spark, sf):
     return _performer_titles(spark, sf, name="Actor 1")
 
 
+@query("performer_titles_indexed")
+def performer_titles_indexed(spark, sf):
+    path = substring_index.build(music(spark, sf), "performers", files.scratch_path(spark, "performer_index"))
+    return substring_index.search(spark, path, "performers", ["Actor 1"]).drop("name")
+
+
 @query("performer_titles_named_exact")
 def performer_titles_named_exact(spark, sf):
     return _performer_titles(spark, sf, name="Actor 1", exact=True)

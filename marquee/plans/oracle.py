@@ -366,6 +366,12 @@ BODIES = {
     "performer_titles": "SELECT * FROM performer_titles",
     "performer_titles_exact": "SELECT * FROM music WHERE list_contains(string_split(performers, ', '), "
                               "(SELECT performer FROM top_performer))",
+    "top_performers_bounded": "SELECT performer, count(performer) AS appearances FROM (SELECT "
+                              "unnest(string_split(performers, ', ')) AS performer FROM clean_catalog) e "
+                              "GROUP BY performer ORDER BY appearances DESC, performer LIMIT 10",
+    "top_words_bounded": "SELECT word, count(word) AS appearances FROM (SELECT unnest(string_split(text, ' ')) "
+                         "AS word FROM documents) e GROUP BY word ORDER BY appearances DESC, word LIMIT 100",
+    "performer_titles_indexed": "SELECT * FROM music WHERE contains(performers, 'Actor 1')",
     "performer_titles_named": "SELECT * FROM music WHERE contains(performers, 'Actor 1')",
     "performer_titles_named_exact": "SELECT * FROM music WHERE "
                                     "list_contains(string_split(performers, ', '), 'Actor 1')",

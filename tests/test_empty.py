@@ -17,7 +17,8 @@ def empty_dir(spark, sf0001):
     path = files.scratch_path(spark, "empty_sf")
     orders = derived.load_table(spark, sf0001, "orders")
     orders.limit(0).write.parquet(os.path.join(path, "orders.parquet"))
-    derived.load_table(spark, sf0001, "pages").limit(0).write.parquet(os.path.join(path, "pages.parquet"))
+    for name in ("pages", "documents"):
+        derived.load_table(spark, sf0001, name).limit(0).write.parquet(os.path.join(path, f"{name}.parquet"))
     return path
 
 
