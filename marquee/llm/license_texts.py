@@ -33,6 +33,13 @@ _NAMES = [
     ("MPL-2.0", "Mozilla Public License, version 2.0"),
 ]
 
+# Names that need no "License" after them, and what they stand for.
+SHORT_NAMES = {
+    "MIT": "MIT", "ISC": "ISC", "Apache 2.0": "Apache-2.0", "Apache-2.0": "Apache-2.0", "BSD 3-Clause": "BSD-3-Clause",
+    "BSD-3-Clause": "BSD-3-Clause", "BSD 2-Clause": "BSD-2-Clause", "BSD-2-Clause": "BSD-2-Clause", "GPLv2": "GPL-2.0",
+    "GPLv3": "GPL-3.0", "LGPLv3": "LGPL-3.0", "AGPLv3": "AGPL-3.0", "MPL 2.0": "MPL-2.0", "MPL-2.0": "MPL-2.0",
+}
+
 
 def _forms() -> list[tuple[str, str]]:
     out = [
@@ -51,6 +58,8 @@ def _forms() -> list[tuple[str, str]]:
             names += [(known, f"{name}, version {version}"), (known, f"{name} v{version}"), (known, f"{short} v{version}"), (known, f"{short}v{version}")]
     for verb in ("licensed under the", "released under the", "distributed under the", "available under the", "under the terms of the"):
         out += [(known, f"{verb} {name}") for known, name in names]
+    for short, known in SHORT_NAMES.items():
+        out += [(known, f"licensed under {short}"), (known, f"License: {short}"), (known, f"{short} licensed")]
     for short, name in _CC.items():
         for version in ("4.0", "3.0"):
             out.append((f"{short}-{version}", f"Creative Commons {name} {version}"))
@@ -61,3 +70,15 @@ def _forms() -> list[tuple[str, str]]:
 FORMS = tuple(_forms())
 # SPDX identifiers whose license goes by a shorter name here.
 SPDX_SUFFIX = ("-only", "-or-later", "+")
+# Words of the licenses' names: where a form writes them with a capital, they must stand as they are.
+NAME_WORDS = frozenset(
+    word.lower()
+    for name in [*(n for _, n in _NAMES), *(n for n, _ in _GNU.values()), *_GNU, *_CC, *_CC.values(), *SHORT_NAMES, "Creative Commons", "CC0 Universal"]
+    for word in name.replace(",", "").split()
+) - {"license", "version"}
+# SPDX identifiers that are confirmed besides those of the forms (fixed values).
+OTHER_IDENTIFIERS = (
+    "0BSD", "AFL-3.0", "Artistic-2.0", "BSD-4-Clause", "BSL-1.0", "CDDL-1.0", "ECL-2.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2",
+    "GFDL-1.3", "GPL-1.0", "LGPL-2.0", "LPPL-1.3c", "MIT-0", "MPL-1.1", "MS-PL", "MS-RL", "NCSA", "ODbL-1.0", "OFL-1.1",
+    "OSL-3.0", "PostgreSQL", "PSF-2.0", "Python-2.0", "UPL-1.0", "WTFPL", "X11", "ZPL-2.1", "curl",
+)

@@ -1,4 +1,6 @@
 import json
+import random
+import time
 
 import pytest
 
@@ -64,6 +66,70 @@ def test_several_notices_in_one_line():
     assert confirmed("Released under the MIT License and licensed under the Apache License 2.0") == {"MIT", "Apache-2.0"}
 
 
+def test_spdx_expressions_end_where_their_grammar_does():
+    assert confirmed("SPDX-License-Identifier: none of your business") == set()
+    assert confirmed("SPDX-License-Identifier: (MIT OR GPL-3.0-or-later) AND Zlib as ever") == {"MIT", "GPL-3.0", "Zlib"}
+    assert confirmed("SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception-2.0") == {"GPL-2.0"}
+    (entry,) = L.scan("// SPDX-License-Identifier: Own-9 AND", L.ALL_FORMS, 0.1)
+    assert (entry["license"], entry["confirmed"], entry["differences"]) == ("Own-9", False, ["+Own-9"])
+
+
+@pytest.mark.parametrize("before", ["This is not ", "It is no longer ", "That isn't ", "The code was never\n"])
+def test_a_negation_before_the_notice_denies_it(before):
+    (entry,) = L.scan(before + "licensed under the MIT License.", L.ALL_FORMS, 0.1)
+    assert not entry["confirmed"] and entry["differences"][0].lower().startswith("+")
+
+
+def test_what_is_no_denial():
+    assert confirmed("This is not only free but licensed under the MIT License.") == {"MIT"}
+    assert confirmed("I do not care\nAll rights reserved.") == {"all-rights-reserved"}
+    assert confirmed("If not, ask; licensed under the MIT License.") == {"MIT"}
+
+
+def test_short_wordings():
+    assert confirmed("Licensed under MIT.") == confirmed("License: MIT") == {"MIT"}
+    assert confirmed("Apache 2.0 licensed") == {"Apache-2.0"}
+    assert confirmed("Licensed under MIT Press terms") == set()
+
+
+def test_only_what_saves_is_confirmed(monkeypatch):
+    """Without a saving no wording is tried: the ranking decides, not the words alone."""
+    text = "Released under the MIT License. Licensed under the Apache License, Version 2.0."
+    assert confirmed(text) == {"MIT", "Apache-2.0"}
+    winners = L._winners
+    monkeypatch.setattr(L, "_winners", lambda *a: [(0 if n == "MIT" else s, n, w) for s, n, w in winners(*a)])
+    assert "MIT" not in confirmed(text) and "Apache-2.0" in confirmed(text)
+
+
+def test_forms_changed_word_by_word():
+    """A tenth of a form's words may change, none that identifies it; every form, alone in prose."""
+    rng = random.Random(5)
+    for name, wording in L.ALL_FORMS:
+        words, own, _ = L._wanted(wording)
+        places = [m.span() for m in L._WORD.finditer(wording)]
+        free = [i for i, o in enumerate(own) if not o and 0 < i < len(words) - 1]
+        some = sorted(rng.sample(free, min(len(free), len(words) // 10)), reverse=True)
+        changed = wording
+        for i in some:
+            changed = changed[: places[i][0]] + "otherwise" + changed[places[i][1] :]
+        assert name in confirmed(f"Prose of some kind.\n{changed}\nMore prose."), (name, changed)
+        if any(own):
+            a, b = places[rng.choice([i for i, o in enumerate(own) if o])]
+            assert name not in confirmed(f"Prose of some kind.\n{wording[:a]}Zzz{wording[b:]}\nMore prose."), (name, wording)
+
+
+def test_time_grows_with_length():
+    def run(n):
+        text = "".join(f"licensed under the MIT License, w{i} " for i in range(n))
+        began = time.process_time()
+        found = L.scan(text, L.ALL_FORMS, 0.1)
+        assert [b["license"] for b in found] == ["MIT"] * n
+        return time.process_time() - began
+
+    run(500)
+    assert run(8000) < 8 * run(2000)  # four times the text; the square would be sixteen
+
+
 def test_dirty_rows(spark, dirty):
     notice = spark.createDataFrame([(20, "x " * 50_000 + "\nAll rights reserved.\n" + "y " * 50_000)], "doc_id long, text string")
     docs = dirty.unionByName(notice, allowMissingColumns=True)
