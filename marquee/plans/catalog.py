@@ -21,6 +21,7 @@ from marquee.operators import profile as P
 from marquee.operators import substring_index, topk
 from marquee.sources import delimited, derived, files
 from marquee.sources.schema import CLEAN_COLUMNS, POSITIONAL_NAMES, RAW_COLUMNS
+from marquee.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -643,3 +644,14 @@ def export_clean_counted(spark, sf):
     counted = clean(spark, sf).withColumn("country_count", X.item_count("countries"))
     path = files.write_parquet(counted, files.scratch_path(spark, "clean_export"))
     return spark.read.parquet(path)
+
+
+@query("clean_incremental")
+def clean_incremental(spark, sf):
+    # The text lands in files; each trigger cleans some of them, and all epochs but the last are folded into a base.
+    path = files.scratch_path(spark, "incremental")
+    files.write_catalog_text(raw(spark, sf), f"{path}/in")
+    stream = incremental.catalog_stream(spark, f"{path}/in", max_files_per_trigger=4, multiline=True)
+    incremental.start_clean_stream(stream, f"{path}/out", f"{path}/state").awaitTermination()
+    incremental.compact(spark, f"{path}/out")
+    return incremental.read_clean(spark, f"{path}/out")

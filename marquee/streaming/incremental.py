@@ -9,9 +9,15 @@ appends them, tagged with the epoch, to a change table.  Readers take the newest
 version of every id (``read_clean``), which equals ``clean_catalog`` over all
 files seen so far.
 
+Reading every epoch ever written would cost more with each: ``compact`` folds epochs into a base of the
+rows that are valid now, and ``read_clean`` reads the newest base and only the epochs after it, so its
+cost follows the live ids and the latest changes.  ``expire`` removes what no reader needs any more.
+
 Failure behaviour: the aggregation state and the source offsets live in the
 checkpoint location; a replayed epoch rewrites its own ``epoch=N`` folder with
-identical rows, so the change table stays exact.
+identical rows, so the change table stays exact.  A base counts once Spark has committed it
+(its ``_SUCCESS`` file); a compaction that was killed leaves a folder that readers pass over and the next run
+writes anew.  An epoch replayed after it was folded in is passed over too.
 """
 
 from __future__ import annotations
@@ -20,11 +26,12 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from marquee.operators import clean as C
 from marquee.sources.files import UNQUOTED_EMPTY
-from marquee.sources.schema import CLEAN_COLUMNS, RAW_SCHEMA
+from marquee.sources.schema import CLEAN_COLUMNS, CLEAN_SCHEMA, RAW_SCHEMA
 
 
 def catalog_stream(
@@ -79,17 +86,99 @@ def start_clean_stream(
     return writer.start()
 
 
-def read_clean(spark: SparkSession, output_path: str) -> DataFrame:
-    """Current clean catalogue: newest version of every id, valid ones only.
+BASE = "_base"  # Spark's readers pass over folders that begin with an underscore
+_CHANGE_FIELDS = [*CLEAN_SCHEMA.fields, T.StructField("valid", T.BooleanType())]
+
+
+def _folders(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers N, ascending, of the committed folders ``prefix=N`` in ``path``."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    found = []
+    for status in fs.listStatus(root) if fs.exists(root) else []:
+        name, _, number = status.getPath().getName().partition("=")
+        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+        if name == prefix and number.isdigit() and fs.exists(done):
+            found.append(int(number))
+    return sorted(found)
+
+
+def _base(spark: SparkSession, output_path: str) -> tuple[int, DataFrame | None]:
+    """(last epoch folded in, valid rows then) of the newest committed base; (-1, None) before the first."""
+    bases = _folders(spark, os.path.join(output_path, BASE), "through")
+    if not bases:
+        return -1, None
+    return bases[-1], spark.read.schema(CLEAN_SCHEMA).parquet(os.path.join(output_path, BASE, f"through={bases[-1]}"))
+
+
+def _newest(spark: SparkSession, output_path: str, epochs: list[int]) -> DataFrame:
+    """The newest version of every id that changed in ``epochs``, tombstones included.
 
     ``max_by`` per id is an aggregate (partial + final), so an id rewritten in
     many epochs costs one buffer row per map task.
     """
-    changes = spark.read.parquet(output_path)
-    newest = changes.groupBy("title_id").agg(
-        F.max_by(F.struct(*[c for c in changes.columns if c not in ("title_id", "epoch")]),
-                 "epoch").alias("_row")
-    )
-    return newest.filter(F.col("_row.valid")).select(
-        "title_id", *[F.col(f"_row.{c}").alias(c) for c in CLEAN_COLUMNS if c != "title_id"]
+    schema = T.StructType([*_CHANGE_FIELDS, T.StructField("epoch", T.LongType())])
+    paths = [os.path.join(output_path, f"epoch={n}") for n in epochs]
+    if paths:
+        changes = spark.read.schema(schema).option("basePath", output_path).parquet(*paths)
+    else:
+        changes = spark.createDataFrame([], schema)
+    row = F.struct(*[f.name for f in _CHANGE_FIELDS if f.name != "title_id"])
+    return changes.groupBy("title_id").agg(F.max_by(row, "epoch").alias("_row"))
+
+
+def _current(base: DataFrame | None, newest: DataFrame) -> DataFrame:
+    """The base without the ids that changed since, and their newest rows where these are valid.  The base is
+    joined by the changed ids only and never aggregated."""
+    valid = newest.filter(F.col("_row.valid")).select(
+        *[F.col("title_id" if c == "title_id" else f"_row.{c}").alias(c) for c in CLEAN_COLUMNS]
     )
+    if base is None:
+        return valid
+    kept = base.select(*CLEAN_COLUMNS).join(newest.select("title_id"), "title_id", "left_anti")
+    return kept.select(*CLEAN_COLUMNS).unionByName(valid)
+
+
+def read_clean(spark: SparkSession, output_path: str) -> DataFrame:
+    """Current clean catalogue: newest version of every id, valid ones only.  Opens the newest base and the
+    epochs after it; no epoch yet gives no rows."""
+    through, base = _base(spark, output_path)
+    later = [n for n in _folders(spark, output_path, "epoch") if n > through]
+    return _current(base, _newest(spark, output_path, later))
+
+
+def compact(spark: SparkSession, output_path: str, through: int | None = None) -> int:
+    """Fold the epochs up to ``through`` into a new base; returns the last epoch that the newest base holds (-1: none).
+
+    By default all but the newest epoch, which alone may be written again after a failure.  Running it
+    again, also after it was killed, gives the same base; an id whose newest version is invalid is not in it.
+    """
+    done, base = _base(spark, output_path)
+    epochs = [n for n in _folders(spark, output_path, "epoch") if n > done]
+    epochs = [n for n in epochs if n <= through] if through is not None else epochs[:-1]
+    if not epochs:
+        return done
+    target = os.path.join(output_path, BASE, f"through={epochs[-1]}")
+    rows = _current(base, _newest(spark, output_path, epochs))
+    # Clustered by id, so that reads of a range of ids skip row groups.
+    rows.repartitionByRange("title_id").sortWithinPartitions("title_id").write.mode("overwrite").parquet(target)
+    return epochs[-1]
+
+
+def expire(spark: SparkSession, output_path: str, keep_bases: int = 2) -> int:
+    """Delete the bases but for the newest ``keep_bases``, and the epochs that the oldest of those holds; returns
+    how many folders went.  Readers that began with a kept base go on undisturbed; repeatable."""
+    if keep_bases < 1:
+        raise ValueError("a base must stay")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    bases = _folders(spark, os.path.join(output_path, BASE), "through")
+    if not bases:
+        return 0
+    oldest = bases[-keep_bases:][0]
+    old = [os.path.join(output_path, BASE, f"through={n}") for n in bases if n < oldest]
+    old += [os.path.join(output_path, f"epoch={n}") for n in _folders(spark, output_path, "epoch") if n <= oldest]
+    for name in old:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    return len(old)
