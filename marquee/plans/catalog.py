@@ -19,7 +19,7 @@ from marquee.operators import clean as C
 from marquee.operators import explore as E
 from marquee.operators import profile as P
 from marquee.operators import substring_index, topk
-from marquee.sources import delimited, derived, files
+from marquee.sources import clustered, delimited, derived, files
 from marquee.sources.schema import CLEAN_COLUMNS, POSITIONAL_NAMES, RAW_COLUMNS
 from marquee.streaming import incremental
 
@@ -646,6 +646,13 @@ def export_clean_counted(spark, sf):
     return spark.read.parquet(path)
 
 
+@query("export_clean_clustered")
+def export_clean_clustered(spark, sf):
+    path = files.scratch_path(spark, "clean_clustered")
+    clustered.write_clustered(clean(spark, sf), path, "kind", "release_year")
+    return clustered.read_clustered(spark, path, "release_year", 2000, 2005)
+
+
 @query("clean_incremental")
 def clean_incremental(spark, sf):
     # The text lands in files; each trigger cleans some of them, and all epochs but the last are folded into a base.

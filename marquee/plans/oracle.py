@@ -392,6 +392,7 @@ BODIES = {
                            f"count(*) FILTER (WHERE {_COUNT_ITEMS} > 1) AS coproduced_titles FROM clean_catalog",
     "coproduction_counts_music": f"SELECT count(*) FILTER (WHERE {_COUNT_ITEMS} = 1) AS solo_titles, "
                                  f"count(*) FILTER (WHERE {_COUNT_ITEMS} > 1) AS coproduced_titles FROM music",
+    "export_clean_clustered": "SELECT * FROM clean_catalog WHERE release_year BETWEEN 2000 AND 2005",
     "clean_incremental": "SELECT * FROM clean_catalog",
     "export_clean": "SELECT * FROM clean_catalog",
     "export_clean_counted": f"SELECT *, {_COUNT_ITEMS} AS country_count FROM clean_catalog",

@@ -87,6 +87,20 @@ def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def committed_folders(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers N, ascending, of the folders ``prefix=N`` in ``path`` that a finished Spark job wrote."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    found = []
+    for status in fs.listStatus(root) if fs.exists(root) else []:
+        name, _, number = status.getPath().getName().partition("=")
+        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+        if name == prefix and number.isdigit() and fs.exists(done):
+            found.append(int(number))
+    return sorted(found)
+
+
 def read_catalog_text(
     spark: SparkSession,
     path: str,

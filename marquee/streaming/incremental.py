@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from marquee.operators import clean as C
-from marquee.sources.files import UNQUOTED_EMPTY
+from marquee.sources.files import UNQUOTED_EMPTY, committed_folders
 from marquee.sources.schema import CLEAN_COLUMNS, CLEAN_SCHEMA, RAW_SCHEMA
 
 
@@ -90,23 +90,9 @@ BASE = "_base"  # Spark's readers pass over folders that begin with an underscor
 _CHANGE_FIELDS = [*CLEAN_SCHEMA.fields, T.StructField("valid", T.BooleanType())]
 
 
-def _folders(spark: SparkSession, path: str, prefix: str) -> list[int]:
-    """Numbers N, ascending, of the committed folders ``prefix=N`` in ``path``."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    found = []
-    for status in fs.listStatus(root) if fs.exists(root) else []:
-        name, _, number = status.getPath().getName().partition("=")
-        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name == prefix and number.isdigit() and fs.exists(done):
-            found.append(int(number))
-    return sorted(found)
-
-
 def _base(spark: SparkSession, output_path: str) -> tuple[int, DataFrame | None]:
     """(last epoch folded in, valid rows then) of the newest committed base; (-1, None) before the first."""
-    bases = _folders(spark, os.path.join(output_path, BASE), "through")
+    bases = committed_folders(spark, os.path.join(output_path, BASE), "through")
     if not bases:
         return -1, None
     return bases[-1], spark.read.schema(CLEAN_SCHEMA).parquet(os.path.join(output_path, BASE, f"through={bases[-1]}"))
@@ -144,7 +130,7 @@ def read_clean(spark: SparkSession, output_path: str) -> DataFrame:
     """Current clean catalogue: newest version of every id, valid ones only.  Opens the newest base and the
     epochs after it; no epoch yet gives no rows."""
     through, base = _base(spark, output_path)
-    later = [n for n in _folders(spark, output_path, "epoch") if n > through]
+    later = [n for n in committed_folders(spark, output_path, "epoch") if n > through]
     return _current(base, _newest(spark, output_path, later))
 
 
@@ -155,7 +141,7 @@ def compact(spark: SparkSession, output_path: str, through: int | None = None) -
     again, also after it was killed, gives the same base; an id whose newest version is invalid is not in it.
     """
     done, base = _base(spark, output_path)
-    epochs = [n for n in _folders(spark, output_path, "epoch") if n > done]
+    epochs = [n for n in committed_folders(spark, output_path, "epoch") if n > done]
     epochs = [n for n in epochs if n <= through] if through is not None else epochs[:-1]
     if not epochs:
         return done
@@ -172,12 +158,12 @@ def expire(spark: SparkSession, output_path: str, keep_bases: int = 2) -> int:
     if keep_bases < 1:
         raise ValueError("a base must stay")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    bases = _folders(spark, os.path.join(output_path, BASE), "through")
+    bases = committed_folders(spark, os.path.join(output_path, BASE), "through")
     if not bases:
         return 0
     oldest = bases[-keep_bases:][0]
     old = [os.path.join(output_path, BASE, f"through={n}") for n in bases if n < oldest]
-    old += [os.path.join(output_path, f"epoch={n}") for n in _folders(spark, output_path, "epoch") if n <= oldest]
+    old += [os.path.join(output_path, f"epoch={n}") for n in committed_folders(spark, output_path, "epoch") if n <= oldest]
     for name in old:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)

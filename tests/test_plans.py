@@ -5,7 +5,7 @@ import pytest
 from marquee.plans.catalog import QUERIES
 
 # Keys whose callables write files before returning (checked elsewhere).
-SIDE_EFFECT = {"clean_incremental", "scan_tsv", "scan_tsv_gz", "infer_schema", "parquet_roundtrip", "export_clean",
+SIDE_EFFECT = {"clean_incremental", "export_clean_clustered", "scan_tsv", "scan_tsv_gz", "infer_schema", "parquet_roundtrip", "export_clean",
                "export_clean_counted"}
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas")
 

@@ -58,7 +58,7 @@ def test_compaction_survives_kills_and_reads_only_live_rows(spark, sf0001):
     kept = {}
 
     def keep():
-        for n in S._folders(spark, out, "epoch"):
+        for n in files.committed_folders(spark, out, "epoch"):
             if n not in kept:
                 copy = files.scratch_path(spark, f"epoch-{n}")
                 spark.read.parquet(os.path.join(out, f"epoch={n}")).withColumn("epoch", F.lit(n).cast("long")).write.parquet(copy)
