@@ -130,9 +130,12 @@ def _ranked(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): doc_id, size,
-    source_size, target, taken.
+    source_size, target, taken, first_slot, last_slot, n_slots.
 
-    Null and empty texts have size 0 and nothing is taken of them; null sources are
+    The slots say when the mix reads the document: the first and last place in time that hold words of
+    it, and how many places do, counted anew in every pass.  Whoever reads in the order of ``first_slot`` has the sources
+    at their weights in any long stretch.
+    Null and empty texts have size 0 and nothing is taken of them, in no slot (null, null, 0); null sources are
     one source, the last.  Repeated rows count each.  Other columns are ignored; an
     empty table gives no rows.
     """
@@ -140,10 +143,14 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     targets = written(source_targets(sized), "targets")
     ranked = _ranked(sized, targets)
     pieces = mix(ranked.select("row", "doc_id", "source_rank", "size"), targets, block)
-    taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"))
+    taken = pieces.groupBy("row").agg(
+        F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"),
+        F.count(F.lit(1)).alias("n_slots"),
+    )
     return ranked.join(taken, "row", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
-    )
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
+        "first_slot", "last_slot", F.coalesce("n_slots", F.lit(0)).alias("n_slots"),
+    )
 
 
 @pandas_udf(T.StringType())
@@ -198,11 +205,35 @@ level AS (
 targets AS (
   SELECT source, s, least(w * coalesce((SELECT level FROM level), 1e300), 2.0 * s)::DOUBLE AS target FROM weighed),
 stream AS (
-  SELECT d.doc_id, d.size, t.s, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS quota,
+  SELECT row_number() OVER () AS row, d.source, d.doc_id, d.size, t.s, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS quota,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(CAST(d.doc_id AS VARCHAR)), d.doc_id) - d.size AS begins
-  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, s AS source_size, target,
-       CAST(greatest(0, least(begins + size, quota) - begins) + greatest(0, least(begins + s + size, quota) - begins - s) AS BIGINT)
-         AS taken
-FROM stream
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+-- Slots, in time's order: the points of each source's interval by their reversed bits.
+counted AS (
+  SELECT source, CAST(ceil(floor(target + 0.5) / 64) AS BIGINT) AS slots,
+         CAST(coalesce(sum(ceil(floor(target + 0.5) / 64)) OVER (
+           ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_point
+  FROM targets),
+points AS (
+  SELECT source, unnest(range(first_point, first_point + slots)) AS v,
+         (SELECT greatest(1, length(bin(greatest(0, sum(slots)::BIGINT - 1))))::INTEGER FROM counted) AS bits
+  FROM counted),
+timed AS (SELECT source, CAST('0b' || reverse(lpad(bin(v), bits, '0')) AS BIGINT) AS slot FROM points),
+schedule AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS block FROM timed),
+passes AS (
+  SELECT row, source, greatest(0, least(begins + size, quota) - begins) AS words, begins AS low, least(begins + size, quota) AS high FROM stream
+  UNION ALL
+  SELECT row, source, greatest(0, least(begins + s + size, quota) - begins - s), begins + s, least(begins + s + size, quota) FROM stream),
+spans AS (
+  SELECT row, source, words, CAST(low AS BIGINT) // 64 AS first_block, (CAST(high AS BIGINT) - 1) // 64 AS last_block
+  FROM passes WHERE words > 0),
+placed AS (
+  SELECT p.row, sum(p.words) AS taken, min(f.slot) AS first_slot, max(l.slot) AS last_slot,
+         sum(p.last_block - p.first_block + 1) AS n_slots
+  FROM spans p JOIN schedule f ON f.source IS NOT DISTINCT FROM p.source AND f.block = p.first_block
+  JOIN schedule l ON l.source IS NOT DISTINCT FROM p.source AND l.block = p.last_block
+  GROUP BY p.row)
+SELECT doc_id, CAST(size AS BIGINT) AS size, s AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken,
+       CAST(first_slot AS BIGINT) AS first_slot, CAST(last_slot AS BIGINT) AS last_slot, CAST(coalesce(n_slots, 0) AS BIGINT) AS n_slots
+FROM stream d LEFT JOIN placed p ON d.row = p.row
 """
