@@ -10,6 +10,7 @@ from array import array
 # new pre-token in the tokenizers used here, so a text may be encoded piece by piece.
 _PIECES = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+_LINE = re.compile(r"(?<=[A-Za-z.,;:!?])\n(?=[A-Za-z])")
 CACHE_LIMIT = 400_000  # pieces used of late that one Python worker remembers; up to as many older ones
 
 
@@ -23,7 +24,7 @@ def split_pieces(text: str) -> list[str]:
 class _Pieces(dict):
     """piece -> little-endian unsigned 32-bit ids, encoded when first seen."""
 
-    def __init__(self, tokenizer, prefix: str):
+    def __init__(self, tokenizer, prefix: str, head: _Pieces | None = None):
         super().__init__()
         self.tokenizer, self.prefix, self.model = tokenizer, prefix, tokenizer.model
         self.normalize = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
@@ -34,12 +35,31 @@ class _Pieces(dict):
         self.old: dict[str, bytes] = {}
         ids = {mark: tokenizer.encode(mark, add_special_tokens=False).ids for mark in ".,;:!?"}
         self.marks = {mark: array("I", found).tobytes() for mark, found in ids.items()}
+        self.letters = self._letters()
+        self.plain = re.compile(f"[A-Za-z{''.join(map(chr, self.letters))}]+").fullmatch
+        # Between two other characters a line break is a pre-token of its own, or none, and no word after it has a prefix.
+        self.head = self if head is None else head
+        whole = tokenizer.encode("a\nb", add_special_tokens=False).ids
+        self.line = array("I", whole[1:-1]).tobytes() if len(whole) in (2, 3) else None
+
+    def _letters(self) -> dict[int, str]:
+        """Accented Latin letters that are written alike in any word, and how (with the capitals that are folded)."""
+        out = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"} if self.folds else {}
+        for c in filter(str.isalpha, map(chr, range(0xC0, 0x250))):
+            word = self.pre_tokenize(self.normalize(f"a{c}b"))
+            if len(word) == 1 and (within := re.fullmatch("a(.+)b", word[0][0])):
+                first = self.pre_tokenize(self.normalize(f"{self.prefix}{c}b"))
+                if len(first) == 1 and first[0][0] == f"{self.written}{within[1]}b":
+                    out[ord(c)] = within[1]
+        return out
 
     def _encode(self, piece: str) -> bytes:
         """The tokenizer's own steps without the record of offsets that a whole
         call makes; special tokens (``<...>``) are left to the whole call."""
         if piece.isascii() and piece.isalpha():
             parts = [self.written + (piece.lower() if self.folds else piece)]
+        elif self.plain(piece):
+            parts = [self.written + piece.translate(self.letters)]
         elif "<" in piece:
             return array("I", self.tokenizer.encode(self.prefix + piece, add_special_tokens=False).ids).tobytes()
         else:
@@ -49,9 +69,11 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if piece in self.old:
             ids = self.old[piece]
-        elif piece[-1:] in self.marks and piece[-2:-1].isascii() and piece[-2:-1].isalpha():
+        elif piece[-1:] in self.marks and self.plain(piece[-2:-1]):
             # A mark after a letter is a pre-token of its own.
             ids = self[piece[:-1]] + self.marks[piece[-1]]
+        elif self.line is not None and "\n" in piece and "<" not in piece and (cut := _LINE.search(piece)):
+            ids = self[piece[: cut.start()]] + self.line + self.head[piece[cut.end() :]]
         else:
             ids = self._encode(piece)
         if len(self) >= CACHE_LIMIT:
@@ -69,7 +91,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.head, self.tail = _Pieces(tokenizer, ""), _Pieces(tokenizer, " ")
+        self.head = _Pieces(tokenizer, "")
+        self.tail = _Pieces(tokenizer, " ", self.head)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of ``text``."""

@@ -45,6 +45,15 @@ def test_piecewise_ids_on_any_text(pair, text):
     assert same(pair, text)
 
 
+def test_piecewise_ids_of_accents_marks_and_line_breaks(pair):
+    rng = random.Random(3)
+    latin = [chr(c) for c in range(0xC0, 0x250)]
+    usual = list("abcXYZ'.,;:!?-<| \n\t1") + ["\n", "\n", " ", " ", "\u0301", "\u0307", "\u03a3"]
+    for _ in range(30_000):
+        text = "".join(rng.choice(usual if rng.random() < 0.7 else latin) for _ in range(rng.randint(1, 14)))
+        assert same(pair, text), text
+
+
 def check(rows, texts, capacity=1024):
     tokenizer = Tokenizer.from_file(BYTE)
     ids = [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for _, t in texts]
