@@ -72,8 +72,9 @@ class _Pieces(dict):
         elif piece[-1:] in self.marks and self.plain(piece[-2:-1]):
             # A mark after a letter is a pre-token of its own.
             ids = self[piece[:-1]] + self.marks[piece[-1]]
-        elif self.line is not None and "\n" in piece and "<" not in piece and (cut := _LINE.search(piece)):
-            ids = self[piece[: cut.start()]] + self.line + self.head[piece[cut.end() :]]
+        elif self.line is not None and "\n" in piece and "<" not in piece and _LINE.search(piece):
+            first, *lines = _LINE.split(piece)
+            ids = self.line.join([self[first], *map(self.head.__getitem__, lines)])
         else:
             ids = self._encode(piece)
         if len(self) >= CACHE_LIMIT:

@@ -54,6 +54,10 @@ def test_piecewise_ids_of_accents_marks_and_line_breaks(pair):
         assert same(pair, text), text
 
 
+def test_a_word_a_line_for_many_lines(pair):
+    assert same(pair, "\n".join(f"word{'abcdefg'[i % 7]}." for i in range(30_000)))
+
+
 def check(rows, texts, capacity=1024):
     tokenizer = Tokenizer.from_file(BYTE)
     ids = [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for _, t in texts]
