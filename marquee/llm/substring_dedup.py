@@ -6,25 +6,30 @@ passage is covered whichever sentences stand around it.  Spans whose hash occurs
 than once are joined globally; sentences covered by any span that is not the first of its
 kind are removed.
 
-A passage that begins and ends inside sentences is found word by word: every window of
-``RUN_WORDS`` words that occurred before goes.  Windows are told by the least hash of their short
-word runs, which equal windows share; only where that least hash occurs more than once are
-the windows themselves hashed and joined, so none is missed.
+Spans of a text that lie as far from their first copies, word for word, make up one copied
+region.  A passage that begins and ends inside sentences is found word by word around them: every
+window of ``RUN_WORDS`` words that occurred before goes.  Windows inside a copied region go with
+their sentences and are never first of their kind, so none of them is hashed.  The others are told
+by the least hash of their short word runs, which equal windows share; only where that least
+hash occurs more than once are the windows themselves hashed and joined, so none is missed.
+
+Texts are taken apart many at once, character class by character class (numpy); ``sentences``
+says what a sentence is.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
+from functools import cache, cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from marquee.llm.common import written
 from marquee.llm.shingles import slices
@@ -32,22 +37,22 @@ from marquee.llm.shingles import slices
 LEAST_SENTENCES, LEAST_WORDS = 2, 24  # a span has at least so many of both,
 ALONE_WORDS = 40  # or so many words in one sentence
 RUN_WORDS, SEED_WORDS = 50, 20  # a repeated run wherever it begins has so many words; words of a short run
-KNOWN_WORDS = 1 << 19  # bound on the word hashes that a Python worker remembers
+BYTES_AT_ONCE = 1 << 20  # texts of so many bytes are taken apart together; a longer one comes alone
 
 # A sentence, or a clause of one, ends after its marks and the white space that
 # follows, or at a line's end.  Clauses keep the parts short, so that little of a passage
 # is lost where it begins and ends within a sentence.
 # Full-width marks end it wherever they stand: no white space follows them.
-_FULL_WIDTH = "。！？，、；：．｡､"
+_MARKS, _FULL_WIDTH, _CLOSERS = ".!?…,;:", "。！？，、；：．｡､", "」』）】》〉”’"
 _SENTENCE = re.compile(
-    rf"[^\n.!?…,;:{_FULL_WIDTH}]*"
-    rf"(?:[.!?…,;:]*[{_FULL_WIDTH}][.!?…,;:{_FULL_WIDTH}」』）】》〉”’]*|[.!?…,;:]+(?=\s|$)|[.!?…,;:]|\n|$)\s*"
+    rf"[^\n{_MARKS}{_FULL_WIDTH}]*"
+    rf"(?:[{_MARKS}]*[{_FULL_WIDTH}][{_MARKS}{_FULL_WIDTH}{_CLOSERS}]*|[{_MARKS}]+(?=\s|$)|[{_MARKS}]|\n|$)\s*"
 )
 # Where words are written without spaces between them, a character is a word: Thai to
 # Myanmar, Khmer, kana, Han.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 _WORDS = re.compile(rf"(?=\w)[{_UNSPACED}]|[^\W{_UNSPACED}]+")
-_CLOSED = re.compile(rf"[{_FULL_WIDTH}][.!?…,;:{_FULL_WIDTH}」』）】》〉”’]*$")
+_CLOSED = re.compile(rf"[{_FULL_WIDTH}][{_MARKS}{_FULL_WIDTH}{_CLOSERS}]*$")
 
 
 def sentences(text: str) -> list[str]:
@@ -64,83 +69,33 @@ def sentences(text: str) -> list[str]:
     return out + [held] if held else out
 
 
-def spans(text: str, least_sentences: int, least_words: int, alone_words: int) -> list[tuple[int, int, int]]:
-    """(first sentence, last sentence, hash of the words) of every span."""
-    parts = [_WORDS.findall(s.lower()) for s in sentences(text)]
-    sizes = np.cumsum([0] + [len(p) for p in parts])
-    full = [i for i, p in enumerate(parts) if p]  # sentences without a word don't count
-    rank = {s: r for r, s in enumerate(full)}
-    found = set()
-
-    def enough(i: int, j: int) -> bool:
-        words = sizes[j + 1] - sizes[i]
-        several = rank[j] - rank[i] + 1 >= least_sentences
-        return words >= least_words and (several or words >= alone_words)
-
-    j = 0
-    for i in full:
-        while j < len(full) and (full[j] < i or not enough(i, full[j])):
-            j += 1
-        if j == len(full):
-            break
-        found.add((i, full[j]))
-    i = len(full) - 1
-    for j in reversed(full):
-        while i >= 0 and (full[i] > j or not enough(full[i], j)):
-            i -= 1
-        if i < 0:
-            break
-        found.add((full[i], j))
-    words = [" ".join(p) for p in parts]
-    return [
-        (i, j, xxhash.xxh3_64_intdigest(" ".join(w for w in words[i : j + 1] if w)) - (1 << 63))
-        for i, j in sorted(found)
-    ]
-
-
-def _spans_of(least_sentences: int, least_words: int, alone_words: int):
-    names = ["first", "last", "hash"]
-
-    def run(batches):
-        row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for a, b in slices(batch.column(1)):
-                part = batch.slice(a, b - a)
-                found, ends, counts = [], [0], []
-                for text in part.column(1).to_pylist():
-                    found += spans(text or "", least_sentences, least_words, alone_words)
-                    ends.append(len(found))
-                    counts.append(len(sentences(text or "")))
-                table = np.array(found, np.int64).reshape(-1, 3)
-                fields = [pa.array(table[:, i].astype(t)) for i, t in enumerate((np.int32, np.int32, np.int64))]
-                rows = pa.array(np.arange(row, row + b - a))
-                row += b - a
-                yield pa.RecordBatch.from_arrays(
-                    [rows, *part.columns, pa.array(counts, pa.int32()),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, names))],
-                    names=["row", *part.schema.names, "n_sentences", "spans"],
-                )
-
-    return run
-
-
-class _Hashes(dict):
-    """Word, case aside -> 64-bit hash."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word.lower())
-        return found
+_LETTER, _ALONE, _SPACE, _NEWLINE, _MARK, _FULL, _CLOSER, _WALL = range(1, 9)
+_U = np.uint64
+_BASE = _U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
+_INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 
 
-_hashes = _Hashes()
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Class and lower case of every code point (itself, where that is not one character)."""
+    points = "".join(map(chr, range(0x110000)))
+    kind, lower = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for pattern, value in ((r"\w+", _LETTER), (rf"(?:(?=\w)[{_UNSPACED}])+", _ALONE), (r"\s+", _SPACE)):
+        for m in re.finditer(pattern, points):
+            kind[m.start() : m.end()] = value
+    for characters, value in (("\n", _NEWLINE), (_MARKS, _MARK), (_FULL_WIDTH, _FULL), (_CLOSERS, _CLOSER)):
+        kind[[ord(c) for c in characters]] = value
+    for c in points:
+        small = c.lower()
+        if small != c and len(small) == 1:
+            lower[ord(c)] = ord(small)
+    return kind, lower
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
 
 def _joined(x: np.ndarray, n: int, join) -> np.ndarray:
@@ -159,26 +114,182 @@ def _joined(x: np.ndarray, n: int, join) -> np.ndarray:
         size *= 2
 
 
-def _runs(text: str, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all windows of ``run_words`` words, the least hash of a short
-    run in each, and the least hashes, once for every place where one stands."""
-    words = np.fromiter(map(_hashes.__getitem__, _WORDS.findall(text)), np.uint64)
+def _stretches(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of every run of true values."""
+    steps = np.diff(mask.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    return np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+
+
+def _holds(mask: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which stretches have a true value."""
+    places = np.flatnonzero(mask)
+    return np.searchsorted(places, end) > np.searchsorted(places, begin)
+
+
+@dataclass
+class _Parsed:
+    """Words and sentences of several texts, as if they stood one after the other.
+
+    Text ``r`` begins at character ``starts[r]``; it has the words ``word_rows[r]`` to ``word_rows[r + 1]``
+    (hashed case aside, character by character) and the sentences ``sentence_rows[r]`` to ``sentence_rows[r + 1]``.
+    """
+
+    starts: np.ndarray
+    begin: np.ndarray  # first character of each word,
+    end: np.ndarray  # the one after it,
+    words: np.ndarray  # and its hash
+    word_rows: np.ndarray
+    sentence_ends: np.ndarray
+    sentence_rows: np.ndarray
+
+    @cached_property
+    def _sums(self) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.words)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.words * np.cumprod(np.full(n, _BASE)), out=sums[1:])
+        return sums, np.cumprod(np.full(n + 1, _INVERSE))
+
+    def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hash of the words ``a`` to ``b`` (exclusive)."""
+        sums, inverse = self._sums
+        return _mixed((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
+
+
+def _parse(texts: list[str]) -> _Parsed:
+    kinds, lower = _characters()
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    starts = np.concatenate([[0], np.cumsum(lengths + 1)])
+    points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = kinds[points]
+    kind[starts[1:-1] - 1] = _WALL
+    alone = kind == _ALONE
+    begin, end = _stretches(kind == _LETTER)
+    if alone.any():
+        begin = np.sort(np.concatenate([begin, np.flatnonzero(alone)]))
+        end = np.sort(np.concatenate([end, np.flatnonzero(alone) + 1]))
+    sizes = end - begin
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(sizes.sum()) - np.repeat(first, sizes)
+    letters = lower[points[place + np.repeat(begin, sizes)]].astype(np.uint64)
+    letters = _mixed((letters << _U(32)) + place.astype(np.uint64) + _U(1))
+    words = _mixed(np.add.reduceat(letters, first)) if len(first) else np.zeros(0, np.uint64)
+    # White space ends a sentence if a mark stands before it or a line ends in it.  Marks with a
+    # full-width one among them end it by themselves.
+    tail, tail_end = _stretches((kind == _MARK) | (kind == _FULL) | (kind == _CLOSER))
+    tail_end = tail_end[_holds(kind == _FULL, tail, tail_end)]
+    newline = kind == _NEWLINE
+    space, space_end = _stretches(newline | (kind == _SPACE))
+    after_mark = (kind[np.maximum(space - 1, 0)] == _MARK) & (space > 0)
+    ends = space_end[_holds(newline, space, space_end) | after_mark | np.isin(space, tail_end)]
+    ends = np.unique(np.concatenate([ends, tail_end[~np.isin(tail_end, space)], (starts[:-1] + lengths)[lengths > 0]]))
+    return _Parsed(starts, begin, end, words, np.searchsorted(begin, starts), ends, np.searchsorted(ends, starts, side="right"))
+
+
+def _found_spans(p: _Parsed, least_sentences: int, least_words: int, alone_words: int) -> tuple[np.ndarray, ...]:
+    """row, first sentence, last sentence, first word, words (all within their text), hash of every span."""
+    counts = np.diff(np.searchsorted(p.begin, p.sentence_ends), prepend=0)
+    full = np.flatnonzero(counts)  # sentences without a word don't count
+    at = np.concatenate([[0], np.cumsum(counts[full])])
+    rows = np.searchsorted(full, p.sentence_rows)
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    k = np.arange(len(full))
+    several = np.minimum(k + least_sentences - 1, np.searchsorted(at, at[:-1] + alone_words) - 1)
+    last = np.maximum(np.searchsorted(at, at[:-1] + least_words) - 1, several)
+    forward = last < rows[row + 1]
+    several = np.maximum(k - least_sentences + 1, np.searchsorted(at, at[1:] - alone_words, side="right") - 1)
+    first = np.minimum(np.searchsorted(at, at[1:] - least_words, side="right") - 1, several)
+    backward = first >= rows[row]
+    n = len(full) + 1
+    i, j = np.divmod(np.unique(np.concatenate([k[forward] * n + last[forward], first[backward] * n + k[backward]])), n)
+    own = row[i] if len(i) else i
+    return (own, full[i] - p.sentence_rows[own], full[j] - p.sentence_rows[own], at[i] - p.word_rows[own],
+            at[j + 1] - at[i], p.hashes(at[i], at[j + 1]).view(np.int64))
+
+
+def spans(text: str, least_sentences: int, least_words: int, alone_words: int) -> list[tuple[int, int, int]]:
+    """(first sentence, last sentence, hash of the words) of every span."""
+    _, first, last, _, _, found = _found_spans(_parse([text]), least_sentences, least_words, alone_words)
+    return list(zip(first.tolist(), last.tolist(), found.tolist(), strict=True))
+
+
+def _texts(column: pa.Array) -> list[str]:
+    return [t or "" for t in column.to_pylist()]
+
+
+def _list(rows: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """``values``, ascending by row, as one list for each of ``n`` rows."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32()), values)
+
+
+_SPAN = {"first": np.int32, "last": np.int32, "at": np.int64, "words": np.int64, "hash": np.int64}
+
+
+def _spans_of(least_sentences: int, least_words: int, alone_words: int):
+    def run(batches):
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for a, b in slices(batch.column(1), BYTES_AT_ONCE):
+                part = batch.slice(a, b - a)
+                p = _parse(_texts(part.column(1)))
+                own, *found = _found_spans(p, least_sentences, least_words, alone_words)
+                fields = [pa.array(x.astype(t)) for x, t in zip(found, _SPAN.values(), strict=True)]
+                rows = pa.array(np.arange(row, row + b - a))
+                row += b - a
+                yield pa.RecordBatch.from_arrays(
+                    [rows, *part.columns, pa.array(np.diff(p.sentence_rows).astype(np.int32)),
+                     _list(own, b - a, pa.StructArray.from_arrays(fields, list(_SPAN)))],
+                    names=["row", *part.schema.names, "n_sentences", "spans"],
+                )
+
+    return run
+
+
+def _fields(lists: pa.Array, names: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Row and fields of every struct in a column of lists; null lists are empty."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    return np.repeat(np.arange(len(sizes)), sizes), [flat.field(n).to_numpy(zero_copy_only=False) for n in names]
+
+
+def _in_copies(p: _Parsed, copied: pa.Array, run_words: int) -> np.ndarray:
+    """For every word, whether the window that begins there lies in one copied region."""
+    row, (at, words, of, there) = _fields(copied, ["at", "words", "from_row", "from_at"])
+    order = np.lexsort((at, there - at, of, row))
+    row, at, words, of, there = (x[order] for x in (row, at, words, of, there))
+    same = np.zeros(len(row), bool)
+    same[1:] = (np.diff(row) == 0) & (np.diff(of) == 0) & (np.diff(there - at) == 0)
+    # Regions that follow each other without a gap are one; ends are compared within a group.
+    group = np.cumsum(~same) * (len(p.words) + 1)
+    reach = np.maximum.accumulate(group + at + words) if len(at) else at
+    joined = same.copy()
+    joined[1:] &= at[1:] + group[1:] <= reach[:-1]
+    starts = np.flatnonzero(~joined)
+    begin = (p.word_rows[row] + at)[starts]
+    end = begin + np.maximum.reduceat(reach, starts) - (group + at)[starts] if len(starts) else begin
+    steps = np.zeros(len(p.words) + 1, np.int64)
+    long = end - begin >= run_words
+    np.add.at(steps, begin[long], 1)
+    np.add.at(steps, end[long] - run_words + 1, -1)
+    return np.cumsum(steps)[:-1] > 0
+
+
+def _windows(p: _Parsed, run_words: int, skipped: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words of the windows of ``run_words`` words that are not skipped, the least hash
+    of a short run in each, and the least hashes' places, once for every place where one stands."""
+    n, seed = len(p.words), min(SEED_WORDS, run_words)
     none = np.zeros(0, np.int64)
-    if len(words) < run_words:
+    if n < run_words:
         return none, none, none
-    seed = min(SEED_WORDS, run_words)
-    short = _joined(words, seed, lambda x, y: _mixed(x * np.uint64(3) + y))
-    whole = _joined(words, run_words, lambda x, y: _mixed(x * np.uint64(3) + y))
+    row = np.repeat(np.arange(len(p.word_rows) - 1), np.diff(p.word_rows))
+    starts = np.arange(n - run_words + 1)
+    held = (starts + run_words <= p.word_rows[row[starts] + 1]) & ~skipped[starts]
+    short = np.arange(n - seed + 1)
+    short = p.hashes(short, short + seed)
     width = run_words - seed + 1
     least = _joined(short, width, np.minimum)
     edge = np.zeros(width - 1, np.uint64)
-    stands = short == _joined(np.concatenate([edge, least, edge]), width, np.maximum)
-    return whole.view(np.int64), least.view(np.int64), short[stands].view(np.int64)
-
-
-def _lists(names: list[str], columns, found: list[np.ndarray]) -> pa.RecordBatch:
-    ends = pa.array(np.cumsum([0] + [len(f) for f in found]), pa.int32())
-    return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))], names)
+    greatest = _joined(np.concatenate([edge, np.where(held, least, _U(0)), edge]), width, np.maximum)
+    return starts[held], least[held].view(np.int64), np.flatnonzero((short == greatest) & (greatest > 0))
 
 
 def _seeds_of(run_words: int):
@@ -186,10 +297,13 @@ def _seeds_of(run_words: int):
 
     def run(batches):
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), BYTES_AT_ONCE):
                 part = batch.slice(a, b - a)
-                found = [_runs(t or "", run_words)[2] for t in part.column(1).to_pylist()]
-                yield _lists(["row", "seeds"], [part.column(0)], found)
+                p = _parse(_texts(part.column(1)))
+                _, _, places = _windows(p, run_words, _in_copies(p, part.column(2), run_words))
+                found = p.hashes(places, places + min(SEED_WORDS, run_words)).view(np.int64)
+                own = np.searchsorted(p.word_rows, places, side="right") - 1
+                yield pa.RecordBatch.from_arrays([part.column(0), _list(own, b - a, pa.array(found))], ["row", "seeds"])
 
     return run
 
@@ -199,28 +313,32 @@ def _windows_of(run_words: int):
 
     def run(batches):
         for batch in batches:
-            for row, doc_id, text, again in zip(*(batch.column(i) for i in range(4)), strict=True):
-                whole, least, _ = _runs(text.as_py() or "", run_words)
-                at = np.flatnonzero(np.isin(least, again.values.to_numpy(zero_copy_only=False)))
+            for a, b in slices(batch.column(2), BYTES_AT_ONCE):
+                part = batch.slice(a, b - a)
+                rows, doc_ids, texts, copied, again = part.columns
+                p = _parse(_texts(texts))
+                at, least, _ = _windows(p, run_words, _in_copies(p, copied, run_words))
+                # What one text has and another's windows meet by chance is joined in vain, no more.
+                at = at[np.isin(least, again.flatten().to_numpy(zero_copy_only=False))]
+                own = np.searchsorted(p.word_rows, at, side="right") - 1
                 for i in range(0, len(at), 1 << 16):
-                    here = at[i : i + (1 << 16)]
-                    same = [pa.array([x.as_py()], pa.int64()).take(pa.array(np.zeros(len(here), np.int64))) for x in (row, doc_id)]
+                    here, of = at[i : i + (1 << 16)], own[i : i + (1 << 16)]
                     yield pa.RecordBatch.from_arrays(
-                        [*same, pa.array(here), pa.array(whole[here])], names=["row", "doc_id", "at", "hash"])
+                        [rows.take(pa.array(of)), doc_ids.take(pa.array(of)), pa.array(here - p.word_rows[of]),
+                         pa.array(p.hashes(here, here + run_words).view(np.int64))], names=["row", "doc_id", "at", "hash"])
 
     return run
 
 
-def _repeated_runs(made: DataFrame, run_words: int) -> DataFrame:
-    """row, starts: the windows that are not the first of their kind.  A window
-    that overlaps the first one is no copy of it."""
-    texts = made.select("row", "doc_id", "text")
-    seeds = written(texts.select("row", "text").mapInArrow(_seeds_of(run_words), "row long, seeds array<long>"), "seeds")
-    each = seeds.select("row", F.explode("seeds").alias("seed"))
+def _repeated_runs(texts: DataFrame, run_words: int) -> DataFrame:
+    """row, starts: the windows of ``texts`` (row, doc_id, text, copied) outside copied regions that are
+    not the first of their kind.  A window that overlaps the first one is no copy of it."""
+    seeds = texts.select("row", "text", "copied").mapInArrow(_seeds_of(run_words), "row long, seeds array<long>")
+    each = written(seeds, "seeds").select("row", F.explode("seeds").alias("seed"))
     often = written(each.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "often")
     # A text has no more seeds than words.
     again = each.join(often.hint("merge"), "seed").groupBy("row").agg(F.collect_set("seed").alias("again"))
-    held = texts.join(written(again, "again").hint("merge"), "row").select("row", "doc_id", "text", "again")
+    held = texts.join(written(again, "again").hint("merge"), "row").select("row", "doc_id", "text", "copied", "again")
     windows = held.mapInArrow(_windows_of(run_words), "row long, doc_id long, at long, hash long")
     windows = written(windows, "windows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at")
@@ -234,37 +352,51 @@ def _repeated_runs(made: DataFrame, run_words: int) -> DataFrame:
 _AFTER = re.compile(r"[^\w\s]*\s*")
 
 
-def without(text: str, removed, starts, run_words: int) -> str:
-    """``text`` without the sentences ``removed`` and the windows at ``starts``,
-    each with the marks and the white space after it."""
-    gone, at = [], 0
-    drop = set(removed)
-    for i, s in enumerate(sentences(text) if drop else []):
-        if i in drop:
-            gone.append((at, at + len(s)))
-        at += len(s)
+def cuts(p: _Parsed, row: int, text: str, removed: np.ndarray, starts: np.ndarray, run_words: int) -> list[tuple[int, int]]:
+    """Character ranges of ``text`` that go, ascending and apart: the sentences ``removed`` and the windows
+    at ``starts``, each with the marks and the white space after it."""
+    zero = p.starts[row]
+    ends = p.sentence_ends[p.sentence_rows[row] : p.sentence_rows[row + 1]] - zero
+    begins = np.concatenate([[0], ends[:-1]])
+    gone = list(zip(begins[removed].tolist(), ends[removed].tolist(), strict=True))
     if len(starts):
-        places = [m.span() for m in _WORDS.finditer(text)]
-        starts = np.sort(starts)
+        starts = np.sort(starts) + p.word_rows[row]
         for group in np.split(starts, np.flatnonzero(np.diff(starts) > run_words) + 1):
-            last = places[group[-1] + run_words - 1][1]
-            gone.append((places[group[0]][0], _AFTER.match(text, last).end()))
-    out, at = [], 0
+            last = int(p.end[group[-1] + run_words - 1] - zero)
+            gone.append((int(p.begin[group[0]] - zero), _AFTER.match(text, last).end()))
+    out: list[tuple[int, int]] = []
     for a, b in sorted(gone):
-        out.append(text[at:a])
-        at = max(at, b)
-    return "".join(out) + text[at:]
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _without(run_words: int):
-    @pandas_udf(T.StringType())
-    def cut(texts: pd.Series, gone: pd.Series, starts: pd.Series) -> pd.Series:
-        return pd.Series([
-            t if t is None or not (len(g) or len(s)) else without(t, g, s, run_words)
-            for t, g, s in zip(texts, gone, starts, strict=True)
-        ], dtype=object)
+    """doc_id, n_sentences, removed, cuts, clean_text from doc_id, text, n_sentences, removed, starts."""
 
-    return cut
+    def run(batches):
+        for batch in batches:
+            for a, b in slices(batch.column(1), BYTES_AT_ONCE):
+                part = batch.slice(a, b - a)
+                doc_ids, texts, counts, removed, starts = part.columns
+                held = texts.to_pylist()
+                touched = [i for i, t in enumerate(held) if t and (len(removed[i].values) or len(starts[i].values))]
+                p = _parse([held[i] for i in touched])
+                gone: list[list] = [[] for _ in held]
+                for r, i in enumerate(touched):
+                    text = held[i]
+                    found = cuts(p, r, text, removed[i].values.to_numpy(), starts[i].values.to_numpy(), run_words)
+                    gone[i] = [{"start": x, "end": y} for x, y in found]
+                    edges = [0, *(e for c in found for e in c), len(text)]
+                    held[i] = "".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
+                kept = pa.array(gone, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+                yield pa.RecordBatch.from_arrays(
+                    [doc_ids, counts, removed, kept, pa.array(held, pa.string())],
+                    names=["doc_id", "n_sentences", "removed", "cuts", "clean_text"])
+
+    return run
 
 
 def repeated_sentences(
@@ -274,12 +406,13 @@ def repeated_sentences(
     alone_words: int = ALONE_WORDS,
     run_words: int = RUN_WORDS,
 ) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_sentences, removed
-    (numbers of the sentences that go, from 0, ascending), clean_text.
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_sentences, removed (numbers of the sentences
+    under a repeated span, from 0, ascending), cuts (all character ranges that go, ascending and
+    apart), clean_text (what the cuts leave).
 
     Spans are equal when their words are, case aside.  The first of equal spans is that
     of the smallest doc_id (null last), then the earliest row and sentence; the same passage
-    twice in one document counts as repeated.  ``clean_text`` is also without every other run of
+    twice in one document counts as repeated.  Cuts are the sentences ``removed`` and every other run of
     ``run_words`` words or more that occurred before, wherever in a sentence it begins.  Null text stays null, with no sentence; texts too short
     for a span stay whole; of repeated rows the first keeps its text.  Other columns
     are ignored; an empty table gives no rows.
@@ -288,23 +421,27 @@ def repeated_sentences(
     schema = T.StructType([
         T.StructField("row", T.LongType()), *rows.schema.fields, T.StructField("n_sentences", T.IntegerType()),
         T.StructField("spans", T.ArrayType(T.StructType([
-            T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()),
-            T.StructField("hash", T.LongType())]))),
+            T.StructField(n, T.IntegerType() if t is np.int32 else T.LongType()) for n, t in _SPAN.items()]))),
     ])
     made = written(rows.mapInArrow(_spans_of(least_sentences, least_words, alone_words), schema), "spans")
     each = made.select("row", "doc_id", F.explode("spans").alias("s")).select("row", "doc_id", "s.*")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "first")
-    repeated = each.groupBy("hash").agg(F.count("*").alias("n"), F.min(order).alias("original")).filter("n > 1")
-    repeated = written(repeated.select("hash", "original.row", "original.first"), "repeated")
-    again = each.join(repeated.toDF("hash", "from_row", "from_first"), "hash")
-    again = again.filter("row != from_row OR first != from_first")
-    gone = again.select("row", F.explode(F.sequence("first", "last")).alias("i"))
-    # A document has no more sentences than its own text.
-    gone = gone.groupBy("row").agg(F.array_sort(F.collect_set("i")).alias("removed"))
-    gone = written(gone, "removed")
-    runs = written(_repeated_runs(made, run_words), "repeated_runs")
-    out = made.select("row", "doc_id", "text", "n_sentences").join(gone, "row", "left").join(runs, "row", "left")
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    starts = F.coalesce("starts", F.array().cast("array<long>"))
-    clean = _without(run_words)("text", removed, starts)
-    return out.select("doc_id", "n_sentences", removed.alias("removed"), clean.alias("clean_text"))
+    often = each.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
+    often = written(often, "often")
+    shared = written(each.join(often.hint("merge"), "hash"), "shared")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "first", "at")
+    original = shared.groupBy("hash").agg(F.min(order).alias("o"))
+    original = original.select("hash", F.col("o.row").alias("from_row"), F.col("o.at").alias("from_at"))
+    again = shared.join(written(original, "original").hint("merge"), "hash").filter("row != from_row OR at != from_at")
+    # A document has no more spans than its own text.
+    copied = again.groupBy("row").agg(F.collect_list(F.struct("first", "last", "at", "words", "from_row", "from_at")).alias("copied"))
+    texts = made.select("row", "doc_id", "text", "n_sentences").join(copied, "row", "left")
+    texts = written(texts, "copied")
+    runs = written(_repeated_runs(texts.select("row", "doc_id", "text", "copied"), run_words), "repeated_runs")
+    none = F.array().cast("array<int>")
+    removed = F.array_sort(F.array_distinct(F.flatten(F.transform("copied", lambda c: F.sequence(c["first"], c["last"])))))
+    out = texts.join(runs, "row", "left").select(
+        "doc_id", "text", "n_sentences", F.coalesce(removed, none).alias("removed"),
+        F.coalesce("starts", F.array().cast("array<long>")).alias("starts"))
+    return out.mapInArrow(
+        _without(run_words),
+        "doc_id long, n_sentences int, removed array<int>, cuts array<struct<start:long,end:long>>, clean_text string")

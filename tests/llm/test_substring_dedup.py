@@ -1,5 +1,7 @@
+import random
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -84,6 +86,85 @@ def test_planted_passages_inside_sentences(spark):
     assert got == {0: rows[0][1], 1: f"{own[1]} {own[1][::-1]}.", 2: f"{own[2]} {own[2][::-1]}.", 3: rows[3][1]}
 
 
+def cut_by_hand(rows):
+    """clean_text: the sentences of repeated spans and all windows that occurred before, one by one."""
+    n, order = S.RUN_WORDS, sorted(range(len(rows)), key=lambda i: (rows[i].doc_id is None, rows[i].doc_id or 0, i))
+    seen, first, out = {}, {}, [None] * len(rows)
+    for i in order:
+        text = rows[i].text
+        if text is None:
+            continue
+        gone, ends = set(), np.cumsum([0] + [len(x) for x in S.sentences(text)])
+        for a, b, words in sorted(spans(text)):
+            if words in first:
+                gone |= set(range(ends[a], ends[b + 1]))
+            else:
+                first[words] = True
+        places = [m.span() for m in S._WORDS.finditer(text)]
+        words = [text[a:b].lower() for a, b in places]
+        for at in range(len(words) - n + 1):
+            of, there = seen.setdefault(tuple(words[at : at + n]), (i, at))
+            if of != i or at >= there + n:
+                gone |= set(range(places[at][0], S._AFTER.match(text, places[at + n - 1][1]).end()))
+        out[i] = "".join(c for k, c in enumerate(text) if k not in gone)
+    return sorted(([r.doc_id, out[i]] for i, r in enumerate(rows)), key=str)
+
+
+def cut(df):
+    return sorted(([r.doc_id, r.clean_text] for r in df.collect()), key=str)
+
+
+def test_clean_text_against_brute_force(spark):
+    """Pieces of one another, cut anywhere, joined again, doubled, and marked otherwise."""
+    draw, docs = random.Random(5), []
+    for d in range(60):
+        words = [draw.choice(["", "É"]) + f"w{draw.randrange(4000)}" + draw.choice([" ", " ", " ", ", ", ". ", "\n"]) for _ in range(draw.randrange(150))]
+        for _ in range(draw.randrange(5)):
+            if docs:
+                old = draw.choice(docs)
+                a = draw.randrange(len(old) + 1)
+                piece = old[a : a + draw.randrange(140)]
+                if draw.random() < 0.3:
+                    piece = [re.sub(r"\W+$", draw.choice([" ", "; "]), w).upper() for w in piece]
+                at = draw.randrange(len(words) + 1)
+                words[at:at] = piece * draw.choice([1, 1, 2])
+        docs.append(words)
+    rows = [(d % 50, "".join(w)) for d, w in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1).sortWithinPartitions("doc_id", "text")
+    rows = df.collect()
+    found = S.repeated_sentences(df)
+    assert result(found) == brute_force(rows)
+    assert cut(found) == cut_by_hand(rows)
+
+
+def test_cuts_say_what_goes(spark, sf0001):
+    """``clean_text`` is the text without ``cuts``, which hold all sentences of ``removed``."""
+    docs = spark.read.parquet(f"{sf0001}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = S.repeated_sentences(docs).collect()
+    assert cut(S.repeated_sentences(docs)) == cut_by_hand(docs.collect()) and any(r.cuts for r in rows)
+    for r in rows:
+        text, at, kept = texts[r.doc_id], 0, ""
+        for c in r.cuts:
+            assert at <= c.start < c.end <= len(text)
+            kept, at = kept + text[at : c.start], c.end
+        assert kept + text[at:] == (r.clean_text or "")
+        ends = np.cumsum([0] + [len(x) for x in S.sentences(text)])
+        assert all(any(c.start <= ends[i] and ends[i + 1] <= c.end for c in r.cuts) for i in r.removed)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aÉ_老 .!?\n\r1。」,;", max_size=60), min_size=1, max_size=4))
+def test_texts_are_taken_apart_as_defined(texts):
+    p = S._parse(texts)
+    for r, text in enumerate(texts):
+        ends = p.sentence_ends[p.sentence_rows[r] : p.sentence_rows[r + 1]] - p.starts[r]
+        assert ends.tolist() == np.cumsum([len(x) for x in S.sentences(text)]).tolist()
+        words = slice(p.word_rows[r], p.word_rows[r + 1])
+        found = zip(p.begin[words] - p.starts[r], p.end[words] - p.starts[r], strict=True)
+        assert list(found) == [m.span() for m in S._WORDS.finditer(text)]
+
+
 def test_text_without_spaces(spark):
     """A passage inside a longer line, and one of under 40 stretches on a line of its own."""
     passage = "老港口在山的后面，每天早晨船在日出之前离开。码头上没有人说话，直到它们都走了！然后市场开门，一天的喧闹就开始了。"
@@ -99,9 +180,12 @@ def test_text_without_spaces(spark):
 @given(st.lists(st.sampled_from(["a", "b", "C c", "d."]), max_size=80), st.integers(2, 30))
 def test_equal_windows_share_a_least_hash(parts, n):
     words = [w.lower() for w in re.findall(r"\w+", " ".join(parts))]
-    whole, least, seeds = S._runs(" ".join(parts), n)
+    p = S._parse([" ".join(parts)])
+    at, least, places = S._windows(p, n, np.zeros(len(words), bool))
     windows = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
-    assert len(whole) == len(least) == len(windows) and len(set(whole.tolist())) == len(set(windows))
+    assert at.tolist() == list(range(len(windows))) and len(least) == len(windows)
+    assert len(set(p.hashes(at, at + n).tolist())) == len(set(windows))
+    seeds = p.hashes(places, places + min(S.SEED_WORDS, n)).view(np.int64)
     for i, w in enumerate(windows):
         if windows.count(w) > 1:
             assert seeds.tolist().count(least[i]) > 1
