@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marquee.llm.common import written
+from marquee.llm.common import written, written_by
 from marquee.llm.shingles import slices
 
 LEAST_SENTENCES, LEAST_WORDS = 2, 24  # a span has at least so many of both,
@@ -434,14 +434,14 @@ def repeated_sentences(
     again = shared.join(written(original, "original").hint("merge"), "hash").filter("row != from_row OR at != from_at")
     # A document has no more spans than its own text.
     copied = again.groupBy("row").agg(F.collect_list(F.struct("first", "last", "at", "words", "from_row", "from_at")).alias("copied"))
-    texts = made.select("row", "doc_id", "text", "n_sentences").join(copied, "row", "left")
-    texts = written(texts, "copied")
-    runs = written(_repeated_runs(texts.select("row", "doc_id", "text", "copied"), run_words), "repeated_runs")
     none = F.array().cast("array<int>")
     removed = F.array_sort(F.array_distinct(F.flatten(F.transform("copied", lambda c: F.sequence(c["first"], c["last"])))))
-    out = texts.join(runs, "row", "left").select(
-        "doc_id", "text", "n_sentences", F.coalesce(removed, none).alias("removed"),
-        F.coalesce("starts", F.array().cast("array<long>")).alias("starts"))
+    texts = made.select("row", "doc_id", "text", "n_sentences").join(copied, "row", "left")
+    # Texts are moved once: the windows' seeds and starts come to their buckets.
+    texts = written_by(texts.withColumn("removed", F.coalesce(removed, none)), "copied", "row")
+    runs = written(_repeated_runs(texts.select("row", "doc_id", "text", "copied"), run_words), "repeated_runs")
+    out = texts.select("row", "doc_id", "text", "n_sentences", "removed").join(runs.hint("merge"), "row", "left").select(
+        "doc_id", "text", "n_sentences", "removed", F.coalesce("starts", F.array().cast("array<long>")).alias("starts"))
     return out.mapInArrow(
         _without(run_words),
         "doc_id long, n_sentences int, removed array<int>, cuts array<struct<start:long,end:long>>, clean_text string")

@@ -141,8 +141,9 @@ def test_cuts_say_what_goes(spark, sf0001):
     """``clean_text`` is the text without ``cuts``, which hold all sentences of ``removed``."""
     docs = spark.read.parquet(f"{sf0001}/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
-    rows = S.repeated_sentences(docs).collect()
-    assert cut(S.repeated_sentences(docs)) == cut_by_hand(docs.collect()) and any(r.cuts for r in rows)
+    found = S.repeated_sentences(docs).persist()
+    rows = found.collect()
+    assert cut(found) == cut_by_hand(docs.collect()) and any(r.cuts for r in rows)
     for r in rows:
         text, at, kept = texts[r.doc_id], 0, ""
         for c in r.cuts:
@@ -165,6 +166,13 @@ def test_texts_are_taken_apart_as_defined(texts):
         assert list(found) == [m.span() for m in S._WORDS.finditer(text)]
 
 
+def test_texts_are_moved_once(spark, sf0001):
+    """The joins on the bucketed texts shuffle seeds and starts only."""
+    found = S.repeated_sentences(spark.read.parquet(f"{sf0001}/documents.parquet"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "text" not in plan[plan.index("Exchange") :], plan
+
+
 def test_text_without_spaces(spark):
     """A passage inside a longer line, and one of under 40 stretches on a line of its own."""
     passage = "老港口在山的后面，每天早晨船在日出之前离开。码头上没有人说话，直到它们都走了！然后市场开门，一天的喧闹就开始了。"
