@@ -13,6 +13,11 @@ Reading every epoch ever written would cost more with each: ``compact`` folds ep
 rows that are valid now, and ``read_clean`` reads the newest base and only the epochs after it, so its
 cost follows the live ids and the latest changes.  ``expire`` removes what no reader needs any more.
 
+A trigger brings few rows, the state holds all ids: the state lives in RocksDB on the executors' disks, so that
+their memory does not grow with it, and a trigger commits the changed rows only.  It is dealt to no more
+partitions than tasks run at once, since every one of them costs files at every trigger.  A checkpoint keeps the store
+and the number of partitions that it began with.
+
 Failure behaviour: the aggregation state and the source offsets live in the
 checkpoint location; a replayed epoch rewrites its own ``epoch=N`` folder with
 identical rows, so the change table stays exact.  A base counts once Spark has committed it
@@ -23,6 +28,8 @@ writes anew.  An epoch replayed after it was folded in is passed over too.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,12 +66,42 @@ def _later_stages(rows: DataFrame) -> DataFrame:
 
 def _writer(output_path: str):
     def write(batch: DataFrame, epoch_id: int) -> None:
-        out = _later_stages(batch).withColumn("epoch", F.lit(epoch_id).cast("long"))
-        out.write.mode("overwrite").parquet(os.path.join(output_path, f"epoch={epoch_id}"))
+        # The folder names the epoch.  As a column of the rows it would be a constant in the generated code, which
+        # every trigger would then compile, and begin to run, anew.
+        _later_stages(batch).write.mode("overwrite").parquet(os.path.join(output_path, f"epoch={epoch_id}"))
 
     return write
 
 
+_STORE = "spark.sql.streaming.stateStore"
+STATE_CONF = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STORE}.rocksdb.trackTotalNumberOfRows": "false",  # would look every row up once more
+    f"{_STORE}.rocksdb.boundedMemoryUsage": "true",
+}
+
+
+@contextmanager
+def _state_conf(spark: SparkSession) -> Iterator[None]:
+    """The settings of the state, for a stream that starts meanwhile (it copies them); what the session sets of the
+    store stays as it is, and all is put back afterwards."""
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    wanted = {k: v for k, v in STATE_CONF.items() if spark.conf.get(k, None) is None}
+    wanted["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def start_clean_stream(
     stream: DataFrame,
     output_path: str,
@@ -83,7 +120,8 @@ def start_clean_stream(
         writer = writer.trigger(processingTime=processing_time)
     elif available_now:
         writer = writer.trigger(availableNow=True)
-    return writer.start()
+    with _state_conf(stream.sparkSession):
+        return writer.start()
 
 
 BASE = "_base"  # Spark's readers pass over folders that begin with an underscore

@@ -100,3 +100,36 @@ def test_annotate_validity_matches_chain(spark, sf001):
     flagged = C.annotate_validity(ident).filter("valid").drop("valid")
     chain = C.clean_catalog(derived.raw_catalog(spark, sf001))
     assert flagged.exceptAll(chain).count() == 0 and chain.exceptAll(flagged).count() == 0
+
+
+def test_state_is_kept_in_few_partitions_off_the_heap(spark, sf0001):
+    """State partitions follow the tasks that run at once, not the shuffle partitions; rows carry no constant of their
+    epoch, which would make new generated code of every trigger; the session's settings stay."""
+    base = tempfile.mkdtemp(prefix="marquee-stream-")
+    src, out, ckpt = (os.path.join(base, n) for n in ("in", "out", "ckpt"))
+    files.write_catalog_text(derived.raw_catalog(spark, sf0001, 4), src)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        q = S.start_clean_stream(S.catalog_stream(spark, src, max_files_per_trigger=2, multiline=True), out, ckpt)
+        q.awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+        assert all(spark.conf.get(key, None) is None for key in S.STATE_CONF)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    state = q.lastProgress["stateOperators"][0]
+    assert state["numShufflePartitions"] == spark.sparkContext.defaultParallelism
+    assert any(name.startswith("rocksdb") for name in state["customMetrics"])
+    assert files.committed_folders(spark, out, "epoch") == [0, 1]
+    for n in (0, 1):
+        assert "epoch" not in spark.read.parquet(os.path.join(out, f"epoch={n}")).columns
+    assert same(S.read_clean(spark, out), C.clean_catalog(derived.raw_catalog(spark, sf0001)))
+
+
+def test_text_without_a_number_makes_no_failing_cast(spark):
+    """The empty text of a pattern that does not match is never cast."""
+    df = spark.createDataFrame([("90 min",), ("2 Seasons",), ("",), (None,), ("99999999999 min",)], "t string")
+    out = df.select(C.X.extract_int("t", C.X.MINUTES_PATTERN).alias("n"))
+    assert [r.n for r in out.collect()] == [90, None, None, None, None]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "try_cast(regexp_extract(" not in plan
