@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -399,6 +399,19 @@ def _without(run_words: int):
     return run
 
 
+def _pair(first: str, second: str) -> Column:
+    """Two numbers from 0 to 2**31 - 1 as one long, ordered by the first, then the second."""
+    return F.shiftleft(F.col(first).cast("long"), 32).bitwiseOR(F.col(second).cast("long"))
+
+
+def _first(pair: str) -> Column:
+    return F.shiftright(pair, 32)
+
+
+def _second(pair: str) -> Column:
+    return F.col(pair).bitwiseAND(F.lit(2**31 - 1))
+
+
 def repeated_sentences(
     docs: DataFrame,
     least_sentences: int = LEAST_SENTENCES,
@@ -424,14 +437,19 @@ def repeated_sentences(
             T.StructField(n, T.IntegerType() if t is np.int32 else T.LongType()) for n, t in _SPAN.items()]))),
     ])
     made = written(rows.mapInArrow(_spans_of(least_sentences, least_words, alone_words), schema), "spans")
-    each = made.select("row", "doc_id", F.explode("spans").alias("s")).select("row", "doc_id", "s.*")
+    # Every span is moved, so it is moved narrow: sentences and words of a text are fewer than 2**31.
+    each = made.select("row", "doc_id", F.explode("spans").alias("s")).select(
+        "row", "doc_id", "s.hash", _pair("s.first", "s.last").alias("sentences"), _pair("s.at", "s.words").alias("place"))
     often = each.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
     often = written(often, "often")
     shared = written(each.join(often.hint("merge"), "hash"), "shared")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "first", "at")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "sentences", "place")
     original = shared.groupBy("hash").agg(F.min(order).alias("o"))
-    original = original.select("hash", F.col("o.row").alias("from_row"), F.col("o.at").alias("from_at"))
-    again = shared.join(written(original, "original").hint("merge"), "hash").filter("row != from_row OR at != from_at")
+    original = original.select("hash", F.col("o.row").alias("from_row"), _first("o.place").alias("from_at"))
+    again = shared.select("hash", "row", "sentences", "place").join(written(original, "original").hint("merge"), "hash")
+    again = again.select("row", _first("sentences").cast("int").alias("first"), _second("sentences").cast("int").alias("last"),
+                         _first("place").alias("at"), _second("place").alias("words"), "from_row", "from_at")
+    again = again.filter("row != from_row OR at != from_at")
     # A document has no more spans than its own text.
     copied = again.groupBy("row").agg(F.collect_list(F.struct("first", "last", "at", "words", "from_row", "from_at")).alias("copied"))
     none = F.array().cast("array<int>")

@@ -214,3 +214,22 @@ def test_empty_table(spark, no_docs):
 def test_query_on_a_table(spark, sf0001):
     rows = spark.read.parquet(f"{sf0001}/documents.parquet").collect()
     assert result(Q.QUERIES["op4_sentence_span_dedup"](spark, sf0001)) == brute_force(rows)
+
+
+def test_spans_are_moved_as_narrow_rows(spark, monkeypatch):
+    """All spans meet by hash with two packed numbers besides their row; the packing holds every sentence and word number."""
+    from pyspark.sql import functions as F
+
+    from marquee.llm import substring_dedup as M
+
+    columns, write = {}, M.written
+    monkeypatch.setattr(M, "written", lambda df, name: columns.setdefault(name, df.columns) and write(df, name))
+    text = "One two three four five six seven. Eight nine ten eleven twelve thirteen fourteen. " * 4
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    M.repeated_sentences(docs)
+    assert sorted(columns["shared"]) == ["doc_id", "hash", "place", "row", "sentences"]
+    top = 2**31 - 1
+    rows = spark.createDataFrame([(0, 0), (0, top), (7, 3), (top, 0), (top, top)], "a int, b int")
+    pairs = rows.select("a", "b", M._pair("a", "b").alias("p")).select("a", "b", "p", M._first("p").alias("x"), M._second("p").alias("y"))
+    got = pairs.orderBy(F.col("p")).collect()
+    assert [(r.x, r.y) for r in got] == [(r.a, r.b) for r in got] == [(0, 0), (0, top), (7, 3), (top, 0), (top, top)]
