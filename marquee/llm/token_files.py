@@ -38,6 +38,27 @@ LEAST_COUNT, MOST_RULES = 8, 4096  # uses that a rule must have; rules a round
 MANIFEST = "file string, shard long, block long, at long, rules long, symbols long, docs long, ids long"
 
 
+def _bins(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left * 40503 + right * 10007) & 0xFFFFF
+
+
+def _places(found: np.ndarray, at: np.ndarray, pairs: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the positions ``at`` those whose pair is in ``found`` (sorted), and where it is there."""
+    own = _bins(found >> 32, found & 0xFFFFFFFF)
+    slot = np.full(1 << 20, -1, np.int32)
+    slot[own] = np.arange(len(found))
+    place = slot[bins[at]]
+    at, place = at[place >= 0], place[place >= 0].astype(np.int64)
+    wanted = pairs[at]
+    other = np.flatnonzero(found[place] != wanted)
+    # A bin may hold several of them; the slot has the last one.
+    again = np.minimum(np.searchsorted(found, wanted[other]), len(found) - 1)
+    place[other] = again
+    hit = np.ones(len(at), bool)
+    hit[other] = found[again] == wanted[other]
+    return at[hit], place[hit]
+
+
 def repair(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, expansion lengths, symbols) of a block's ids."""
     symbols, rules = ids.astype(np.int64), np.zeros((0, 2), np.int64)
@@ -45,7 +66,7 @@ def repair(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     while len(symbols) > 1:  # every round replaces something or is the last
         pairs = symbols[:-1] << 32 | symbols[1:]
         # A pair cannot be frequent unless all pairs of its bin together are.
-        bins = (symbols[:-1] * 40503 + symbols[1:] * 10007) & 0xFFFFF
+        bins = _bins(symbols[:-1], symbols[1:])
         busy = (np.bincount(bins, minlength=1 << 20) >= LEAST_COUNT)[bins]
         busy_at = np.flatnonzero(busy)
         found, counts = np.unique(pairs[busy_at], return_counts=True)
@@ -56,10 +77,7 @@ def repair(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             found = np.sort(found[top])
         if not len(found):
             break
-        place = np.searchsorted(found, pairs[busy_at])
-        place[place == len(found)] = 0
-        hit = found[place] == pairs[busy_at]
-        at, place = busy_at[hit], place[hit]
+        at, place = _places(found, busy_at, pairs, bins)
         # Of a run of overlapping occurrences every second one is replaced.
         fresh = np.diff(at, prepend=-2) > 1
         run_start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
@@ -76,9 +94,21 @@ def repair(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rules.astype("<u4"), lengths.astype("<u4"), symbols.astype("<u4")
 
 
-def expand(rules: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """The ids that ``symbols`` stand for."""
+def expand(rules: np.ndarray, symbols: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The ids that ``symbols`` stand for.  With the ``lengths`` of the rules' expansions each rule is
+    expanded once and then copied, unless all rules together are much longer than the ids."""
     symbols = symbols.astype(np.int64)
+    if lengths is not None and len(rules):
+        nested = symbols >= FIRST_RULE
+        lengths = lengths.astype(np.int64)
+        spans = np.ones(len(symbols), np.int64)
+        spans[nested] = lengths[symbols[nested] - FIRST_RULE]
+        if lengths.sum() <= 2 * spans.sum():
+            table = np.concatenate([expand(rules, FIRST_RULE + np.arange(len(rules))), symbols.astype("<u4")])
+            begins = len(table) - len(symbols) + np.arange(len(symbols))
+            begins[nested] = (np.cumsum(lengths) - lengths)[symbols[nested] - FIRST_RULE]
+            inside = np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans - begins, spans)
+            return table[inside]
     while True:
         nested = symbols >= FIRST_RULE
         if not nested.any():
@@ -109,7 +139,7 @@ class Block:
         return 12 * rules + 4 * symbols + 9 * docs + 8 * (docs + 1)
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.rules, self.symbols)
+        return expand(self.rules, self.symbols, self.lengths)
 
     def document(self, i: int) -> np.ndarray:
         """The ids of document ``i``, expanding only the symbols that it covers."""
@@ -132,7 +162,7 @@ def _write(folder: str, path: str, end_id: int, block_ids: int):
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        encode = encoder(path).encode
+        encode_all = encoder(path).encode_all
         shard = TaskContext.get().partitionId()
         name = f"{folder}/shard-{shard:08d}-{uuid.uuid4().hex}.repair"
         docs, held, sink, at, rows = [], 0, None, 0, []
@@ -155,8 +185,8 @@ def _write(folder: str, path: str, end_id: int, block_ids: int):
             at, docs, held = at + len(data), [], 0
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                docs.append((doc_id, encode(text.as_py() or "") + end))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_all(batch.column(1)), strict=True):
+                docs.append((doc_id, ids + end))
                 held += len(docs[-1][1]) // 4
                 if held >= block_ids:
                     flush()

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,6 +46,30 @@ def test_piecewise_ids_on_any_text(pair, text):
     assert same(pair, text)
 
 
+def test_a_word_is_encoded_once_with_any_marks_and_lines(pair):
+    encoder = Encoder(WORD if pair[0].tail.folds else BYTE)
+    texts = ["a zebra zebra, zebra. zebra*** x\nzebra\nzebra? zebra", None, "", "a zebra!?", "  zebra \n zebra$$$"] * 3
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode_all(pa.array(texts, pa.string()))]
+    assert got == [pair[1].encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [p for p in encoder.tail if "zebra" in p] == ["zebra"]
+
+
+@settings(max_examples=100, deadline=None)
+@given(texts=st.lists(st.text(alphabet=st.sampled_from("aab'sT1 ,.*   \n\t ́é　\x1c\x85\U0001f600ΣßİǅⅫ½<|>endoftx"), max_size=40)))
+def test_ids_of_many_texts_at_once(pair, texts):
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in pair[0].encode_all(pa.array(texts, pa.string()))]
+    assert got == [pair[1].encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_many_texts_in_small_parts(pair, monkeypatch):
+    monkeypatch.setattr(tokens, "BYTES_AT_ONCE", 30)
+    monkeypatch.setattr(tokens, "CACHE_LIMIT", 3)
+    texts = [None, "one two, two.\nThree", "Straße naïve*** ", "x" * 100, "", "one\n\ntwo <b>\nthree"] * 4
+    column = pa.array([None, "cut off", *texts]).slice(2)
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in pair[0].encode_all(column)]
+    assert got == [pair[1].encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_piecewise_ids_of_accents_marks_and_line_breaks(pair):
     rng = random.Random(3)
     latin = [chr(c) for c in range(0xC0, 0x250)]

@@ -37,6 +37,30 @@ def test_grammar_edges(ids):
     assert R.expand(rules, symbols).tolist() == ids.tolist()
 
 
+def test_each_rule_is_expanded_once(monkeypatch):
+    ids = np.concatenate([np.tile(np.arange(500), 40), np.arange(7000, 9000), np.full(999, 3)]).astype("<u4")
+    rules, lengths, symbols = R.repair(ids)
+    assert R.expand(rules, symbols, lengths).tolist() == ids.tolist()
+    one = np.array([R.FIRST_RULE + len(rules) - 1, 5])
+    assert R.expand(rules, one, lengths).tolist() == R.expand(rules, one).tolist()
+    handed, whole = [], R.expand
+    monkeypatch.setattr(R, "expand", lambda r, s, lengths=None: handed.append(len(s)) or whole(r, s, lengths))
+    words = np.tile([1, 2, 3, 4], 5000).astype("<u4")
+    rules, lengths, _ = R.repair(words)
+    symbols = np.repeat([R.FIRST_RULE + len(rules) - 1, 9], 4000)
+    whole(rules, symbols, lengths)
+    assert handed == [len(rules)]
+
+
+def test_frequent_pairs_of_one_bin():
+    far = 7 + (1 << 20)
+    assert R._bins(np.array([5]), np.array([7])) == R._bins(np.array([5]), np.array([far]))
+    ids = np.tile([5, 7, 5, far, 5, 7, 9, 5, far, 5, far + (1 << 20)], 30).astype("<u4")
+    rules, lengths, symbols = R.repair(ids)
+    assert R.expand(rules, symbols, lengths).tolist() == ids.tolist()
+    assert len(symbols) < len(ids) / 5
+
+
 def expected(rows):
     tokenizer = Tokenizer.from_file(WORD)
     out, start = [], 0
