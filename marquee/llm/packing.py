@@ -81,12 +81,12 @@ def _cut(path: str, end_id: int, capacity: int):
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        encode = encoder(path).encode
+        known = encoder(path)
         lane = 0
         for batch in batches:
             out, size = [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), known.encode_all(batch.column(1)), strict=True):
+                ids += end
                 total = len(ids) // 4
                 length, start, piece = total % capacity or capacity, 0, 0
                 while start < total:
@@ -98,6 +98,7 @@ def _cut(path: str, end_id: int, capacity: int):
                     out, size = [], 0
             if out:
                 yield _batch(out)
+        known.forget()
 
     return run
 

@@ -162,7 +162,7 @@ def _write(folder: str, path: str, end_id: int, block_ids: int):
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        encode_all = encoder(path).encode_all
+        known = encoder(path)
         shard = TaskContext.get().partitionId()
         name = f"{folder}/shard-{shard:08d}-{uuid.uuid4().hex}.repair"
         docs, held, sink, at, rows = [], 0, None, 0, []
@@ -185,13 +185,14 @@ def _write(folder: str, path: str, end_id: int, block_ids: int):
             at, docs, held = at + len(data), [], 0
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_all(batch.column(1)), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), known.encode_all(batch.column(1)), strict=True):
                 docs.append((doc_id, ids + end))
                 held += len(docs[-1][1]) // 4
                 if held >= block_ids:
                     flush()
         if docs:
             flush()
+        known.forget()
         if sink is not None:
             sink.close()
             names = ["file", "shard", "block", "at", "rules", "symbols", "docs", "ids"]

@@ -108,6 +108,10 @@ class _Pieces(dict):
             self[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def all_of(self, pieces: pa.Array) -> pa.Array:
         """The ids of many pieces, each word of them looked up once."""
         cut = pc.extract_regex(pieces, self.marked)
@@ -136,6 +140,12 @@ class Encoder:
         pieces = split_pieces(text)
         return self.head[pieces[0]] + b"".join(map(self.tail.__getitem__, pieces[1:]))
 
+    def forget(self) -> None:
+        """Drop the memory of words; Spark keeps a worker, and what it holds, for later tasks of any kind."""
+        self.tail.forget()
+        self.head.forget()
+        pa.default_memory_pool().release_unused()
+
     def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
         """``encode`` of every text (null: empty) in order; a word is looked up once in some megabytes of text."""
         for a, b in slices(texts, BYTES_AT_ONCE):
@@ -170,7 +180,7 @@ class Encoder:
 
 @functools.cache
 def encoder(path: str) -> Encoder:
-    """One encoder, with its memory of pieces, per Python worker and file."""
+    """One encoder per Python worker and file; a task that is done lets it ``forget`` its words."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

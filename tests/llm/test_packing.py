@@ -83,6 +83,13 @@ def test_a_word_a_line_for_many_lines(pair):
     assert same(pair, "\n".join(f"word{'abcdefg'[i % 7]}." for i in range(30_000)))
 
 
+def test_a_task_that_is_done_remembers_no_words():
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words, words\nlines", None])], names=["doc_id", "text"])
+    (out,) = P._cut(BYTE, 2, 1024)(iter([batch]))
+    known = tokens.encoder(BYTE)
+    assert out.num_rows == 2 and not (known.tail or known.head or known.tail.old or known.head.old)
+
+
 def check(rows, texts, capacity=1024):
     tokenizer = Tokenizer.from_file(BYTE)
     ids = [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for _, t in texts]
