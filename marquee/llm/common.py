@@ -28,7 +28,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def written_by(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Like ``written``, in buckets of ``key``: joins on it move the other side only.
+    """Like ``written``, dealt by ``key`` and in buckets of it: joins on it move the other side only.
 
     There are as many buckets as shuffle partitions, at most as many as Spark allows.  The session's
     catalog keeps a table that points at the files, under a name of its own.
@@ -37,7 +37,7 @@ def written_by(df: DataFrame, name: str, key: str) -> DataFrame:
     path = scratch_path(spark, name)
     table = path.rsplit("/", 1)[-1].replace("-", "_")
     buckets = min(shuffle_partitions(spark), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
-    out = df.write.format("parquet").option("compression", "zstd").option("path", path)
+    out = df.repartition(buckets, key).write.format("parquet").option("compression", "zstd").option("path", path)
     out.bucketBy(buckets, key).saveAsTable(table)
     return spark.read.table(table)
 

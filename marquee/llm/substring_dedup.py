@@ -26,7 +26,6 @@ from functools import cache, cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -225,20 +224,19 @@ _SPAN = {"first": np.int32, "last": np.int32, "at": np.int64, "words": np.int64,
 
 
 def _spans_of(least_sentences: int, least_words: int, alone_words: int):
+    """row, doc_id, n_sentences, spans from row, doc_id, text."""
+
     def run(batches):
-        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for a, b in slices(batch.column(1), BYTES_AT_ONCE):
-                part = batch.slice(a, b - a)
-                p = _parse(_texts(part.column(1)))
+            for a, b in slices(batch.column(2), BYTES_AT_ONCE):
+                rows, doc_ids, texts = batch.slice(a, b - a).columns
+                p = _parse(_texts(texts))
                 own, *found = _found_spans(p, least_sentences, least_words, alone_words)
                 fields = [pa.array(x.astype(t)) for x, t in zip(found, _SPAN.values(), strict=True)]
-                rows = pa.array(np.arange(row, row + b - a))
-                row += b - a
                 yield pa.RecordBatch.from_arrays(
-                    [rows, *part.columns, pa.array(np.diff(p.sentence_rows).astype(np.int32)),
+                    [rows, doc_ids, pa.array(np.diff(p.sentence_rows).astype(np.int32)),
                      _list(own, b - a, pa.StructArray.from_arrays(fields, list(_SPAN)))],
-                    names=["row", *part.schema.names, "n_sentences", "spans"],
+                    names=["row", "doc_id", "n_sentences", "spans"],
                 )
 
     return run
@@ -428,15 +426,18 @@ def repeated_sentences(
     twice in one document counts as repeated.  Cuts are the sentences ``removed`` and every other run of
     ``run_words`` words or more that occurred before, wherever in a sentence it begins.  Null text stays null, with no sentence; texts too short
     for a span stay whole; of repeated rows the first keeps its text.  Other columns
-    are ignored; an empty table gives no rows.
+    are ignored; an empty table gives no rows.  Rows are numbered while ``docs`` is read: it is a table in files,
+    or else its rows come in the same order whenever a lost task reads them again.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Texts are moved and stored once, in buckets of their row: all that is found of them comes to their buckets.
+    texts = written_by(rows, "texts", "row")
     schema = T.StructType([
-        T.StructField("row", T.LongType()), *rows.schema.fields, T.StructField("n_sentences", T.IntegerType()),
+        *rows.drop("text").schema.fields, T.StructField("n_sentences", T.IntegerType()),
         T.StructField("spans", T.ArrayType(T.StructType([
             T.StructField(n, T.IntegerType() if t is np.int32 else T.LongType()) for n, t in _SPAN.items()]))),
     ])
-    made = written(rows.mapInArrow(_spans_of(least_sentences, least_words, alone_words), schema), "spans")
+    made = written(texts.mapInArrow(_spans_of(least_sentences, least_words, alone_words), schema), "spans")
     # Every span is moved, so it is moved narrow: sentences and words of a text are fewer than 2**31.
     each = made.select("row", "doc_id", F.explode("spans").alias("s")).select(
         "row", "doc_id", "s.hash", _pair("s.first", "s.last").alias("sentences"), _pair("s.at", "s.words").alias("place"))
@@ -454,12 +455,12 @@ def repeated_sentences(
     copied = again.groupBy("row").agg(F.collect_list(F.struct("first", "last", "at", "words", "from_row", "from_at")).alias("copied"))
     none = F.array().cast("array<int>")
     removed = F.array_sort(F.array_distinct(F.flatten(F.transform("copied", lambda c: F.sequence(c["first"], c["last"])))))
-    texts = made.select("row", "doc_id", "text", "n_sentences").join(copied, "row", "left")
-    # Texts are moved once: the windows' seeds and starts come to their buckets.
-    texts = written_by(texts.withColumn("removed", F.coalesce(removed, none)), "copied", "row")
+    copied = written_by(made.select("row", "n_sentences").join(copied, "row", "left"), "copied", "row")
+    texts = texts.join(copied.hint("merge"), "row")
     runs = written(_repeated_runs(texts.select("row", "doc_id", "text", "copied"), run_words), "repeated_runs")
-    out = texts.select("row", "doc_id", "text", "n_sentences", "removed").join(runs.hint("merge"), "row", "left").select(
-        "doc_id", "text", "n_sentences", "removed", F.coalesce("starts", F.array().cast("array<long>")).alias("starts"))
+    out = texts.join(runs.hint("merge"), "row", "left").select(
+        "doc_id", "text", "n_sentences", F.coalesce(removed, none).alias("removed"),
+        F.coalesce("starts", F.array().cast("array<long>")).alias("starts"))
     return out.mapInArrow(
         _without(run_words),
         "doc_id long, n_sentences int, removed array<int>, cuts array<struct<start:long,end:long>>, clean_text string")

@@ -233,3 +233,17 @@ def test_spans_are_moved_as_narrow_rows(spark, monkeypatch):
     pairs = rows.select("a", "b", M._pair("a", "b").alias("p")).select("a", "b", "p", M._first("p").alias("x"), M._second("p").alias("y"))
     got = pairs.orderBy(F.col("p")).collect()
     assert [(r.x, r.y) for r in got] == [(r.a, r.b) for r in got] == [(0, 0), (0, top), (7, 3), (top, 0), (top, top)]
+
+
+def test_texts_are_stored_once(spark, monkeypatch):
+    """Texts are written in one table, by row; what is found of them is written without them."""
+    from marquee.llm import substring_dedup as M
+
+    columns = {}
+    for name in ("written", "written_by"):
+        write = getattr(M, name)
+        monkeypatch.setattr(M, name, lambda df, at, *key, write=write: columns.setdefault(at, df.columns) and write(df, at, *key))
+    docs = spark.createDataFrame([(1, PASSAGE), (2, "Before. " + PASSAGE), (3, None)], "doc_id long, text string")
+    got = sorted(M.repeated_sentences(docs).collect())
+    assert [n for n, held in columns.items() if "text" in held] == ["texts"]
+    assert [r.clean_text for r in got] == [PASSAGE, "Before. ", None]
