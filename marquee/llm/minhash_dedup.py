@@ -252,7 +252,7 @@ def _across(entries: DataFrame, nodes: DataFrame, found: DataFrame, size: int, p
         F.ceil((F.col("held") - F.col("top.part")) / BLOCK).cast("int").alias("rest_blocks"),
         (F.col("parts") > 2).alias("several"),
     )
-    open_ = label.join(written(mixed, "mixed"), "key")
+    open_ = written(label.join(written(mixed, "mixed"), "key"), "open")
     spread = F.xxhash64("node")
     main = open_.filter("component = main").withColumn("j", F.pmod(spread, "main_blocks").cast("int"))
     rest = open_.filter("component != main").withColumn("own", F.pmod(spread, "rest_blocks").cast("int"))
@@ -324,10 +324,10 @@ def _grouped(docs, shingle, percent, bands, rows, carried) -> tuple[DataFrame, D
 
     stars = entries.filter("node != hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     links = _verified(stars, nodes, shingle, percent, hashes)
-    found = connected_components(links)
+    found = written(connected_components(links), "components")
     across = _across(entries.drop("hub"), nodes, found, shingle, percent, bands, hashes)
     if not across.isEmpty():
-        found = connected_components(links.union(across))
+        found = written(connected_components(links.union(across)), "components")
     return described, _labelled(described, classes, found)
 
 

@@ -68,6 +68,7 @@ def _slots(targets: DataFrame, block: int) -> DataFrame:
     """source_rank, block (rank among the source's slots), slot (place in time)."""
     quota = targets.withColumn("slots", F.ceil(F.col("quota") / block).cast("long"))
     laid = prefix_sum(quota, [], "lane", ["source_rank"], "slots", "first_slot").filter("slots > 0")
+    laid = written(laid.select("source_rank", "slots", "first_slot"), "laid")
     n = targets.agg(F.sum(F.ceil(F.col("quota") / block))).first()[0] or 0
     bits = max(1, int(n - 1).bit_length())
     chunks = laid.select(
@@ -83,7 +84,8 @@ def _slots(targets: DataFrame, block: int) -> DataFrame:
     timed = points.select(
         "source_rank", reverse.alias("slot"), F.shiftright(reverse, lanes).alias("lane"), F.lit(1).alias("one")
     )
-    return prefix_sum(timed, ["source_rank"], "lane", ["slot"], "one", "block").select("source_rank", "block", "slot")
+    blocks = prefix_sum(timed, ["source_rank"], "lane", ["slot"], "one", "block")
+    return written(blocks.select("source_rank", "block", "slot"), "slots")
 
 
 def mix(sized: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -173,6 +175,8 @@ def mixed_corpus(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     pieces = mix(ranked.select("row", "doc_id", "source_rank", "size"), targets, block)
     passes = pieces.groupBy("row", "pass").agg(F.sum("words").alias("words"))
     taken = passes.groupBy("row").agg(F.collect_list("words").alias("passes"))  # as many as passes
+    # Written, so that it is not planned again for either part of the union: the driver holds all stages of a plan at once.
+    taken = written(taken, "taken")
     rows = sized.select("row", "size", "carried").join(taken, "row")
     rows = rows.withColumn("words", F.explode("passes"))
     whole = rows.filter("words = size").select("carried.*")

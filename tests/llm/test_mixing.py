@@ -119,3 +119,10 @@ def test_sql_gives_the_same(spark, sf0001):
     want = con.execute(M.ORACLE).df().sort_values("doc_id")
     got = M.mixed_documents(spark.read.parquet(f"{sf0001}/documents.parquet")).toPandas().sort_values("doc_id")
     assert got[want.columns].fillna(-1).to_numpy().tolist() == want.fillna(-1).to_numpy().tolist()
+
+
+def test_the_corpus_is_planned_in_steps(spark, sf0001):
+    """The last plan reads the documents and the words taken of each, once for either part of the union: the
+    driver holds all stages of a plan at once."""
+    plan = M.mixed_corpus(spark.read.parquet(f"{sf0001}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 4, plan
