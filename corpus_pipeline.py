@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marquee.llm import exact_dedup, language_id, minhash_dedup, mixing, packing
 from marquee.llm.common import load
-from marquee.sources.files import scratch_path
+from marquee.sources.files import scratch_path, scratch_scope
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

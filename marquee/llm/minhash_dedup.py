@@ -18,13 +18,13 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm import shingles as S
 from marquee.llm.common import code_points, shuffle_partitions, written
 from marquee.llm.components import connected_components
+from marquee.sources.files import scratch_scope
 
 BANDS, ROWS = 30, 6  # a pair at 0.85 is missed once in 1.4 million, at 0.8 once in 9,000
 SLACK = 6.0  # standard deviations below the threshold at which a signature rejects
@@ -32,36 +32,35 @@ BLOCK = 256
 
 
 def _describe(size: int, hashes: int):
-    """(content, doc_id, carried) -> row, doc_id, content, carried, n, k1, k2, signature."""
+    """(row, doc_id, content) -> row, doc_id, n, k1, k2, signature."""
 
     def run(batches):
-        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            contents = batch.column(0)
+            contents = batch.column(2)
             for a, b in S.slices(contents):
-                part = contents.slice(a, b - a)
-                values, offsets = S.shingle_sets(part, size)
+                values, offsets = S.shingle_sets(contents.slice(a, b - a), size)
                 k1, k2 = S.set_digests(values, offsets)
                 signatures = S.minima(values, offsets, hashes)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(row, row + b - a)), batch.column(1).slice(a, b - a), part, batch.column(2).slice(a, b - a),
+                    batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
                     pa.array(np.diff(offsets)), pa.array(k1), pa.array(k2),
                     pa.array([s.tobytes() for s in signatures], pa.binary()),
-                ], names=["row", "doc_id", "content", "carried", "n", "k1", "k2", "signature"])
-                row += b - a
+                ], names=["row", "doc_id", "n", "k1", "k2", "signature"])
 
     return run
 
 
-def describe(docs: DataFrame, size: int, hashes: int, carried) -> DataFrame:
-    rows = docs.select(
-        code_points("text").alias("content"), F.col("doc_id").cast("long").alias("doc_id"), carried.alias("carried")
-    )
-    schema = rows.select(F.lit(0).cast("long").alias("row"), "doc_id", "content", "carried").schema
-    for name in ("n", "k1", "k2"):
-        schema = schema.add(name, "long")
-    schema = schema.add("signature", "binary")
-    return written(rows.mapInArrow(_describe(size, hashes), schema), "shingled")
+def describe(docs: DataFrame, size: int, hashes: int, carried) -> tuple[DataFrame, DataFrame]:
+    """(row, content, carried) and (row, doc_id, n, k1, k2, signature): the texts are needed to the end,
+    the rest only until the groups are known."""
+    texts = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+        code_points("text").alias("content"), carried.alias("carried"),
+    )
+    texts = written(texts, "texts")
+    schema = "row long, doc_id long, n long, k1 long, k2 long, signature binary"
+    described = texts.select("row", "doc_id", "content").mapInArrow(_describe(size, hashes), schema)
+    return texts.drop("doc_id"), written(described, "shingled")
 
 
 def _agree(threshold: float, hashes: int):
@@ -302,13 +301,18 @@ def near_duplicates(
 
 
 def _grouped(docs, shingle, percent, bands, rows, carried) -> tuple[DataFrame, DataFrame]:
+    with scratch_scope(docs.sparkSession, "texts", "grouped"):
+        texts, described = describe(docs, shingle, bands * rows, carried)
+        return texts, _groups(texts, described, shingle, percent, bands, rows)
+
+
+def _groups(texts, described, shingle, percent, bands, rows) -> DataFrame:
     hashes = bands * rows
-    described = describe(docs, shingle, hashes, carried)
     same = ["n", "k1", "k2"]
     classes = described.filter("n > 0").groupBy(*same).agg(F.min("row").alias("node"))
     classes = written(classes, "classes")
-    nodes = described.join(classes.select("node"), described["row"] == classes["node"], "left_semi")
-    nodes = nodes.withColumnRenamed("row", "node")
+    signed = described.select(F.col("row").alias("node"), "n", "signature")
+    nodes = signed.join(classes.select("node"), "node", "left_semi")
 
     width = rows * 4
     key = F.transform(
@@ -319,8 +323,9 @@ def _grouped(docs, shingle, percent, bands, rows, carried) -> tuple[DataFrame, D
     buckets = entries.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("held"))
     buckets = written(buckets.filter("held > 1").select("key", "hub"), "buckets")
     entries = written(entries.join(buckets, "key"), "bucketed")
-    held = entries.select("node").distinct()
-    nodes = written(nodes.select("node", "n", "content", "signature").join(held, "node", "left_semi"), "candidates")
+    held = signed.join(entries.select("node").distinct(), "node", "left_semi")
+    content = texts.select(F.col("row").alias("node"), "content")
+    nodes = written(content.join(held.hint("merge"), "node").select("node", "n", "content", "signature"), "candidates")
 
     stars = entries.filter("node != hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     links = _verified(stars, nodes, shingle, percent, hashes)
@@ -328,7 +333,7 @@ def _grouped(docs, shingle, percent, bands, rows, carried) -> tuple[DataFrame, D
     across = _across(entries.drop("hub"), nodes, found, shingle, percent, bands, hashes)
     if not across.isEmpty():
         found = written(connected_components(links.union(across)), "components")
-    return described, _labelled(described, classes, found)
+    return written(_labelled(described, classes, found), "grouped")
 
 
 def _labelled(described: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
@@ -354,9 +359,10 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -
     component the row with the smallest doc_id, and every text without words."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     carried = F.struct(*others, F.col("text").isNull().alias("__text_was_null"))
-    described, labels = _grouped(docs, shingle, percent, BANDS, ROWS, carried)
+    texts, labels = _grouped(docs, shingle, percent, BANDS, ROWS, carried)
     gone = labels.filter("row != kept_row").select("row")
-    kept = described.select("row", "content", "carried").join(gone, "row", "left_anti")
+    # The same plan at any size, in which texts are not sorted.
+    kept = texts.join(gone.hint("shuffle_hash"), "row", "left_anti")
     text = F.when(~F.col("carried.__text_was_null"), F.col("content").cast("string"))
     return kept.select(
         *[text.alias("text") if c == "text" else F.col(f"carried.`{c}`").alias(c) for c in docs.columns]

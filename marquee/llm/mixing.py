@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from marquee.llm.common import WORD_PATTERN, prefix_sum, shuffle_partitions, written
+from marquee.sources.files import scratch_scope
 
 WEIGHTS, BUDGET, CAP = (5, 2, 1), 1.5, 2.0
 BLOCK = 64  # words
@@ -169,15 +170,17 @@ def mixed_corpus(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     once per pass that takes words of it.  Where a source's target ends within a
     document, that pass has only its first words (and ``n_chars``, if there, their length)."""
     carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried")
-    sized = sized_documents(docs, carried)
-    targets = written(source_targets(sized), "targets")
-    ranked = _ranked(sized.select("row", "doc_id", "source", "size"), targets)
-    pieces = mix(ranked.select("row", "doc_id", "source_rank", "size"), targets, block)
-    passes = pieces.groupBy("row", "pass").agg(F.sum("words").alias("words"))
-    taken = passes.groupBy("row").agg(F.collect_list("words").alias("passes"))  # as many as passes
-    # Written, so that it is not planned again for either part of the union: the driver holds all stages of a plan at once.
-    taken = written(taken, "taken")
-    rows = sized.select("row", "size", "carried").join(taken, "row")
+    with scratch_scope(docs.sparkSession, "sized", "taken"):
+        sized = sized_documents(docs, carried)
+        targets = written(source_targets(sized), "targets")
+        ranked = _ranked(sized.select("row", "doc_id", "source", "size"), targets)
+        pieces = mix(ranked.select("row", "doc_id", "source_rank", "size"), targets, block)
+        passes = pieces.groupBy("row", "pass").agg(F.sum("words").alias("words"))
+        taken = passes.groupBy("row").agg(F.collect_list("words").alias("passes"))  # as many as passes
+        # Written, so that it is not planned again for either part of the union: the driver holds all stages of a plan at once.
+        taken = written(taken, "taken")
+    # The texts move once at any size (left alone, Spark sends ``taken`` to them while it is small) and are not sorted.
+    rows = sized.select("row", "size", "carried").join(taken.hint("shuffle_hash"), "row")
     rows = rows.withColumn("words", F.explode("passes"))
     whole = rows.filter("words = size").select("carried.*")
     part = rows.filter("words < size").withColumn("cut", _first_words("carried.text", "words"))

@@ -7,10 +7,12 @@ session that runs in one process gets a temporary folder.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -22,6 +24,7 @@ UNQUOTED_EMPTY = "\x01"
 
 
 _SCRATCH: list[str] = []
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)  # of this thread
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,18 +61,44 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     ``clear_scratch``."""
     path = os.path.join(shared_dir(spark), "marquee", f"{name}-{uuid.uuid4().hex}")
     _SCRATCH.append(path)
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(path)
     return path
 
 
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession, *keep: str):
+    """Deletes at its end the scratch that this thread was handed out in it, except under the names ``keep``
+    (these fall to the scope around it, if there is one).
+
+    For steps whose tables nobody reads later: what is returned from it may only read tables that are kept.
+    """
+    token = _SCOPE.set(paths := [])
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        kept = [p for p in paths if os.path.basename(p).rpartition("-")[0] in keep]
+        if (scope := _SCOPE.get()) is not None:
+            scope.extend(kept)
+        for path in paths:
+            if path not in kept:
+                _delete(spark, path)
+                with contextlib.suppress(ValueError):  # cleared within
+                    _SCRATCH.remove(path)
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete every scratch path handed out in this process; returns how many
     existed.  DataFrames that read them can no longer be computed."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     removed = 0
     while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        removed += bool(path.getFileSystem(conf).delete(path, True))
+        removed += _delete(spark, _SCRATCH.pop())
     return removed
 
 

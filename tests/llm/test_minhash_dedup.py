@@ -7,6 +7,7 @@ from marquee.llm import minhash_dedup as M
 from marquee.llm import queries as Q
 from marquee.llm import shingles as S
 from marquee.llm.components import connected_components
+from marquee.sources import files
 
 
 def shingle_set(text, k):
@@ -112,3 +113,15 @@ def test_components(spark):
     found = dict(connected_components(spark.createDataFrame(links, "u long, v long")).collect())
     assert found[3] == 1 and found[10] == 7 and all(found[i] == 100 for i in range(100, 161))
     assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_what_nobody_reads_later_is_deleted(spark, sf0001):
+    """Signatures, buckets and links go when the groups are known; texts and groups stay until the result is read."""
+    docs = spark.read.parquet(f"{sf0001}/documents.parquet")
+    before = len(files._SCRATCH)
+    out = M.drop_near_duplicates(docs)
+    assert sorted(p.rsplit("/", 1)[-1].rpartition("-")[0] for p in files._SCRATCH[before:]) == ["grouped", "texts"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin [row") == 1 and "Broadcast" not in plan, plan
+    labels = M.near_duplicates(docs)
+    assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in labels.filter("row = kept_row").collect())

@@ -126,3 +126,9 @@ def test_the_corpus_is_planned_in_steps(spark, sf0001):
     driver holds all stages of a plan at once."""
     plan = M.mixed_corpus(spark.read.parquet(f"{sf0001}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 4, plan
+
+
+def test_texts_move_alike_at_any_size(spark, sf0001):
+    """What is taken is not broadcast while it is small: the disk of the stage grows as its input."""
+    plan = M.mixed_corpus(spark.read.parquet(f"{sf0001}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin [row") == 2 and "Broadcast" not in plan, plan

@@ -101,3 +101,25 @@ def test_shared_dir_comes_from_the_session(spark):
     assert files.shared_dir(spark) == (spark.conf.get("spark.checkpoint.dir", None)
                                        or spark.sparkContext.getCheckpointDir())
     assert files.scratch_path(spark, "x").startswith(files.shared_dir(spark))
+
+
+def test_a_scope_deletes_what_it_does_not_keep(spark):
+    import os
+
+    made = {}
+
+    def make(name):
+        made[name] = files.write_parquet(spark.range(3), files.scratch_path(spark, name))
+
+    make("outside")
+    with pytest.raises(ZeroDivisionError), files.scratch_scope(spark, "kept"):
+        make("kept")
+        make("gone")
+        with files.scratch_scope(spark, "inner", "kept-inner"):
+            for name in ("inner", "kept-inner", "inner-gone"):
+                make(name)
+        assert [n for n, p in made.items() if not os.path.isdir(p)] == ["inner-gone"]
+        1 / 0
+    there = {n for n, p in made.items() if os.path.isdir(p)}
+    assert there == {"outside", "kept"} == {n for n, p in made.items() if p in files._SCRATCH}
+    assert spark.read.parquet(made["kept"]).count() == 3
